@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.util import MLWritable
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
@@ -15,20 +15,23 @@ def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     writer.parquet(path)
 
 
-def write_csv_single(df: DataFrame, folder: str) -> None:
-    """One part file with a header.
+def write_csv_single(df: DataFrame, folder: str, sort_by: Sequence[Column | str] = ()) -> None:
+    """One part file with a header, its rows in the given order.
 
     For finished report tables only. ``repartition(1)`` rather than ``coalesce(1)``:
-    the work behind the table keeps its parallelism and only the last, small
-    exchange goes to one task.
+    the work behind the table keeps its parallelism and only its few result rows
+    go to one task, which sorts them.
     """
-    df.repartition(1).write.mode("overwrite").option("header", True).csv(folder)
+    single = df.repartition(1)
+    if sort_by:
+        single = single.sortWithinPartitions(*sort_by)
+    single.write.mode("overwrite").option("header", True).csv(folder)
 
 
-def write_csv_named(df: DataFrame, path: str) -> None:
+def write_csv_named(df: DataFrame, path: str, sort_by: Sequence[Column | str] = ()) -> None:
     """One CSV file called exactly ``path``, on any file system Spark can reach."""
     folder = path + ".parts"
-    write_csv_single(df, folder)
+    write_csv_single(df, folder, sort_by)
     spark = df.sparkSession
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     target = hadoop.Path(path)
@@ -46,10 +49,11 @@ def write_json(df: DataFrame, folder: str) -> None:
     df.write.mode("overwrite").json(folder)
 
 
-def write_tables(tables: Mapping[str, DataFrame], folder: str) -> None:
+def write_tables(tables: Mapping[str, DataFrame], folder: str,
+                 sort_by: Mapping[str, Sequence[Column | str]] | None = None) -> None:
     """Every report table as ``folder/<name>.csv``."""
     for name, table in tables.items():
-        write_csv_named(table, f"{folder}/{name}.csv")
+        write_csv_named(table, f"{folder}/{name}.csv", (sort_by or {}).get(name, ()))
 
 
 def save_model(model: MLWritable, path: str) -> None:
