@@ -8,6 +8,7 @@ contrast around "but", and exclamation and question marks.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,6 +66,16 @@ LEXICON = (
 )
 # ------------------------------------------------------------ end fixed values
 
+@dataclass(frozen=True)
+class Rules:
+    """Words that change the valence of the words after them."""
+
+    negators: tuple[str, ...] = NEGATORS
+    boosters: tuple[str, ...] = BOOSTERS
+    dampeners: tuple[str, ...] = DAMPENERS
+    contrast: str = CONTRAST
+
+
 _PUNCTUATION = r"""!-/:-@\[-`{-~"""
 
 
@@ -90,10 +101,10 @@ def _emphasis(text: Column) -> Column:
     return F.least(marks, F.lit(K.EXCLAMATION_MAX)) * K.EXCLAMATION_STEP + asked
 
 
-def _modifier(neighbour: Column, valence: Column, capitals: Column, damping: float) -> Column:
+def _modifier(neighbour: Column, valence: Column, capitals: Column, damping: float, rules: Rules) -> Column:
     """What a word before adds to a valence: away from zero when boosting, towards it when dampening."""
     plain = F.lower(neighbour)
-    step = F.when(plain.isin(*BOOSTERS), K.BOOSTER_STEP).when(plain.isin(*DAMPENERS), -K.BOOSTER_STEP)
+    step = F.when(plain.isin(*rules.boosters), K.BOOSTER_STEP).when(plain.isin(*rules.dampeners), -K.BOOSTER_STEP)
     shout = F.when(capitals & _shouted(neighbour), K.CAPS_STEP).otherwise(0.0)
     return F.coalesce((step + shout) * F.signum(valence) * damping, F.lit(0.0))
 
@@ -106,7 +117,7 @@ def compound(total: Column, emphasis: Column) -> Column:
 
 
 def score_sentiment(df: DataFrame, text: str, keys: Sequence[str], lexicon: DataFrame | None = None,
-                    alias: str = "sentiment_score", copies: str | None = None) -> DataFrame:
+                    alias: str = "sentiment_score", copies: str | None = None, rules: Rules = Rules()) -> DataFrame:
     """(keys..., sentiment_score) per text; texts without lexicon words, and missing texts, score 0.0.
 
     Every word travels with the three words before it, so the rules need no window.
@@ -120,8 +131,8 @@ def score_sentiment(df: DataFrame, text: str, keys: Sequence[str], lexicon: Data
     valences = lexicon.groupBy(F.col("term").alias("_term")).agg(F.max("valence").alias("_valence"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     contrast_at = F.when(
-        F.contains(F.lower(body), F.lit(CONTRAST)),
-        F.array_position(F.transform("_words", lambda w: F.lower(_word(w))), CONTRAST) - 1,
+        F.contains(F.lower(body), F.lit(rules.contrast)),
+        F.array_position(F.transform("_words", lambda w: F.lower(_word(w))), rules.contrast) - 1,
     ).otherwise(-1)
     capitals = F.exists("_words", _shouted) & F.exists("_words", lambda w: ~_shouted(w))
 
@@ -154,9 +165,9 @@ def score_sentiment(df: DataFrame, text: str, keys: Sequence[str], lexicon: Data
     shout = F.when(F.col("_capitals") & _shouted(F.col("_word")), K.CAPS_STEP).otherwise(0.0)
     value = valence + F.signum(valence) * shout
     for n in (1, 2, 3):
-        value = value + _modifier(F.col(f"_before{n}"), valence, F.col("_capitals"), K.BOOSTER_DAMPING[n - 1])
+        value = value + _modifier(F.col(f"_before{n}"), valence, F.col("_capitals"), K.BOOSTER_DAMPING[n - 1], rules)
     for n in (1, 2, 3):
-        value = value * F.when(F.lower(f"_before{n}").isin(*NEGATORS), K.NEGATION_FACTOR).otherwise(1.0)
+        value = value * F.when(F.lower(f"_before{n}").isin(*rules.negators), K.NEGATION_FACTOR).otherwise(1.0)
     at, contrast = F.col("_at"), F.col("_contrast")
     value = value * (
         F.when((contrast < 0) | (at == contrast), 1.0).when(at < contrast, K.CONTRAST_BEFORE)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from communitylens import constants as K
 from communitylens.functions import text
 from communitylens.operators import filters, models
-from communitylens.operators.sentiment import score_sentiment
+from communitylens.operators.sentiment import Rules, score_sentiment
 from communitylens.session import cut_lineage
 from communitylens.sources.sampling import sample_n
 
@@ -19,9 +19,9 @@ def documents(submissions: DataFrame, key: str = "id", sample_size: int = 0) ->
     return filters.non_blank(rows, "raw_text").withColumn("text", text.cluster_text("raw_text"))
 
 
-def cluster_sentiment(assigned: DataFrame, source: str, key: str, lexicon: DataFrame | None = None) -> DataFrame:
+def cluster_sentiment(assigned: DataFrame, source: str, key: str, lexicon: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
     """cluster, avg_sentiment, n"""
-    scored = score_sentiment(assigned, source, ["cluster", key], lexicon, copies="copies")
+    scored = score_sentiment(assigned, source, ["cluster", key], lexicon, copies="copies", rules=rules)
     return scored.groupBy("cluster").agg(
         (F.sum(F.col("sentiment_score") * F.col("copies")) / F.sum("copies")).alias("avg_sentiment"),
         F.sum("copies").alias("n"),
@@ -35,7 +35,7 @@ def elbow(docs: DataFrame, low: int = K.ELBOW_MIN_K, high: int = K.ELBOW_MAX_K,
 
 
 def run(docs: DataFrame, key: str = "id", k: int = K.CLUSTER_K, size: int = K.CLUSTER_FEATURES,
-        lexicon: DataFrame | None = None) -> tuple:
+        lexicon: DataFrame | None = None, rules: Rules = Rules()) -> tuple:
     """(model, {assignments, profile, points, sentiment}); the features are computed once and stored."""
     _, vectors = models.cluster_features(docs, size=size)
     kept = cut_lineage(vectors.select(key, "raw_text", "filtered_words", "features"))
@@ -45,5 +45,5 @@ def run(docs: DataFrame, key: str = "id", k: int = K.CLUSTER_K, size: int = K.CL
         "assignments": assigned.select(key, "cluster"),
         "profile": models.cluster_profile(assigned),
         "points": models.cluster_points(models.plane(assigned), key),
-        "sentiment": cluster_sentiment(assigned, "raw_text", key, lexicon),
+        "sentiment": cluster_sentiment(assigned, "raw_text", key, lexicon, rules),
     }

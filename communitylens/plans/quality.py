@@ -27,11 +27,13 @@ def split_counts(train: DataFrame, validation: DataFrame, test: DataFrame) -> Da
 
 def evaluate(predictions: DataFrame, model: str = "LogisticRegression") -> dict[str, DataFrame]:
     """model_metrics_summary, confusion_matrix, roc, pr and aupr of (label, prediction, prob) rows."""
-    scores = evaluation.classification(evaluation.confusion(predictions))
-    summary = evaluation.auc(predictions).select(F.lit(model).alias("model"), "auc")
+    measures = ["accuracy", "precision", "recall", "f1", "auc"]
+    rows = evaluation.classification(evaluation.confusion(predictions)).unionByName(
+        evaluation.auc(predictions), allowMissingColumns=True
+    )
     return {
-        "model_metrics_summary": summary.join(scores.withColumn("model", F.lit(model)), "model").select(
-            "model", "accuracy", "precision", "recall", "f1", "auc"
+        "model_metrics_summary": rows.agg(*[F.max(m).alias(m) for m in measures]).select(
+            F.lit(model).alias("model"), *measures
         ),
         "confusion_matrix": evaluation.confusion_matrix(predictions),
         "roc": evaluation.roc_curve(predictions),

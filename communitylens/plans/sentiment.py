@@ -11,7 +11,7 @@ from communitylens import constants as K
 from communitylens.functions import text, timeparts
 from communitylens.operators import counting, filters, ranking
 from communitylens.operators.events import before_after
-from communitylens.operators.sentiment import score_sentiment, with_class
+from communitylens.operators.sentiment import Rules, score_sentiment, with_class
 from communitylens.session import cut_lineage, literal_table
 from communitylens.sources import sinks
 from communitylens.sources.sampling import hash_sample
@@ -30,10 +30,10 @@ def documents(comments: DataFrame, submissions: DataFrame) -> DataFrame:
     return left.unionByName(right).withColumn("text", text.sentiment_text("text"))
 
 
-def cube(docs: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
+def cube(docs: DataFrame, lexicon: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
     """(subreddit, year_month, sentiment_category, n, total): every sentiment table is a sum over this one."""
     keyed = docs.withColumn("year_month", timeparts.year_month_unpadded("date"))
-    scored = score_sentiment(keyed, "text", ["subreddit", "year_month"], lexicon, copies="copies")
+    scored = score_sentiment(keyed, "text", ["subreddit", "year_month"], lexicon, copies="copies", rules=rules)
     return (
         with_class(scored).groupBy("subreddit", "year_month", "sentiment_category")
         .agg(F.sum("copies").alias("n"), F.sum(F.col("sentiment_score") * F.col("copies")).alias("total"))
@@ -90,9 +90,9 @@ def tables(cells: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def run(comments: DataFrame, submissions: DataFrame, folder: str, lexicon: DataFrame | None = None) -> None:
+def run(comments: DataFrame, submissions: DataFrame, folder: str, lexicon: DataFrame | None = None, rules: Rules = Rules()) -> None:
     """Score every text once, store the cube, and write the five tables from it."""
-    cells = cut_lineage(cube(documents(comments, submissions), lexicon))
+    cells = cut_lineage(cube(documents(comments, submissions), lexicon, rules))
     sinks.write_tables(tables(cells), folder, {
         "sentiment_distribution_overall": [F.desc("count")],
         "sentiment_by_subreddit": [F.desc("avg_sentiment"), "subreddit"],
@@ -110,7 +110,7 @@ def categorised(df: DataFrame, categories: Mapping[str, Sequence[str]] = K.CATEG
 
 def category_scores(comments: DataFrame, categories: Mapping[str, Sequence[str]] = K.CATEGORIES,
                     start: str = K.DATE_START, end: str = K.DATE_END, key: str = "id",
-                    fraction: float | None = K.SAMPLE_FRACTION, lexicon: DataFrame | None = None) -> DataFrame:
+                    fraction: float | None = K.SAMPLE_FRACTION, lexicon: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
     """(category, subreddit, date, month, sentiment_score, copies) of the categories' comments, in one scan.
 
     ``fraction`` samples by hash of ``key``; None scores everything.
@@ -120,7 +120,7 @@ def category_scores(comments: DataFrame, categories: Mapping[str, Sequence[str]]
     if fraction is not None:
         kept = hash_sample(kept, key, fraction)
     dated = kept.withColumn("date", timeparts.utc_date("created_utc"))
-    scored = score_sentiment(dated, "body", ["subreddit", "month", "date"], lexicon, copies="copies")
+    scored = score_sentiment(dated, "body", ["subreddit", "month", "date"], lexicon, copies="copies", rules=rules)
     return categorised(scored, categories)
 
 

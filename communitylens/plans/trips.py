@@ -9,11 +9,16 @@ from pyspark.sql import functions as F
 def daily(trips: DataFrame, year: int | None = 2021, pickup: str = "tpep_pickup_datetime") -> DataFrame:
     """dt_year, dt_month, dt_day, num_trips, mean_trip_distance, max_mta_tax, q95_fare_amount,
     min_tip_amount, mean_passenger_count; latest day first."""
+    if year is not None:
+        # A range on the raw column, in its own type, so that parquet statistics can skip row groups.
+        kind = trips.schema[pickup].dataType
+        trips = trips.where(
+            (F.col(pickup) >= F.lit(f"{year}-01-01 00:00:00").cast(kind))
+            & (F.col(pickup) < F.lit(f"{year + 1}-01-01 00:00:00").cast(kind))
+        )
     dated = trips.withColumns({
         "dt_year": F.year(pickup), "dt_month": F.month(pickup), "dt_day": F.dayofmonth(pickup),
     })
-    if year is not None:
-        dated = dated.where(F.col("dt_year") == year)
     return (
         dated.groupBy("dt_year", "dt_month", "dt_day")
         .agg(
