@@ -21,7 +21,10 @@ def _col(c: Column | str) -> Column:
 
 
 def remove_urls(c: Column | str, replacement: str = " ", pattern: str = URL) -> Column:
-    return F.regexp_replace(_col(c), pattern, replacement)
+    """URLs replaced. Most texts hold none: a plain substring test spares them the regular expression."""
+    c = _col(c)
+    possible = c.contains("http") | c.contains("www")
+    return F.when(possible, F.regexp_replace(c, pattern, replacement)).otherwise(c)
 
 
 def remove_markdown(c: Column | str) -> Column:

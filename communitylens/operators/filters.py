@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from communitylens import constants as K
-from communitylens.functions import timeparts
+from communitylens.functions import text, timeparts
 
 
 def in_communities(df: DataFrame, names: Iterable[str], column: str = "subreddit", ignore_case: bool = False) -> DataFrame:
@@ -44,6 +44,15 @@ def non_blank(df: DataFrame, column: str) -> DataFrame:
     return df.where(F.col(column).isNotNull() & (F.col(column) != ""))
 
 
+def with_words(df: DataFrame, column: str) -> DataFrame:
+    """Rows whose ``topic_text`` is not empty.
+
+    Looks for a first letter instead of comparing the cleaned text with '': a filter on
+    the cleaned text would make Spark clean every text twice.
+    """
+    return df.where(text.remove_urls(F.lower(column)).rlike("[a-z]"))
+
+
 def not_null(df: DataFrame, *columns: str) -> DataFrame:
     return df.na.drop(subset=list(columns))
 

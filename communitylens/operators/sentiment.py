@@ -7,6 +7,7 @@ contrast around "but", and exclamation and question marks.
 
 from __future__ import annotations
 
+import string
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -76,16 +77,13 @@ class Rules:
     contrast: str = CONTRAST
 
 
-_PUNCTUATION = r"""!-/:-@\[-`{-~"""
-
-
 def default_lexicon(spark: SparkSession) -> DataFrame:
     return literal_table(spark, LEXICON, "term string, valence double")
 
 
 def _word(raw: Column) -> Column:
     """Outer punctuation off, unless that leaves two characters or fewer (emoticons)."""
-    bare = F.regexp_replace(raw, f"^[{_PUNCTUATION}]+|[{_PUNCTUATION}]+$", "")
+    bare = F.btrim(raw, F.lit(string.punctuation))
     return F.when(F.length(bare) <= 2, raw).otherwise(bare)
 
 
@@ -131,7 +129,7 @@ def score_sentiment(df: DataFrame, text: str, keys: Sequence[str], lexicon: Data
     valences = lexicon.groupBy(F.col("term").alias("_term")).agg(F.max("valence").alias("_valence"))
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     contrast_at = F.when(
-        F.contains(F.lower(body), F.lit(rules.contrast)),
+        F.contains(F.lower("_body"), F.lit(rules.contrast)),
         F.array_position(F.transform("_words", lambda w: F.lower(_word(w))), rules.contrast) - 1,
     ).otherwise(-1)
     capitals = F.exists("_words", _shouted) & F.exists("_words", lambda w: ~_shouted(w))
@@ -144,11 +142,12 @@ def score_sentiment(df: DataFrame, text: str, keys: Sequence[str], lexicon: Data
             *keys, F.xxhash64(body).alias("_hash1"), F.hash(body).alias("_hash2"), body.alias("_body"),
             F.split(F.trim(F.regexp_replace(body, r"\s+", " ")), " ").alias("_words"),
         )
+        # Per text, before the words are laid out as rows.
         .select(
             *document, _emphasis(F.col("_body")).alias("_emphasis"), capitals.alias("_capitals"),
-            contrast_at.alias("_contrast"),
-            F.posexplode(F.arrays_zip(F.col("_words").alias("word"), *shifted)).alias("_at", "_w"),
+            contrast_at.alias("_contrast"), F.arrays_zip(F.col("_words").alias("word"), *shifted).alias("_near"),
         )
+        .select(*document, "_emphasis", "_capitals", "_contrast", F.posexplode_outer("_near").alias("_at", "_w"))
         .where(F.col("_w.word").isNotNull())
         .select(
             *document, "_emphasis", "_capitals", "_contrast", "_at", _word(F.col("_w.word")).alias("_word"),

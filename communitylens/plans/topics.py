@@ -16,7 +16,7 @@ def documents(comments: DataFrame, submissions: DataFrame) -> DataFrame:
     columns = ["subreddit", "date", "created_utc"]
     left = filters.live_comments(comments).select(F.col("body").alias("text"), *columns)
     right = filters.live_posts(submissions).select(text.title_and_text("title", "selftext").alias("text"), *columns)
-    return filters.non_blank(left.unionByName(right).withColumn("clean_text", text.topic_text("text")), "clean_text")
+    return filters.with_words(left.unionByName(right), "text").withColumn("clean_text", text.topic_text("text"))
 
 
 def trends(assigned: DataFrame) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from communitylens.operators.sentiment import LEXICON, Rules
 from communitylens.session import checkpoint_dir, literal_table
+from communitylens.sources.tables import scan_parquet
 
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 EVENT_TYPES = ("click", "error", "purchase", "signup", "view")
@@ -38,8 +39,8 @@ RULES = Rules(
 )
 
 
-def load(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{name}.parquet")
+def load(spark: SparkSession, root: str, name: str, spread: bool = False) -> DataFrame:
+    return scan_parquet(spark, f"{root}/{name}.parquet", spread=spread)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -125,7 +126,7 @@ def _moment(key: str):
 def docs(spark: SparkSession, root: str) -> DataFrame:
     labels = load(spark, root, "labels").withColumnRenamed("doc_id", "labelled_id")
     return (
-        load(spark, root, "documents")
+        load(spark, root, "documents", spread=True)
         .join(labels, F.col("doc_id") == F.col("labelled_id"), "left")
         .select(
             F.col("doc_id").alias("id"), F.col("source").alias("subreddit"), _spread("doc_id").alias("date"),
@@ -143,7 +144,7 @@ DOCS = """docs AS (
 
 
 def chat(spark: SparkSession, root: str) -> DataFrame:
-    return load(spark, root, "conversations").select(
+    return load(spark, root, "conversations", spread=True).select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("subreddit"),
         F.col("conv_id").cast("string").alias("author"), _spread("conv_id").alias("date"),
         _moment("conv_id").alias("created_utc"), F.col("text").alias("body"), F.col("turn").alias("score"),
@@ -186,8 +187,8 @@ def predictions(spark: SparkSession, root: str) -> DataFrame:
 
 
 PREDICTIONS = """predictions AS (
-  SELECT doc_id AS id, quality AS label, least(n_chars / 4000.0, 1.0) AS prob,
-         CASE WHEN least(n_chars / 4000.0, 1.0) > 0.1 THEN 1.0 ELSE 0.0 END AS prediction
+  SELECT doc_id AS id, quality AS label, least(CAST(n_chars AS DOUBLE) / 4000, 1) AS prob,
+         CASE WHEN least(CAST(n_chars AS DOUBLE) / 4000, 1) > 0.1 THEN 1 ELSE 0 END AS prediction
   FROM documents JOIN labels USING (doc_id))"""
 
 
@@ -207,5 +208,7 @@ def sql_list(words) -> str:
 def sql_rows(rows) -> str:
     """('a', 1), ('b', 2)"""
     def literal(value) -> str:
-        return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else repr(value)
+        if isinstance(value, str):
+            return "'" + value.replace("'", "''") + "'"
+        return f"CAST({value!r} AS DOUBLE)" if isinstance(value, float) else repr(value)
     return ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
