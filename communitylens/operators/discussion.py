@@ -12,10 +12,8 @@ from communitylens.functions import text
 
 
 def stop_words(extra: Iterable[str] = K.CLOUD_STOP_WORDS) -> list[str]:
-    """Spark's English stop words and the extra ones."""
-    from pyspark.ml.feature import StopWordsRemover
-
-    return sorted(set(StopWordsRemover.loadDefaultStopWords("english")) | set(extra))
+    """The English stop words and the extra ones."""
+    return sorted(set(K.ENGLISH_STOP_WORDS) | set(extra))
 
 
 def discussion_type(df: DataFrame, content: str = "content", classes: Mapping[str, Sequence[str]] = K.KEYWORD_CLASSES,

@@ -53,8 +53,7 @@ def tokenizer(source: str, target: str = "words") -> Tokenizer:
 
 
 def stop_words_remover(source: str, target: str, extra: Sequence[str] = ()) -> StopWordsRemover:
-    words = StopWordsRemover.loadDefaultStopWords("english") + list(extra)
-    return StopWordsRemover(inputCol=source, outputCol=target, stopWords=words)
+    return StopWordsRemover(inputCol=source, outputCol=target, stopWords=[*K.ENGLISH_STOP_WORDS, *extra])
 
 
 def hashed_tfidf(source: str, size: int, target: str = "features") -> list:
