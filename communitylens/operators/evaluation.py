@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from communitylens.functions.labels import guarded_ratio
 
-_BINS = 10_000
+_BINS = 100_000
 
 
 def confusion(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -56,7 +56,7 @@ def auc(predictions: DataFrame, label: str = "label", score: str = "prob") -> Da
     """Area under the ROC curve, ties averaged; null when a class is missing.
 
     For each positive, the negatives scored below it plus half of those tied. Counts
-    run inside 10,001 fixed score bins in parallel and are shifted by bin totals, so
+    run inside 100,001 fixed bins of scores in [0, 1] in parallel and are shifted by bin totals, so
     no task orders all scores.
     """
     pos, neg = F.col("positives"), F.col("negatives")

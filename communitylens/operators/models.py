@@ -17,7 +17,7 @@ from communitylens import constants as K
 from communitylens.functions.labels import argmax, class_probability
 from communitylens.operators import features
 from communitylens.operators.terms import leading_terms
-from communitylens.session import literal_table
+from communitylens.session import cut_lineage, literal_table
 from communitylens.sources.sampling import hash_fraction
 
 
@@ -38,24 +38,33 @@ def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> Da
 
 
 # ---------------------------------------------------------------------- topics
-def fit_topics(df: DataFrame, text: str = "clean_text", k: int = K.TOPIC_COUNT, vocabulary: int = K.TOPIC_VOCABULARY,
-               min_df: float = K.TOPIC_MIN_DF, iterations: int = K.TOPIC_ITERATIONS, seed: int = K.SEED,
-               extra: Sequence[str] = K.TOPIC_STOP_WORDS) -> tuple[PipelineModel, LDAModel]:
-    """TF-IDF stages and an online LDA fitted on them."""
-    stages = features.counted_tfidf(text, vocabulary, min_df, extra)
-    weights = Pipeline(stages=stages).fit(df)
-    vectors = weights.transform(df).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+def topic_vectors(df: DataFrame, keep: Sequence[str], text: str = "clean_text", vocabulary: int = K.TOPIC_VOCABULARY,
+                  min_df: float = K.TOPIC_MIN_DF, extra: Sequence[str] = K.TOPIC_STOP_WORDS) -> tuple[list[str], DataFrame]:
+    """(vocabulary, table of keep... and TF-IDF features).
+
+    Texts are read twice, for the vocabulary and for the counts. The counts are then
+    stored, so that weights, model and assignment work from short sparse vectors.
+    """
+    *counting, weighting = features.counted_tfidf(text, vocabulary, min_df, extra)
+    counts = Pipeline(stages=counting).fit(df)
+    counted = cut_lineage(counts.transform(df).select(*keep, "raw_features"))
+    weighted = weighting.fit(counted).transform(counted)
+    return counts.stages[2].vocabulary, weighted.select(*keep, "features")
+
+
+def fit_topics(vectors: DataFrame, k: int = K.TOPIC_COUNT, iterations: int = K.TOPIC_ITERATIONS, seed: int = K.SEED) -> LDAModel:
+    """Online LDA; each iteration looks at a sample of the vectors, which are kept meanwhile."""
+    kept = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        lda = LDA(k=k, maxIter=iterations, optimizer="online", seed=seed, featuresCol="features").fit(vectors)
+        return LDA(k=k, maxIter=iterations, optimizer="online", seed=seed, featuresCol="features").fit(kept)
     finally:
-        vectors.unpersist()
-    return weights, lda
+        kept.unpersist()
 
 
-def topic_words(weights: PipelineModel, lda: LDAModel, words: int = K.TOPIC_WORDS) -> DataFrame:
+def topic_words(vocabulary: Sequence[str], lda: LDAModel, words: int = K.TOPIC_WORDS) -> DataFrame:
     """(topic, rank, term, weight, relative): leading terms per topic, weight also relative to the topic's largest."""
     described = lda.describeTopics(maxTermsPerTopic=words)
-    terms = literal_table(described.sparkSession, enumerate(weights.stages[2].vocabulary), "index int, term string")
+    terms = literal_table(described.sparkSession, enumerate(vocabulary), "index int, term string")
     return (
         described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
         .select("topic", (F.col("rank") + 1).alias("rank"), F.col("t.termIndices").alias("index"),
@@ -66,10 +75,10 @@ def topic_words(weights: PipelineModel, lda: LDAModel, words: int = K.TOPIC_WORD
     )
 
 
-def dominant_topic(weights: PipelineModel, lda: LDAModel, df: DataFrame, keep: Sequence[str]) -> DataFrame:
-    """(keep..., dominant_topic)"""
-    scored = lda.transform(weights.transform(df).select(*keep, "features"))
-    return scored.select(*keep, argmax(vector_to_array("topicDistribution")).alias("dominant_topic"))
+def dominant_topic(lda: LDAModel, vectors: DataFrame) -> DataFrame:
+    """The columns kept with the vectors, and dominant_topic."""
+    keep = [c for c in vectors.columns if c != "features"]
+    return lda.transform(vectors).select(*keep, argmax(vector_to_array("topicDistribution")).alias("dominant_topic"))
 
 
 # -------------------------------------------------------------------- clusters

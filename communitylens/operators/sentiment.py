@@ -132,7 +132,7 @@ def score_sentiment(df: DataFrame, text: str, keys: Sequence[str], lexicon: Data
         F.contains(F.lower("_body"), F.lit(rules.contrast)),
         F.array_position(F.transform("_words", lambda w: F.lower(_word(w))), rules.contrast) - 1,
     ).otherwise(-1)
-    capitals = F.exists("_words", _shouted) & F.exists("_words", lambda w: ~_shouted(w))
+    capitals = F.exists("_words", _shouted) & F.exists("_words", lambda w: (w != "") & ~_shouted(w))
 
     # Two independent hashes stand for the text from here on.
     document = [*keys, "_hash1", "_hash2"]
@@ -140,7 +140,7 @@ def score_sentiment(df: DataFrame, text: str, keys: Sequence[str], lexicon: Data
     rows = (
         df.select(
             *keys, F.xxhash64(body).alias("_hash1"), F.hash(body).alias("_hash2"), body.alias("_body"),
-            F.split(F.trim(F.regexp_replace(body, r"\s+", " ")), " ").alias("_words"),
+            F.split(F.trim(body), r"\s+").alias("_words"),
         )
         # Per text, before the words are laid out as rows.
         .select(

@@ -41,12 +41,25 @@ def leading_terms(df: DataFrame, words: str, group: str, k: int, lemmas: DataFra
     return best.select(group, "rank", "term", "count")
 
 
-def vocabulary(df: DataFrame, key: str, words: str, min_df: int = 1, size: int | None = None) -> DataFrame:
-    """(term, count, documents) of terms in at least ``min_df`` documents, the ``size`` most frequent."""
-    per_document = word_count(df, words, [key])
+def vocabulary(df: DataFrame, words: str, min_df: int = 1, size: int | None = None) -> DataFrame:
+    """(term, count, documents) of terms in at least ``min_df`` documents (rows), the ``size`` most frequent.
+
+    Sorting each row's words puts equal ones side by side, so a word's first
+    occurrence is marked without an exchange; only (term, count, documents)
+    partial sums are shuffled, never (document, term) pairs.
+    """
+    ordered = df.select(F.sort_array(words).alias("_words")).select(
+        F.explode_outer(F.arrays_zip(
+            F.col("_words").alias("term"), F.concat(F.array(F.lit("")), F.col("_words")).alias("left")
+        )).alias("_w")
+    )
     terms = (
-        per_document.groupBy("term")
-        .agg(F.sum("count").alias("count"), F.count(F.lit(1)).alias("documents"))
+        ordered.where(F.col("_w.term").isNotNull())
+        .groupBy(F.col("_w.term").alias("term"))
+        .agg(
+            F.count(F.lit(1)).alias("count"),
+            F.count(F.when((F.col("_w.term") != F.col("_w.left")) | (F.col("_w.term") == ""), 1)).alias("documents"),
+        )
         .where(F.col("documents") >= min_df)
     )
     return terms if size is None else terms.orderBy(F.desc("count"), "term").limit(size)

@@ -36,14 +36,19 @@ def elbow(docs: DataFrame, low: int = K.ELBOW_MIN_K, high: int = K.ELBOW_MAX_K,
 
 def run(docs: DataFrame, key: str = "id", k: int = K.CLUSTER_K, size: int = K.CLUSTER_FEATURES,
         lexicon: DataFrame | None = None, rules: Rules = Rules()) -> tuple:
-    """(model, {assignments, profile, points, sentiment}); the features are computed once and stored."""
+    """(model, {assignments, profile, points, sentiment}).
+
+    The fits work on stored (key, features) rows. Words and texts are not stored:
+    the tables that need them clean the texts once more, row by row.
+    """
     _, vectors = models.cluster_features(docs, size=size)
-    kept = cut_lineage(vectors.select(key, "raw_text", "filtered_words", "features"))
+    kept = cut_lineage(vectors.select(key, "features"))
     model = models.fit_clusters(kept, k)
     assigned = model.transform(kept)
+    with_text = model.transform(vectors)
     return model, {
         "assignments": assigned.select(key, "cluster"),
-        "profile": models.cluster_profile(assigned),
+        "profile": models.cluster_profile(with_text),
         "points": models.cluster_points(models.plane(assigned), key),
-        "sentiment": cluster_sentiment(assigned, "raw_text", key, lexicon, rules),
+        "sentiment": cluster_sentiment(with_text, "raw_text", key, lexicon, rules),
     }

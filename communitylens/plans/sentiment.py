@@ -110,27 +110,33 @@ def categorised(df: DataFrame, categories: Mapping[str, Sequence[str]] = K.CATEG
 
 def category_scores(comments: DataFrame, categories: Mapping[str, Sequence[str]] = K.CATEGORIES,
                     start: str = K.DATE_START, end: str = K.DATE_END, key: str = "id",
-                    fraction: float | None = K.SAMPLE_FRACTION, lexicon: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:
-    """(category, subreddit, date, month, sentiment_score, copies) of the categories' comments, in one scan.
+                    fraction: float | None = K.SAMPLE_FRACTION, lexicon: DataFrame | None = None,
+                    rules: Rules = Rules()) -> DataFrame:
+    """(category, subreddit, month, date, sentiment_score, n): mean score of each community and day, in one scan.
 
-    ``fraction`` samples by hash of ``key``; None scores everything.
+    ``fraction`` samples by hash of ``key``; None scores everything. Categories are
+    attached to the daily means, not to the texts.
     """
-    names = [name for members in categories.values() for name in members]
+    names = sorted({name for members in categories.values() for name in members})
     kept = filters.scoped(comments, names, start, end).where(F.col("body").isNotNull())
     if fraction is not None:
         kept = hash_sample(kept, key, fraction)
     dated = kept.withColumn("date", timeparts.utc_date("created_utc"))
     scored = score_sentiment(dated, "body", ["subreddit", "month", "date"], lexicon, copies="copies", rules=rules)
-    return categorised(scored, categories)
+    daily = scored.groupBy("subreddit", "month", "date").agg(
+        (F.sum(F.col("sentiment_score") * F.col("copies")) / F.sum("copies")).alias("sentiment_score"),
+        F.sum("copies").alias("n"),
+    )
+    return categorised(daily, categories)
 
 
 def category_trend(scores: DataFrame) -> DataFrame:
     """month, avg_sentiment, category"""
     return scores.groupBy("month", "category").agg(
-        (F.sum(F.col("sentiment_score") * F.col("copies")) / F.sum("copies")).alias("avg_sentiment")
+        (F.sum(F.col("sentiment_score") * F.col("n")) / F.sum("n")).alias("avg_sentiment")
     ).select("month", "avg_sentiment", "category").orderBy("category", "month")
 
 
 def event_impact(scores: DataFrame, days: int = 30, events: Mapping[str, str] = K.EVENTS) -> DataFrame:
     """event_date, label, category, avg_before, avg_after, delta, n_before, n_after"""
-    return before_after(scores, "date", "sentiment_score", days, events, by=["category"], weight="copies")
+    return before_after(scores, "date", "sentiment_score", days, events, by=["category"], weight="n")

@@ -51,8 +51,9 @@ def run(docs: DataFrame, k: int = K.TOPIC_COUNT, vocabulary: int = K.TOPIC_VOCAB
     Documents per (subreddit, date, topic) are counted once and stored; the tables
     are sums over that.
     """
-    weights, lda = models.fit_topics(docs, k=k, vocabulary=vocabulary, min_df=min_df, iterations=iterations)
-    assigned = models.dominant_topic(weights, lda, docs, ["subreddit", "date"])
+    terms, vectors = models.topic_vectors(docs, ["subreddit", "date"], vocabulary=vocabulary, min_df=min_df)
+    lda = models.fit_topics(vectors, k, iterations)
+    assigned = models.dominant_topic(lda, vectors)
     monthly = assigned.withColumn("year_month", timeparts.year_month_unpadded("date"))
     cells = cut_lineage(counting.rows_per_group(monthly, "subreddit", "year_month", "dominant_topic"))
 
@@ -60,7 +61,7 @@ def run(docs: DataFrame, k: int = K.TOPIC_COUNT, vocabulary: int = K.TOPIC_VOCAB
         return cells.groupBy(*keys).agg(F.sum("count").alias("count"))
 
     return {
-        "topics": models.topic_words(weights, lda, words),
+        "topics": models.topic_words(terms, lda, words),
         "topic_trends": summed("year_month", "dominant_topic").orderBy("year_month", "dominant_topic"),
         "topic_by_subreddit": summed("subreddit", "dominant_topic").orderBy(
             "subreddit", F.desc("count"), "dominant_topic"

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from communitylens import constants as K
 from communitylens.functions import text
-from communitylens.operators import evaluation, features, models
-from communitylens.plans import clusters, quality, topics
+from communitylens.operators import evaluation, features, filters, models
+from communitylens.plans import clusters, quality
 from communitylens.sources.sampling import split_by_hash
 from workload import roles
 from workload.registry import query, rounded
@@ -110,34 +110,30 @@ def _(spark, root):
     return models.predict(model, test, ["id"])
 
 
-def _topic_docs(spark, root):
-    docs = _docs(spark, root).select("id", "subreddit", "date", "body")
-    return docs.withColumn("clean_text", text.topic_text("body"))
-
-
 def _topic_model(spark, root):
-    docs = _topic_docs(spark, root)
-    return docs, *models.fit_topics(docs, k=4, vocabulary=500, iterations=5)
+    docs = _docs(spark, root).select("id", "subreddit", "date", "body")
+    docs = filters.with_words(docs, "body").withColumn("clean_text", text.topic_text("body"))
+    words, vectors = models.topic_vectors(docs, ["id", "subreddit", "date"], vocabulary=500)
+    return words, vectors, models.fit_topics(vectors, k=4, iterations=5)
 
 
 @query("lda_fit")
 def _(spark, root):
-    docs, weights, lda = _topic_model(spark, root)
-    vectors = weights.transform(docs).select("features")
+    _, vectors, lda = _topic_model(spark, root)
     return roles.literal_table(spark, [(lda.getK(), lda.vocabSize(), float(lda.logPerplexity(vectors)))],
                                "topics int, vocabulary int, log_perplexity double")
 
 
 @query("lda_topics")
 def _(spark, root):
-    _, weights, lda = _topic_model(spark, root)
-    return models.topic_words(weights, lda, 15)
+    words, _, lda = _topic_model(spark, root)
+    return models.topic_words(words, lda, 15)
 
 
 @query("lda_transform")
 def _(spark, root):
-    docs, weights, lda = _topic_model(spark, root)
-    return models.dominant_topic(weights, lda, docs, ["id", "subreddit", "date"])
+    _, vectors, lda = _topic_model(spark, root)
+    return models.dominant_topic(lda, vectors)
 
 
 def _vectors(spark, root):

@@ -89,7 +89,7 @@ SELECT term, count(*) AS count, count(DISTINCT id) AS documents FROM t GROUP BY
 ORDER BY 2 DESC, 1 LIMIT 5000""")
 def _(spark, root):
     docs = roles.docs(spark, root).withColumn("words", F.split(text.topic_text("body"), " "))
-    return terms.vocabulary(docs, "id", "words", min_df=10, size=5000)
+    return terms.vocabulary(docs, "words", min_df=10, size=5000)
 
 
 @query("idf_weight", f"""
