@@ -8,15 +8,14 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, KMeans, KMeansModel, LDAModel
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import IDF, PCA, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from communitylens import constants as K
 from communitylens.functions.labels import argmax, class_probability
-from communitylens.operators import features
-from communitylens.operators.terms import leading_terms
+from communitylens.operators import features, terms
 from communitylens.session import cut_lineage, literal_table
 from communitylens.sources.sampling import hash_fraction
 
@@ -39,17 +38,21 @@ def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> Da
 
 # ---------------------------------------------------------------------- topics
 def topic_vectors(df: DataFrame, keep: Sequence[str], text: str = "clean_text", vocabulary: int = K.TOPIC_VOCABULARY,
-                  min_df: float = K.TOPIC_MIN_DF, extra: Sequence[str] = K.TOPIC_STOP_WORDS) -> tuple[list[str], DataFrame]:
+                  min_df: int = K.TOPIC_MIN_DF, extra: Sequence[str] = K.TOPIC_STOP_WORDS) -> tuple[list[str], DataFrame]:
     """(vocabulary, table of keep... and TF-IDF features).
 
     Texts are read twice, for the vocabulary and for the counts. The counts are then
     stored, so that weights, model and assignment work from short sparse vectors.
     """
-    *counting, weighting = features.counted_tfidf(text, vocabulary, min_df, extra)
-    counts = Pipeline(stages=counting).fit(df)
-    counted = cut_lineage(counts.transform(df).select(*keep, "raw_features"))
-    weighted = weighting.fit(counted).transform(counted)
-    return counts.stages[2].vocabulary, weighted.select(*keep, "features")
+    split = Pipeline(stages=[
+        features.tokenizer(text, "tokens"), features.stop_words_remover("tokens", "filtered_tokens", extra),
+    ]).fit(df)
+    words = split.transform(df)
+    chosen = [row["term"] for row in terms.vocabulary(words, "filtered_tokens", min_df, vocabulary).collect()]
+    counter = CountVectorizerModel.from_vocabulary(chosen, inputCol="filtered_tokens", outputCol="raw_features")
+    counted = cut_lineage(counter.transform(words).select(*keep, "raw_features"))
+    weighted = IDF(inputCol="raw_features", outputCol="features").fit(counted).transform(counted)
+    return chosen, weighted.select(*keep, "features")
 
 
 def fit_topics(vectors: DataFrame, k: int = K.TOPIC_COUNT, iterations: int = K.TOPIC_ITERATIONS, seed: int = K.SEED) -> LDAModel:
@@ -64,12 +67,12 @@ def fit_topics(vectors: DataFrame, k: int = K.TOPIC_COUNT, iterations: int = K.T
 def topic_words(vocabulary: Sequence[str], lda: LDAModel, words: int = K.TOPIC_WORDS) -> DataFrame:
     """(topic, rank, term, weight, relative): leading terms per topic, weight also relative to the topic's largest."""
     described = lda.describeTopics(maxTermsPerTopic=words)
-    terms = literal_table(described.sparkSession, enumerate(vocabulary), "index int, term string")
+    names = literal_table(described.sparkSession, enumerate(vocabulary), "index int, term string")
     return (
         described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
         .select("topic", (F.col("rank") + 1).alias("rank"), F.col("t.termIndices").alias("index"),
                 F.col("t.termWeights").alias("weight"))
-        .join(terms, "index")
+        .join(names, "index")
         .withColumn("relative", F.col("weight") / F.max("weight").over(Window.partitionBy("topic")))
         .select("topic", "rank", "term", "weight", "relative")
     )
@@ -122,10 +125,14 @@ def cluster_sizes(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
-def cluster_profile(assigned: DataFrame, terms: int = K.CLUSTER_TERMS, words: str = "filtered_words") -> DataFrame:
-    """(cluster, size, top_terms): the most frequent words of all documents of each cluster."""
-    best = leading_terms(assigned, words, "cluster", terms)
+def cluster_profile(assigned: DataFrame, k: int = K.CLUSTER_TERMS, words: str = "filtered_words",
+                    sizes: DataFrame | None = None) -> DataFrame:
+    """(cluster, size, top_terms): the most frequent words of all documents of each cluster.
+
+    ``sizes`` is for when the sizes are known more cheaply than from ``assigned``.
+    """
+    best = terms.leading_terms(assigned, words, "cluster", k)
     listed = best.groupBy("cluster").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]).alias("top_terms")
     )
-    return cluster_sizes(assigned).join(listed, "cluster", "left")
+    return (cluster_sizes(assigned) if sizes is None else sizes).join(listed, "cluster", "left")

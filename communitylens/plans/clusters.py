@@ -48,7 +48,7 @@ def run(docs: DataFrame, key: str = "id", k: int = K.CLUSTER_K, size: int = K.CL
     with_text = model.transform(vectors)
     return model, {
         "assignments": assigned.select(key, "cluster"),
-        "profile": models.cluster_profile(with_text),
+        "profile": models.cluster_profile(with_text, sizes=models.cluster_sizes(assigned)),
         "points": models.cluster_points(models.plane(assigned), key),
         "sentiment": cluster_sentiment(with_text, "raw_text", key, lexicon, rules),
     }

@@ -44,14 +44,14 @@ def month_grid(trend_table: DataFrame, topics: int = K.TOPIC_COUNT) -> DataFrame
     return counting.pivoted(trend_table, "year_month", "dominant_topic", "count", range(topics), fill=0)
 
 
-def run(docs: DataFrame, k: int = K.TOPIC_COUNT, vocabulary: int = K.TOPIC_VOCABULARY, min_df: float = K.TOPIC_MIN_DF,
+def run(docs: DataFrame, k: int = K.TOPIC_COUNT, vocabulary: int = K.TOPIC_VOCABULARY, min_df: int = K.TOPIC_MIN_DF,
         iterations: int = K.TOPIC_ITERATIONS, words: int = K.TOPIC_WORDS) -> dict[str, DataFrame]:
     """topics, topic_trends, topic_by_subreddit and topic_shares.
 
     Documents per (subreddit, date, topic) are counted once and stored; the tables
     are sums over that.
     """
-    terms, vectors = models.topic_vectors(docs, ["subreddit", "date"], vocabulary=vocabulary, min_df=min_df)
+    names, vectors = models.topic_vectors(docs, ["subreddit", "date"], vocabulary=vocabulary, min_df=min_df)
     lda = models.fit_topics(vectors, k, iterations)
     assigned = models.dominant_topic(lda, vectors)
     monthly = assigned.withColumn("year_month", timeparts.year_month_unpadded("date"))
@@ -61,7 +61,7 @@ def run(docs: DataFrame, k: int = K.TOPIC_COUNT, vocabulary: int = K.TOPIC_VOCAB
         return cells.groupBy(*keys).agg(F.sum("count").alias("count"))
 
     return {
-        "topics": models.topic_words(terms, lda, words),
+        "topics": models.topic_words(names, lda, words),
         "topic_trends": summed("year_month", "dominant_topic").orderBy("year_month", "dominant_topic"),
         "topic_by_subreddit": summed("subreddit", "dominant_topic").orderBy(
             "subreddit", F.desc("count"), "dominant_topic"

@@ -97,7 +97,7 @@ WITH {DOCS}, n AS (SELECT count(*) AS n FROM docs), t AS (SELECT DISTINCT id, un
 SELECT term, count(*) AS documents, round(ln(((SELECT n FROM n) + 1.0) / (count(*) + 1.0)), 9) AS idf FROM t GROUP BY 1""")
 def _(spark, root):
     docs = roles.docs(spark, root).withColumn("words", F.split(text.topic_text("body"), " "))
-    return rounded(terms.inverse_document_frequency(docs, "id", "words"), ["idf"], 9)
+    return rounded(terms.inverse_document_frequency(docs, "words"), ["idf"], 9)
 
 
 PUNCT = "[!-/:-@\\[-`{-~]"
