@@ -57,18 +57,16 @@ def vocabulary(df: DataFrame, words: str, min_df: int = 1, size: int | None = No
     occurrence is marked without an exchange; only (term, count, documents)
     partial sums are shuffled, never (document, term) pairs.
     """
-    ordered = df.select(F.sort_array(words).alias("_words")).select(
-        F.explode_outer(F.arrays_zip(
-            F.col("_words").alias("term"), F.concat(F.array(F.lit("")), F.col("_words")).alias("left")
-        )).alias("_w")
+    pairs = F.arrays_zip(F.col("_words").alias("term"), F.concat(F.array(F.lit("")), F.col("_words")).alias("left"))
+    ordered = (
+        df.select(F.sort_array(words).alias("_words"))
+        .select(F.posexplode_outer(pairs).alias("_at", "_w"))
+        .where(F.col("_w.term").isNotNull())
     )
+    first = (F.col("_at") == 0) | (F.col("_w.term") != F.col("_w.left"))
     terms = (
-        ordered.where(F.col("_w.term").isNotNull())
-        .groupBy(F.col("_w.term").alias("term"))
-        .agg(
-            F.count(F.lit(1)).alias("count"),
-            F.count(F.when((F.col("_w.term") != F.col("_w.left")) | (F.col("_w.term") == ""), 1)).alias("documents"),
-        )
+        ordered.groupBy(F.col("_w.term").alias("term"))
+        .agg(F.count(F.lit(1)).alias("count"), F.count(F.when(first, 1)).alias("documents"))
         .where(F.col("documents") >= min_df)
     )
     return terms if size is None else terms.orderBy(F.desc("count"), "term").limit(size)

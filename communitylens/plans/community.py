@@ -77,4 +77,5 @@ def audience_overlap(comments: DataFrame, submissions: DataFrame, communities: S
 
 def overlap_matrix(pairs: DataFrame, communities: Sequence[str] = K.OVERLAP_COMMUNITIES) -> DataFrame:
     """One row and one column per community."""
-    return counting.pivoted(pairs, "a", "b", "jaccard", communities).withColumnRenamed("a", "subreddit")
+    named = pairs.select(F.col("a").alias("subreddit"), F.col("b").alias("other"), "jaccard")
+    return counting.pivoted(named, "subreddit", "other", "jaccard", communities)
