@@ -51,10 +51,6 @@ def argmax(weights: Column | str) -> Column:
     )
 
 
-def share_of_max(weight: Column | str, window) -> Column:
-    return _col(weight) / F.max(_col(weight)).over(window)
-
-
 def shared_size(a: Column | str, b: Column | str) -> Column:
     """|A and B| of two small arrays."""
     return F.size(F.array_intersect(_col(a), _col(b)))

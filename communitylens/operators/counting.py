@@ -56,8 +56,18 @@ def row_percent(df: DataFrame, index: str, value: str = "count", alias: str = "p
     return df.withColumn(alias, F.col(value) / whole * 100)
 
 
+def relative_to_max(df: DataFrame, group: str, value: str, alias: str = "relative") -> DataFrame:
+    """Each row's value relative to the largest of its group.
+
+    The maxima are aggregated and joined back, so no group has to pass through one task.
+    """
+    largest = df.groupBy(F.col(group).alias("_group")).agg(F.max(value).alias("_largest"))
+    joined = df.join(largest, F.col(group).eqNullSafe(F.col("_group")), "left")
+    return joined.withColumn(alias, F.col(value) / F.col("_largest")).drop("_group", "_largest")
+
+
 def overall_share(df: DataFrame, key: str, value: str = "count", alias: str = "share") -> DataFrame:
-    """Each key's part in the grand total."""
+    """Each key's part in the grand total. For few keys: the totals meet in one task."""
     totals = df.groupBy(key).agg(F.sum(value).alias(value))
     return totals.withColumn(alias, F.col(value) / F.sum(value).over(Window.partitionBy()))
 

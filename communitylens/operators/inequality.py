@@ -1,15 +1,59 @@
-"""Gini coefficient per group without collecting groups."""
+"""Sorted positions and the Gini coefficient per group, without collecting groups."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _STEPS_PER_OCTAVE = 256
 
 
+def _histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys..., _x, _k, _range): how often each non-negative value occurs, and its value range.
+
+    A group without such values keeps one row with _x null and _k 0.
+    """
+    number = F.col(value).cast("double")
+    return (
+        df.select(*keys, F.when((number >= 0) & ~F.isnan(number), number).alias("_x"))
+        .groupBy(*keys, "_x").agg(F.count("_x").alias("_k"))
+        .withColumn("_range", F.floor(F.log2(F.col("_x") + 1) * _STEPS_PER_OCTAVE))
+    )
+
+
+def _before(keys: list[str], column: str, order: str) -> Column:
+    """Running total of ``column`` over the rows ordered before, within the keys."""
+    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(column).over(w), F.lit(0))
+
+
+def positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys..., value, count, first_position, last_position): 1-based places in the group's ascending order.
+
+    One row per distinct non-negative value; its equals share the places between first
+    and last. Same division into value ranges as in ``gini``.
+    """
+    keys = list(keys)
+    histogram = _histogram(df, keys, value).where(F.col("_x").isNotNull())
+    shifts = (
+        histogram.groupBy(*keys, "_range").agg(F.sum("_k").alias("_n"))
+        .select(
+            F.struct(*keys).alias("_group"), F.col("_range").alias("_same_range"),
+            _before(keys, "_n", "_range").alias("_shift"),
+        )
+    )
+    placed = histogram.withColumn("_start", _before([*keys, "_range"], "_k", "_x")).join(
+        shifts, F.struct(*keys).eqNullSafe(F.col("_group")) & (F.col("_range") == F.col("_same_range"))
+    )
+    start = F.col("_start") + F.col("_shift")
+    return placed.select(
+        *keys, F.col("_x").alias(value), F.col("_k").alias("count"),
+        (start + 1).alias("first_position"), (start + F.col("_k")).alias("last_position"),
+    )
+
+
 def gini(df: DataFrame, keys: Sequence[str], value: str, alias: str = "gini") -> DataFrame:
     """Gini coefficient of the non-negative values in each group, 0.0 if they sum to nothing.
 
@@ -20,27 +64,20 @@ def gini(df: DataFrame, keys: Sequence[str], value: str, alias: str = "gini") ->
     tasks, and no group is ever held as a list.
     """
     keys = list(keys)
-    number = F.col(value).cast("double")
-    histogram = (
-        df.select(*keys, F.when((number >= 0) & ~F.isnan(number), number).alias("_x"))
-        .groupBy(*keys, "_x").agg(F.count("_x").cast("double").alias("_k"))
-        .withColumn("_range", F.floor(F.log2(F.col("_x") + 1) * _STEPS_PER_OCTAVE))
-    )
-    lower = Window.partitionBy(*keys, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    k, x = F.col("_k"), F.col("_x")
+    k, x = F.col("_k").cast("double"), F.col("_x")
     ranges = (
-        histogram.withColumn("_before", F.coalesce(F.sum("_k").over(lower), F.lit(0.0)))
+        _histogram(df, keys, value)
+        .withColumn("_start", _before([*keys, "_range"], "_k", "_x"))
         .groupBy(*keys, "_range")
         .agg(
             F.sum(k).alias("_n"),
             F.sum(k * x).alias("_s"),
-            F.sum(x * (k * F.col("_before") + k * (k + 1) / 2)).alias("_w"),
+            F.sum(x * (k * F.col("_start") + k * (k + 1) / 2)).alias("_w"),
         )
     )
-    lower_ranges = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     n, s, w = F.col("_n"), F.col("_s"), F.col("_w")
     totals = (
-        ranges.withColumn("_shift", F.coalesce(F.sum("_n").over(lower_ranges), F.lit(0.0)))
+        ranges.withColumn("_shift", _before(keys, "_n", "_range"))
         .groupBy(*keys)
         .agg(F.sum(n).alias("_n"), F.sum(s).alias("_s"), F.sum(w + F.col("_shift") * s).alias("_w"))
     )

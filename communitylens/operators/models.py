@@ -10,12 +10,12 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, KMeans, KMeansModel, LDAModel
 from pyspark.ml.feature import IDF, PCA, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from communitylens import constants as K
 from communitylens.functions.labels import argmax, class_probability
-from communitylens.operators import features, terms
+from communitylens.operators import counting, features, terms
 from communitylens.session import cut_lineage, literal_table
 from communitylens.sources.sampling import hash_fraction
 
@@ -68,14 +68,13 @@ def topic_words(vocabulary: Sequence[str], lda: LDAModel, words: int = K.TOPIC_W
     """(topic, rank, term, weight, relative): leading terms per topic, weight also relative to the topic's largest."""
     described = lda.describeTopics(maxTermsPerTopic=words)
     names = literal_table(described.sparkSession, enumerate(vocabulary), "index int, term string")
-    return (
+    listed = (
         described.select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "t"))
         .select("topic", (F.col("rank") + 1).alias("rank"), F.col("t.termIndices").alias("index"),
                 F.col("t.termWeights").alias("weight"))
         .join(names, "index")
-        .withColumn("relative", F.col("weight") / F.max("weight").over(Window.partitionBy("topic")))
-        .select("topic", "rank", "term", "weight", "relative")
     )
+    return counting.relative_to_max(listed, "topic", "weight").select("topic", "rank", "term", "weight", "relative")
 
 
 def dominant_topic(lda: LDAModel, vectors: DataFrame) -> DataFrame:

@@ -7,11 +7,12 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
-from communitylens.operators.inequality import gini
+from communitylens.operators.counting import relative_to_max
+from communitylens.operators.inequality import gini, positions
 from communitylens.operators.overlap import overlap, shared_audience
 from communitylens.operators.retention import retention
 from communitylens.plans import community, summary
-from conftest import table
+from conftest import in_order, table
 
 JUNE, AUGUST = date(2023, 6, 1), date(2023, 8, 1)
 
@@ -58,6 +59,22 @@ def test_gini_equals_mean_difference(spark, partitions):
         assert got[g] == pytest.approx(gini_by_hand(values), abs=1e-9), g
 
 
+def test_positions_of_equal_values(spark):
+    rng = random.Random(8)
+    values = [rng.choice([0, 0.5, 1, 3, 1000, 1001, 1e9, None, -2]) for _ in range(300)]
+    df = spark.createDataFrame([(g, v if v is None else float(v)) for v in values for g in ("g", None)] + [("h", None)], "g string, v double")
+    order = sorted(v for v in values if v is not None and v >= 0)
+    expected = {(v, order.count(v), order.index(v) + 1, order.index(v) + order.count(v)) for v in order}
+    got = {tuple(r) for r in positions(df.repartition(5), ["g"], "v").collect()}
+    assert got == {(g, *rest) for rest in expected for g in ("g", None)}
+
+
+def test_relative_to_max(spark):
+    df = spark.createDataFrame([("g", 2.0), ("g", 4.0), ("h", 3.0), (None, 5.0), (None, None)], "g string, v double")
+    assert table(relative_to_max(df, "g", "v"), "g", "v", "relative") == in_order([
+        ("g", 2.0, 0.5), ("g", 4.0, 1.0), ("h", 3.0, 1.0), (None, 5.0, 1.0), (None, None, None)])
+
+
 def test_gini_ignores_nan(spark):
     df = spark.createDataFrame([("g", 1.0), ("g", 3.0), ("g", float("nan"))], "g string, v double")
     assert gini(df, ["g"], "v").first()["gini"] == pytest.approx(0.25)

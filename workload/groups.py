@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from communitylens.functions import text, timeparts
@@ -142,16 +141,17 @@ def _(spark, root):
         F.ceil(F.avg("passenger_count")).alias("passengers"))
 
 
-@query("agg_collect_set", "SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS priorities FROM orders GROUP BY 1")
+@query("agg_collect_set", "SELECT DISTINCT o_custkey, o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL")
 def _(spark, root):
-    return load(spark, root, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("priorities"))
+    """A group's set of values as distinct rows, which no group can outgrow."""
+    return filters.not_null(load(spark, root, "orders").select("o_custkey", "o_orderpriority"), "o_orderpriority").distinct()
 
 
-@query("agg_collect_list", "SELECT o_orderkey, list_sort(list(CAST(l_quantity AS BIGINT))) AS quantities FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1")
+@query("agg_collect_list", "SELECT l_orderkey, l_quantity, count(*) AS count FROM lineitem WHERE l_quantity IS NOT NULL GROUP BY ALL")
 def _(spark, root):
-    orders = load(spark, root, "orders").select("o_orderkey")
-    lines = load(spark, root, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.groupBy("o_orderkey").agg(F.array_sort(F.collect_list(F.col("l_quantity").cast("bigint"))).alias("quantities"))
+    """A group's list of values as (value, count) rows."""
+    lines = filters.not_null(load(spark, root, "lineitem").select("l_orderkey", "l_quantity"), "l_quantity")
+    return counting.rows_per_group(lines, "l_orderkey", "l_quantity")
 
 
 def gini_sql(source: str, keys: str, value: str, alias: str) -> str:
@@ -306,10 +306,11 @@ def _(spark, root):
     return rounded(retention.retention(roles.members(spark, root), period="day"), ["engagement_ratio"], 9)
 
 
-@query("rank_position", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) AS position FROM orders")
+@query("rank_position", """
+WITH r AS (SELECT l_returnflag, l_extendedprice, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice) AS i FROM lineitem)
+SELECT l_returnflag, l_extendedprice, count(*) AS count, min(i) AS first_position, max(i) AS last_position FROM r GROUP BY 1, 2""")
 def _(spark, root):
-    w = Window.partitionBy("o_custkey").orderBy("o_totalprice", "o_orderkey")
-    return load(spark, root, "orders").select("o_orderkey", F.row_number().over(w).cast("bigint").alias("position"))
+    return inequality.positions(load(spark, root, "lineitem"), ["l_returnflag"], "l_extendedprice")
 
 
 # ------------------------------------------------------------- order and limit

@@ -50,7 +50,8 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 def _seconds(column: str):
     """Epoch seconds of a zone-free timestamp."""
-    return F.expr(f"timestampdiff(SECOND, timestamp_ntz'1970-01-01 00:00:00', {column})")
+    days = F.unix_date(F.col(column).cast("date")).cast("bigint")
+    return days * 86400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
 
 
 def posts(spark: SparkSession, root: str) -> DataFrame:
@@ -70,7 +71,7 @@ POSTS = """posts AS (
 
 
 def comments(spark: SparkSession, root: str) -> DataFrame:
-    lines = load(spark, root, "lineitem")
+    lines = load(spark, root, "lineitem", spread=True)
     parents = load(spark, root, "orders").select("o_orderkey", "o_orderpriority")
     return lines.join(parents, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),

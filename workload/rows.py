@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from communitylens.functions import labels, text, timeparts
-from communitylens.operators import filters
+from communitylens.operators import counting, filters
 from workload import roles
 from workload.registry import query, rounded
 from workload.roles import load
@@ -349,5 +348,6 @@ def _(spark, root):
 @query("fn_normalize_by_max", """
 SELECT c_custkey, round(c_acctbal / max(c_acctbal) OVER (PARTITION BY c_nationkey), 6) AS relative FROM customer""")
 def _(spark, root):
-    share = labels.share_of_max("c_acctbal", Window.partitionBy("c_nationkey"))
-    return rounded(load(spark, root, "customer").select("c_custkey", share.alias("relative")), ["relative"])
+    customers = load(spark, root, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    relative = counting.relative_to_max(customers, "c_nationkey", "c_acctbal")
+    return rounded(relative.select("c_custkey", "relative"), ["relative"])
