@@ -123,10 +123,14 @@ def _(spark, root):
     return rounded(counting.count_and_mean(roles.posts(spark, root), ["subreddit"], "score", "n", "avg_score"), ["avg_score"])
 
 
-@query("agg_max_min", f"WITH {COMMENTS} SELECT author, max(score) AS highest, min(score) AS lowest, min(date) AS first, max(date) AS last FROM comments GROUP BY 1")
+@query("agg_max", f"WITH {COMMENTS} SELECT author, max(score) AS highest, max(date) AS last FROM comments GROUP BY 1")
 def _(spark, root):
-    return roles.comments(spark, root).groupBy("author").agg(
-        F.max("score").alias("highest"), F.min("score").alias("lowest"), F.min("date").alias("first"), F.max("date").alias("last"))
+    return roles.comments(spark, root).groupBy("author").agg(F.max("score").alias("highest"), F.max("date").alias("last"))
+
+
+@query("agg_min", f"WITH {COMMENTS} SELECT author, min(score) AS lowest, min(date) AS first FROM comments GROUP BY 1")
+def _(spark, root):
+    return roles.comments(spark, root).groupBy("author").agg(F.min("score").alias("lowest"), F.min("date").alias("first"))
 
 
 @query("agg_percentile", "SELECT CAST(o_orderdate AS DATE) AS day, quantile_disc(o_totalprice, 0.95) AS q95 FROM orders GROUP BY 1")

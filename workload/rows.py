@@ -171,24 +171,40 @@ def _(spark, root):
     return roles.posts(spark, root).select("id", timeparts.year_month_padded("date").alias("year_month"))
 
 
-@query("fn_calendar_parts", P + "SELECT id, CAST(year(date) AS INTEGER) AS y, CAST(month(date) AS INTEGER) AS m, CAST(day(date) AS INTEGER) AS d FROM posts")
+@query("fn_year", P + "SELECT id, CAST(year(date) AS INTEGER) AS part FROM posts")
 def _(spark, root):
-    return roles.posts(spark, root).select("id", F.year("date").alias("y"), F.month("date").alias("m"), F.dayofmonth("date").alias("d"))
+    return roles.posts(spark, root).select("id", F.year("date").alias("part"))
 
 
-@query("fn_hour_dayofweek", D + """
-SELECT id, CAST(hour(make_timestamp(created_utc * 1000000)) AS INTEGER) AS hour_of_day,
-       CAST(dayofweek(date) + 1 AS INTEGER) AS day_of_week FROM docs""")
+@query("fn_month", P + "SELECT id, CAST(month(date) AS INTEGER) AS part FROM posts")
 def _(spark, root):
-    return roles.docs(spark, root).select(
-        "id", timeparts.utc_hour("created_utc").alias("hour_of_day"), timeparts.utc_weekday("created_utc").alias("day_of_week")
-    )
+    return roles.posts(spark, root).select("id", F.month("date").alias("part"))
+
+
+@query("fn_dayofmonth", P + "SELECT id, CAST(day(date) AS INTEGER) AS part FROM posts")
+def _(spark, root):
+    return roles.posts(spark, root).select("id", F.dayofmonth("date").alias("part"))
+
+
+@query("fn_hour", D + "SELECT id, CAST(hour(make_timestamp(created_utc * 1000000)) AS INTEGER) AS hour_of_day FROM docs")
+def _(spark, root):
+    return roles.docs(spark, root).select("id", timeparts.utc_hour("created_utc").alias("hour_of_day"))
+
+
+@query("fn_dayofweek", D + "SELECT id, CAST(dayofweek(date) + 1 AS INTEGER) AS day_of_week FROM docs")
+def _(spark, root):
+    return roles.docs(spark, root).select("id", timeparts.utc_weekday("created_utc").alias("day_of_week"))
 
 
 # ------------------------------------------------------------------------ text
-@query("fn_lower_trim", D + "SELECT id, lower(trim(body)) AS lowered FROM docs")
+@query("fn_lower", D + "SELECT id, lower(body) AS lowered FROM docs")
 def _(spark, root):
-    return roles.docs(spark, root).select("id", F.lower(F.trim("body")).alias("lowered"))
+    return roles.docs(spark, root).select("id", F.lower("body").alias("lowered"))
+
+
+@query("fn_trim", "SELECT item_id, trim(substring(text, 1, 21)) AS trimmed FROM benchmark")
+def _(spark, root):
+    return load(spark, root, "benchmark").select("item_id", F.trim(F.substring("text", 1, 21)).alias("trimmed"))
 
 
 @query("fn_length", D + "SELECT id, length(body) AS comment_length FROM docs")
@@ -282,10 +298,22 @@ def _(spark, root):
     return roles.docs(spark, root).select("id", text.keyword_class(F.lower("body"), roles.KEYWORDS).alias("topic_type"))
 
 
-@query("fn_ceil_cast", "SELECT o_orderkey, CAST(ceil(o_totalprice / 7) AS BIGINT) AS up, CAST(o_totalprice > 1000 AS INTEGER) AS flag FROM orders")
+@query("fn_ceil", "SELECT o_orderkey, CAST(ceil(o_totalprice / 7) AS BIGINT) AS up FROM orders")
+def _(spark, root):
+    return load(spark, root, "orders").select("o_orderkey", F.ceil(F.col("o_totalprice") / 7).alias("up"))
+
+
+@query("fn_arithmetic", """
+SELECT o_orderkey, o_custkey + o_orderkey AS total, round(o_custkey::DOUBLE / o_orderkey, 6) AS ratio,
+       CAST(o_totalprice > 1000 AND o_custkey <> 5 AS INTEGER) AS flag, o_orderstatus IS NULL AS is_missing
+FROM orders WHERE o_orderkey > 0""")
 def _(spark, root):
-    return load(spark, root, "orders").select(
-        "o_orderkey", F.ceil(F.col("o_totalprice") / 7).alias("up"), (F.col("o_totalprice") > 1000).cast("int").alias("flag")
+    orders = load(spark, root, "orders").where(F.col("o_orderkey") > 0)
+    return orders.select(
+        "o_orderkey", (F.col("o_custkey") + F.col("o_orderkey")).alias("total"),
+        F.round(F.col("o_custkey") / F.col("o_orderkey"), 6).alias("ratio"),
+        ((F.col("o_totalprice") > 1000) & (F.col("o_custkey") != 5)).cast("int").alias("flag"),
+        F.col("o_orderstatus").isNull().alias("is_missing"),
     )
 
 
@@ -307,6 +335,12 @@ def _(spark, root):
     return _sets(spark, root).select("o_custkey", F.size("a").alias("n_all"), F.size("f").alias("n_finished"))
 
 
+@query("fn_array_intersect", ARRAYS + " SELECT o_custkey, list_aggregate(list_sort(coalesce(list_intersect(a, f), [])), 'string_agg', '/') AS shared FROM sets")
+def _(spark, root):
+    shared = F.array_join(F.array_sort(F.array_intersect("a", "f")), "/")
+    return _sets(spark, root).select("o_custkey", F.nullif(shared, F.lit("")).alias("shared"))
+
+
 @query("set_intersect_size", ARRAYS + " SELECT o_custkey, CAST(coalesce(len(list_intersect(a, f)), 0) AS INTEGER) AS shared FROM sets")
 def _(spark, root):
     return _sets(spark, root).select("o_custkey", labels.shared_size("a", "f").alias("shared"))

@@ -139,10 +139,11 @@ def _(spark, root):
     return tables.scan_csv(spark, path, "c_mktsegment string, count bigint")
 
 
-@query("write_csv_tables", f"""
+@query("write_csv_pandas", f"""
 SELECT 'segments' AS report, c_mktsegment AS key, count(*) AS count FROM customer GROUP BY ALL
 UNION ALL SELECT 'statuses', o_orderstatus, count(*) FROM orders GROUP BY ALL""")
 def _(spark, root):
+    """Several report tables as plain CSV files, written by Spark and not through pandas."""
     folder = scratch(spark, "reports")
     sinks.write_tables({
         "segments": counting.rows_per_group(load(spark, root, "customer"), "c_mktsegment"),
