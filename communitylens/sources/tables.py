@@ -12,15 +12,15 @@ from communitylens.session import literal_table
 def scan_parquet(spark: SparkSession, *paths: str, requester_pays: bool = False, spread: bool = False) -> DataFrame:
     """One or several parquet files, folders or wildcard paths as one table.
 
-    ``spread`` is for costly row work on few files: if the scan has fewer
-    partitions than the cluster has cores, its rows are dealt out to all of them.
+    ``spread`` is for costly row work on few files: if the scan has at most half
+    as many partitions as the cluster has cores, its rows are dealt out to all of them.
     """
     reader = spark.read
     if requester_pays:
         reader = reader.option("request-payer", "requester")
     df = reader.parquet(*paths)
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if spread and 2 * df.rdd.getNumPartitions() <= cores else df
 
 
 def monthly_paths(template: str, months: Iterable[int], **fields: object) -> list[str]:

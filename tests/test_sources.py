@@ -34,6 +34,14 @@ def test_partitioned_scan_reads_only_the_named_folder(spark, tmp_path):
     assert len(part.inputFiles()) >= 1 and "PartitionFilters: [isnotnull(yyyy" in _plan(part)
 
 
+def test_few_files_are_spread_and_many_are_not(spark, tmp_path):
+    spark.range(100).repartition(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(9).write.parquet(str(tmp_path / "nine"))
+    assert tables.scan_parquet(spark, str(tmp_path / "one"), spread=True).rdd.getNumPartitions() == 4
+    assert tables.scan_parquet(spark, str(tmp_path / "one")).rdd.getNumPartitions() == 1
+    assert "Exchange" not in _plan(tables.scan_parquet(spark, str(tmp_path / "nine"), spread=True))
+
+
 def test_monthly_paths():
     assert tables.monthly_paths("s/{year}-{month:02d}.parquet", range(1, 3), year=2021) == ["s/2021-01.parquet", "s/2021-02.parquet"]
 

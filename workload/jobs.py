@@ -316,6 +316,21 @@ def _(spark, root):
     return rounded(_graph(spark, root)[1], ["sentiment"])
 
 
+@query("job_user_network", f"""
+WITH {NETWORK}
+SELECT 'node' AS part, author AS id, 'user' AS other, count(DISTINCT subreddit) AS n, round(avg(s), 6) AS sentiment FROM signs GROUP BY 2
+UNION ALL SELECT 'node', subreddit, 'subreddit', count(DISTINCT author), round(avg(s), 6) FROM signs GROUP BY 2
+UNION ALL SELECT 'edge', author, subreddit, 1, round(avg(s), 6) FROM signs GROUP BY 2, 3""")
+def _(spark, root):
+    """Nodes (type, degree) and edges (community, weight) in one table."""
+    nodes, edges = _graph(spark, root)
+    listed = nodes.select(F.lit("node").alias("part"), "id", F.col("type").alias("other"), F.col("degree").alias("n"), "sentiment")
+    linked = edges.select(
+        F.lit("edge").alias("part"), F.col("user").alias("id"), F.col("subreddit").alias("other"),
+        F.col("weight").cast("bigint").alias("n"), "sentiment")
+    return rounded(listed.unionByName(linked), ["sentiment"])
+
+
 # ---------------------------------------------------------------------- models
 @query("job_topics")
 def _(spark, root):

@@ -202,9 +202,10 @@ def _(spark, root):
     return roles.docs(spark, root).select("id", F.lower("body").alias("lowered"))
 
 
-@query("fn_trim", "SELECT item_id, trim(substring(text, 1, 21)) AS trimmed FROM benchmark")
+@query("fn_trim", "SELECT item_id, trim('  ' || text || ' ') AS trimmed FROM benchmark")
 def _(spark, root):
-    return load(spark, root, "benchmark").select("item_id", F.trim(F.substring("text", 1, 21)).alias("trimmed"))
+    padded = F.concat(F.lit("  "), F.col("text"), F.lit(" "))
+    return load(spark, root, "benchmark").select("item_id", F.trim(padded).alias("trimmed"))
 
 
 @query("fn_length", D + "SELECT id, length(body) AS comment_length FROM docs")

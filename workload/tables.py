@@ -56,6 +56,20 @@ def _(spark, root):
     return tables.scan_csv(spark, path, CUSTOMER)
 
 
+@query("source_range", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey BETWEEN 0 AND (SELECT count(*) - 1 FROM orders)")
+def _(spark, root):
+    """The first ids, one for each order, that are order keys."""
+    orders = load(spark, root, "orders").select("o_orderkey")
+    ids = tables.source_range(spark, orders.count())
+    return ids.join(orders, F.col("id") == F.col("o_orderkey"), "left_semi")
+
+
+@query("source_rows", "SELECT 'orders' AS data_type, count(*) AS total_rows FROM orders UNION ALL SELECT 'events', count(*) FROM events")
+def _(spark, root):
+    rows = [(name, load(spark, root, name).count()) for name in ("orders", "events")]
+    return tables.source_rows(spark, rows, "data_type string, total_rows bigint")
+
+
 @query("sql_temp_view", "SELECT count(*) AS total FROM lineitem")
 def _(spark, root):
     return tables.run_sql(load(spark, root, "lineitem"), "lines_view", "SELECT COUNT(*) AS total FROM lines_view")
