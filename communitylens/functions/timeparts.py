@@ -6,7 +6,7 @@ Dates and hours are derived with integer arithmetic, so results do not depend on
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta, timezone
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,6 +61,13 @@ def epoch_of(day: str) -> int:
     return int(datetime.strptime(day, "%Y-%m-%d").replace(tzinfo=timezone.utc).timestamp())
 
 
+def months_between(start: str, end: str) -> list[date]:
+    """First days of all months from ``start`` to ``end``."""
+    first, last = (datetime.strptime(day, "%Y-%m-%d") for day in (start, end))
+    count = (last.year - first.year) * 12 + last.month - first.month + 1
+    return [date(first.year + (first.month - 1 + i) // 12, (first.month - 1 + i) % 12 + 1, 1) for i in range(count)]
+
+
 def within(epoch: Column | str, start: str, end: str, end_inclusive: str = "instant") -> Column:
     """Rows from ``start`` 00:00:00 on.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from communitylens import constants as K
-from communitylens.functions import text
+from communitylens.functions import text, timeparts
 from communitylens.operators import counting, filters
 from communitylens.operators.inequality import gini
 from communitylens.operators.overlap import overlap
@@ -35,7 +35,9 @@ def retention(comments: DataFrame, submissions: DataFrame, communities: Sequence
     everyone = filters.scoped(comments, communities, start, end).select(*columns).unionByName(
         filters.scoped(submissions, communities, start, end).select(*columns)
     )
-    return returning(everyone, previous=previous, exclude_authors=exclude_authors)
+    return returning(
+        everyone, previous=previous, exclude_authors=exclude_authors, periods=timeparts.months_between(start, end)
+    )
 
 
 def attention(comments: DataFrame, submissions: DataFrame, communities: Sequence[str] | None = K.GINI_COMMUNITIES,

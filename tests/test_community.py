@@ -7,6 +7,7 @@ from datetime import date
 import pytest
 from pyspark.sql import functions as F
 
+from communitylens.functions import timeparts
 from communitylens.operators.counting import relative_to_max
 from communitylens.operators.inequality import gini, positions
 from communitylens.operators.overlap import overlap, shared_audience
@@ -105,13 +106,14 @@ def retention_by_hand(rows):
     return result
 
 
+@pytest.mark.parametrize("periods", [None, range(1, 10), range(-60, 10)])
 @pytest.mark.parametrize("partitions", [1, 5])
-def test_retention_equals_sets(spark, partitions):
+def test_retention_equals_sets(spark, partitions, periods):
     rng = random.Random(2)
     rows = [(rng.choice("xyz"), rng.randint(1, 9), rng.choice([None, "[deleted]", *"abcdefgh"])) for _ in range(150)]
     rows += [("x", 4, "hot")] * 300 + [("lonely", 3, None), ("gap", 1, "a"), ("gap", 8, "a")]
     df = spark.createDataFrame(rows, "c string, p int, a string").repartition(partitions)
-    got = retention(df, "c", "p", "a").collect()
+    got = retention(df, "c", "p", "a", periods=periods).collect()
     assert {(*tuple(r)[:4], round(r["engagement_ratio"], 9)) for r in got} == retention_by_hand(rows)
 
 
@@ -120,14 +122,21 @@ def test_retention_can_skip_authors_and_use_the_calendar(spark):
     df = spark.createDataFrame(rows, "subreddit string, month date, author string")
     def back(**options):
         return [r["returning_users"] for r in retention(df, **options).orderBy("month").collect()]
-    assert back() == [0, 1, 1]
-    assert back(previous="calendar") == [0, 0, 1]
+    months = timeparts.months_between("2023-06-01", "2023-09-30")
+    for periods in (None, months):
+        assert back(periods=periods) == [0, 1, 1]
+        assert back(previous="calendar", periods=periods) == [0, 0, 1]
     last = retention(df, exclude_authors=("[deleted]",)).orderBy("month").collect()[-1]
     assert (last["active_users"], last["returning_users"]) == (1, 1)
     with pytest.raises(ValueError):
         retention(df, previous="ever")
 
 
+def test_months_between():
+    assert timeparts.months_between("2023-11-15", "2024-02-01") == [date(2023, 11, 1), date(2023, 12, 1), date(2024, 1, 1), date(2024, 2, 1)]
+    assert len(timeparts.months_between("2023-06-01", "2024-07-31")) == 14
+
+
 def test_retention_of_the_fixture(comments, posts):
     got = table(community.retention(comments, posts, ["A"]), "month", "active_users", "returning_users")
     assert got == [(JUNE, 3, 0), (AUGUST, 3, 1)]
