@@ -187,7 +187,7 @@ def _(spark, root):
     return roles.posts(spark, root).groupBy("author").agg(F.sum("score").alias("total"))
 
 
-DAILY = """SELECT year(pickup) AS dt_year, month(pickup) AS dt_month, day(pickup) AS dt_day, count(*) AS num_trips,
+DAILY = """SELECT CAST(year(pickup) AS INTEGER) AS dt_year, CAST(month(pickup) AS INTEGER) AS dt_month, CAST(day(pickup) AS INTEGER) AS dt_day, count(*) AS num_trips,
   round(avg(trip_distance), 6) AS mean_trip_distance, max(mta_tax) AS max_mta_tax,
   quantile_disc(fare_amount, 0.95) AS q95_fare_amount, min(tip_amount) AS min_tip_amount,
   CAST(ceil(avg(passenger_count)) AS BIGINT) AS mean_passenger_count
@@ -328,7 +328,7 @@ def _(spark, root):
     return counting.rows_per_group(roles.posts(spark, root), "subreddit", "title").orderBy("subreddit", F.desc("count"))
 
 
-@query("sort_multi_desc", "SELECT year(l_shipdate) AS y, month(l_shipdate) AS m, day(l_shipdate) AS d, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY 1 DESC, 2 DESC, 3 DESC")
+@query("sort_multi_desc", "SELECT CAST(year(l_shipdate) AS INTEGER) AS y, CAST(month(l_shipdate) AS INTEGER) AS m, CAST(day(l_shipdate) AS INTEGER) AS d, count(*) AS n FROM lineitem GROUP BY ALL ORDER BY 1 DESC, 2 DESC, 3 DESC")
 def _(spark, root):
     lines = load(spark, root, "lineitem").select(
         F.year("l_shipdate").alias("y"), F.month("l_shipdate").alias("m"), F.dayofmonth("l_shipdate").alias("d"))
@@ -356,7 +356,7 @@ def _(spark, root):
 @query("top_k_per_group", """
 WITH t AS (SELECT p_brand, p_partkey, CAST(sum(l_quantity) AS BIGINT) AS total
            FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)
-SELECT p_brand, rank, p_partkey, total
+SELECT p_brand, CAST(rank AS INTEGER) AS rank, p_partkey, total
 FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY total DESC, p_partkey) AS rank FROM t) WHERE rank <= 10""")
 def _(spark, root):
     parts = load(spark, root, "part").select("p_partkey", "p_brand")

@@ -286,7 +286,7 @@ def _(spark, root):
 
 @query("job_discussion_terms", f"""
 WITH {TYPED}, t AS (SELECT topic_type, unnest(words) AS term FROM typed), c AS (SELECT topic_type, term, count(*) AS count FROM t GROUP BY ALL)
-SELECT * FROM (SELECT topic_type, row_number() OVER (PARTITION BY topic_type ORDER BY count DESC, term) AS rank, term, count FROM c) WHERE rank <= 100""")
+SELECT * FROM (SELECT topic_type, CAST(row_number() OVER (PARTITION BY topic_type ORDER BY count DESC, term) AS INTEGER) AS rank, term, count FROM c) WHERE rank <= 100""")
 def _(spark, root):
     return _discussion(spark, root)["discussion_terms"]
 

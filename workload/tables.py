@@ -21,7 +21,7 @@ def _(spark, root):
 
 
 @query("scan_parquet_multi", """
-SELECT year(o_orderdate) AS order_year, count(*) AS n, round(sum(o_totalprice), 2) AS total
+SELECT CAST(year(o_orderdate) AS INTEGER) AS order_year, count(*) AS n, round(sum(o_totalprice), 2) AS total
 FROM orders WHERE year(o_orderdate) IN (1995, 1996, 1997) GROUP BY 1""")
 def _(spark, root):
     folder = scratch(spark, "orders")
@@ -39,7 +39,7 @@ def _(spark, root):
 
 
 @query("scan_partition_pruned", """
-SELECT year(o_orderdate) AS yyyy, month(o_orderdate) AS mm, count(*) AS n, min(o_orderkey) AS first_order
+SELECT CAST(year(o_orderdate) AS INTEGER) AS yyyy, CAST(month(o_orderdate) AS INTEGER) AS mm, count(*) AS n, min(o_orderkey) AS first_order
 FROM orders WHERE year(o_orderdate) = 1996 AND month(o_orderdate) = 6 GROUP BY 1, 2""")
 def _(spark, root):
     folder = scratch(spark, "orders-by-month")
@@ -177,7 +177,7 @@ def _(spark, root):
 
 @query("save_model", f"""
 WITH {roles.DOCS}
-SELECT id, len(string_split_regex(regexp_replace(lower(body), '\\s+$', ''), '\\s')) AS n_words FROM docs""")
+SELECT id, CAST(len(string_split_regex(regexp_replace(lower(body), '\\s+$', ''), '\\s')) AS INTEGER) AS n_words FROM docs""")
 def _(spark, root):
     docs = filters.non_blank(roles.docs(spark, root), "body")
     folder = scratch(spark, "model")

@@ -182,7 +182,7 @@ counts AS (SELECT topic_type, term, count(*) AS count FROM lemmatised JOIN typed
 ranked AS (SELECT *, row_number() OVER (PARTITION BY topic_type ORDER BY count DESC, term) AS rank FROM counts)"""
 
 
-@query("term_top_n", f"WITH {DOCS}, {LEMMA_WORDS}, {TERM_TOP} SELECT topic_type, rank, term, count FROM ranked WHERE rank <= 100")
+@query("term_top_n", f"WITH {DOCS}, {LEMMA_WORDS}, {TERM_TOP} SELECT topic_type, CAST(rank AS INTEGER) AS rank, term, count FROM ranked WHERE rank <= 100")
 def _(spark, root):
     lemmas = roles.lemmas(spark)
     typed = discussion.discussion_type(roles.docs(spark, root), "body", KEYWORDS, CLOUD_STOP, lemmas=lemmas)
