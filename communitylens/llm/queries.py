@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from communitylens.llm import decontaminate
+from communitylens.llm import decontaminate, pieces, secret_scan, token_counts
 from workload.registry import query
 
 
@@ -44,3 +46,23 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM docs LEFT JOIN covered USING (doc_id) LEFT JOIN found USING (doc_id)""")
 def op1(spark: SparkSession, root: str) -> DataFrame:
     return decontaminate.report(table(spark, root, "documents"), table(spark, root, "benchmark"))
+
+
+@query("op3_secret_scans")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    return secret_scan.report(table(spark, root, "documents"))
+
+
+@query("op5_sentencepiece_encoding")
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    coded = pieces.encode(table(spark, root, "documents"), "doc_id", public_tokenizers.path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(" ", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, root: str) -> DataFrame:
+    return token_counts.count(table(spark, root, "documents"), "doc_id", public_tokenizers.path("byte_bpe_50k.json"))
