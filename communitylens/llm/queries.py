@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communitylens.llm import decontaminate, pieces, secret_scan, token_counts
+from communitylens.llm import decontaminate, pieces, quality, secret_scan, token_counts
 from workload.registry import query
 
 
@@ -66,3 +66,8 @@ def op5(spark: SparkSession, root: str) -> DataFrame:
 @query("op6_token_counts")
 def op6(spark: SparkSession, root: str) -> DataFrame:
     return token_counts.count(table(spark, root, "documents"), "doc_id", public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op7_quality_classifier")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    return quality.score(table(spark, root, "documents"), table(spark, root, "labels"))
