@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communitylens.llm import decontaminate, pieces, quality, secret_scan, token_counts
+from communitylens.llm import decontaminate, pieces, quality, secret_scan, substrings, token_counts
 from workload.registry import query
 
 
@@ -71,3 +71,8 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
 @query("op7_quality_classifier")
 def op7(spark: SparkSession, root: str) -> DataFrame:
     return quality.score(table(spark, root, "documents"), table(spark, root, "labels"))
+
+
+@query("op9_repeated_strings")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, root, "documents")).drop("kept")
