@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communitylens.llm import decontaminate, pieces, quality, secret_scan, substrings, token_counts
+from communitylens.llm import decontaminate, jaccard, pieces, quality, secret_scan, substrings, token_counts
 from workload.registry import query
 
 
@@ -76,3 +76,26 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
 @query("op9_repeated_strings")
 def op9(spark: SparkSession, root: str) -> DataFrame:
     return substrings.remove_repeats(table(spark, root, "documents")).drop("kept")
+
+
+@query("op10_ngram_jaccard_join", """
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, k, k + 3), ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 0) + 2)) AS k FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+links AS (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
+    FROM shingles x JOIN shingles y ON x.shingle = y.shingle AND x.doc_id <> y.doc_id GROUP BY ALL) p
+  JOIN sizes s ON s.doc_id = a JOIN sizes t ON t.doc_id = b WHERE 100 * common >= 85 * (s.n + t.n - common)),
+reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM docs
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
+FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) USING (doc_id)""")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    return jaccard.classes(table(spark, root, "documents"))
