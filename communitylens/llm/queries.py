@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communitylens.llm import decontaminate, jaccard, pieces, quality, secret_scan, substrings, token_counts
+from communitylens.llm import decontaminate, jaccard, pieces, quality, secret_scan, substrings, token_counts, vectors, wrappers
 from workload.registry import query
 
 
@@ -99,3 +99,26 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
 FROM docs d LEFT JOIN sizes USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a) USING (doc_id)""")
 def op10(spark: SparkSession, root: str) -> DataFrame:
     return jaccard.classes(table(spark, root, "documents"))
+
+
+@query("op4_html_extraction")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    return wrappers.extract(table(spark, root, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+@query("op2_embedding_near_duplicates", """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a),
+parts AS (SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN parts USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)""")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, root, "embeddings"))
