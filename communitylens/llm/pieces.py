@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame
 
 SPACE = "▁"
 #: Encoded units that a task remembers at most; it starts anew beyond them.
-MEMORY = 200_000
+MEMORY = 400_000
+#: Units from this length on are not remembered.
+LONG = 64
 #: Texts that are encoded between two results.
 ROWS = 500
 
@@ -96,7 +98,10 @@ class Pieces:
             if len(piece) == 1 or i in vocabulary.parts:
                 self.matcher.add_word(piece, (len(piece), i))
         self.matcher.make_automaton()
+        self.sizes = [len(p) for p in vocabulary.pieces]
+        self.inside = {p[k:k + 2] for p in vocabulary.ids for k in range(len(p) - 1)}
         self.side_by_side: dict[int, bool] = {}
+        self.parts: dict[str, list[int]] = {}
         self.known: dict[str, list[int]] = {}
         self.text = [p.replace(SPACE, " ") for p in vocabulary.pieces]
         for i in vocabulary.control:
@@ -105,12 +110,6 @@ class Pieces:
 
     def may_follow(self, a: int, b: int) -> bool:
         """Whether the encoding of the two tokens' joined text is just these two."""
-        key = a << 24 | b
-        if (known := self.side_by_side.get(key)) is None:
-            known = self.side_by_side[key] = self._may_follow(a, b)
-        return known
-
-    def _may_follow(self, a: int, b: int) -> bool:
         v, hidden_left, hidden_right = self.v, float("inf"), float("inf")
         while True:
             across = v.pairs.get((a, b))
@@ -127,39 +126,64 @@ class Pieces:
     def _table(self, unit: str) -> list[int]:
         """Ids of a unit of known characters."""
         last = [-1] * (len(unit) + 1)
+        allowed = self.side_by_side
         for end, (size, token) in self.matcher.iter(unit):
-            start = end + 1 - size
-            if last[end + 1] < 0 and (start == 0 or (last[start] >= 0 and self.may_follow(last[start], token))):
-                last[end + 1] = token
-        out, at = [], len(unit)
+            end += 1
+            if last[end] >= 0:
+                continue
+            if size == end:
+                last[end] = token
+                continue
+            before = last[end - size]
+            if before >= 0:
+                pair = before << 24 | token
+                good = allowed.get(pair)
+                if good is None:
+                    good = allowed[pair] = self.may_follow(before, token)
+                if good:
+                    last[end] = token
+        out, at, sizes = [], len(unit), self.sizes
         while at:
-            out.append(last[at])
-            at -= len(self.v.pieces[last[at]])
-        return out[::-1]
+            token = last[at]
+            out.append(token)
+            at -= sizes[token]
+        out.reverse()
+        return out
 
     def _unit(self, unit: str) -> list[int]:
+        """Ids of a unit, part by part: no piece reaches across two characters that stand side by side in none."""
         out: list[int] = []
-        start = 0
-        for k, c in enumerate(unit + "\0"):
-            if c in self.single and k < len(unit):
-                continue
-            if known := unit[start:k]:
+        start, before = 0, ""
+        for k, c in enumerate(unit):
+            if before + c not in self.inside:
+                if start < k:
+                    out += self._part(unit[start:k])
+                start = k
+            before = c
+        return out + self._part(unit[start:])
+
+    def _part(self, part: str) -> list[int]:
+        ids = self.parts.get(part)
+        if ids is None:
+            if len(part) == 1 and part not in self.single:
+                ids = [self.v.bytes[b] for b in part.encode()]
+            elif part.startswith(SPACE * 2):
                 # pieces of spaces alone share one score, so their merges have no fixed order: merge them one by one
-                out += self.v.merge([self.single[x] for x in known])[0] if known.startswith(SPACE * 2) else self._table(known)
-            if k < len(unit):
-                out += [self.v.bytes[b] for b in c.encode()]
-            start = k + 1
-        return out
+                ids = self.v.merge([self.single[c] for c in part])[0]
+            else:
+                ids = self._table(part)
+            if len(part) < LONG:
+                self.parts[part] = ids
+        return ids
 
     def encode(self, text: str) -> list[int]:
         """All ids without begin or end."""
         out: list[int] = []
         if not text:
             return out
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        if len(self.side_by_side) > 10 * MEMORY:
-            self.side_by_side.clear()
+        for memory in (self.known, self.parts, self.side_by_side):
+            if len(memory) > MEMORY:
+                memory.clear()
         known = self.known
         rest = text.replace(" ", SPACE).split(SPACE)
         if "" in rest:  # several spaces in a row stay one unit with the word after them
@@ -170,7 +194,7 @@ class Pieces:
             ids = known.get(unit)
             if ids is None:
                 ids = self._unit(unit)
-                if len(unit) < 100:
+                if len(unit) < LONG:
                     known[unit] = ids
             out += ids
         return out
