@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from communitylens.llm import decontaminate, jaccard, pieces, quality, secret_scan, substrings, token_counts, vectors, wrappers
+from communitylens.llm import decontaminate, jaccard, katz, pieces, quality, secret_scan, substrings, token_counts, vectors, wrappers
 from workload.registry import query
 
 
@@ -122,3 +122,8 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 FROM embeddings JOIN parts USING (vec_id) LEFT JOIN (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a) USING (vec_id)""")
 def op2(spark: SparkSession, root: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, root, "embeddings"))
+
+
+@query("op8_lm_scoring")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    return katz.score(table(spark, root, "documents"))
