@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,3 +128,8 @@ def op2(spark: SparkSession, root: str) -> DataFrame:
 @query("op8_lm_scoring")
 def op8(spark: SparkSession, root: str) -> DataFrame:
     return katz.score(table(spark, root, "documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, root: str) -> DataFrame:
+    return corpus_pipeline.run(spark, root)

@@ -148,14 +148,16 @@ def redact(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
     named, ledger = scan(documents, "doc_id")
     found = named.join(findings(ledger), "blob").select(
         F.col("path").alias("secret_id"), F.col("blob").alias("secret_blob"), "spans").distinct()
-    marked = documents.withColumn("blob_", _blob())
-    joined = marked.join(found, marked["doc_id"].eqNullSafe(found["secret_id"]) & (marked["blob_"] == found["secret_blob"]), "left")
+    packed = documents.select(F.struct(*[documents[c] for c in documents.columns]).alias("document"), "doc_id", "text", _blob().alias("blob"))
+    joined = packed.join(found, F.col("doc_id").eqNullSafe(F.col("secret_id")) & (F.col("blob") == F.col("secret_blob")), "left")
     pieces = F.expr(f"""aggregate(spans, struct(0 AS upto, cast(array() AS array<string>) AS out),
         (a, s) -> if(s.start >= a.upto,
             struct(s.end AS upto, concat(a.out, array(substring(text, a.upto + 1, s.start - a.upto), '{mark}')) AS out),
             struct(greatest(a.upto, s.end) AS upto, a.out AS out)),
         a -> concat_ws('', concat(a.out, array(substring(text, a.upto + 1)))))""")
-    new = {"text": F.when(F.col("spans").isNull(), F.col("text")).otherwise(pieces)}
-    if "n_chars" in documents.columns:
-        new["n_chars"] = F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(pieces)).cast(documents.schema["n_chars"].dataType)
-    return joined.withColumns(new).select(*documents.columns)
+    new = {"text": pieces, "n_chars": F.length(pieces)}
+    old = F.col("document")
+    return joined.select(*[
+        F.when(F.col("spans").isNull(), old[c]).otherwise(new[c].cast(documents.schema[c].dataType)).alias(c) if c in new else old[c].alias(c)
+        for c in documents.columns
+    ])
