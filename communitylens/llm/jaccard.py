@@ -5,7 +5,8 @@ tokens last, as many as any similar set must share one of. First every set is co
 neighbour in each index list (lists stand in order of size); what that links is one class, and no two
 sets of a class are compared again: a set takes over the answers of the similar set it is linked to.
 Then lists that still hold several classes are joined by blocks of sizes, skipping blocks whose sizes
-differ too much and positions that leave too few tokens.
+differ too much and positions that leave too few tokens. Similar sets share not one but SHARED tokens
+of slightly longer prefixes, so a pair is compared in full only if that many lists hold both.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ from communitylens.llm.graph import components
 from communitylens.llm.store import written
 from communitylens.session import cut_lineage
 
+#: Text bytes whose whole sets leave a task together.
+CHUNK_BYTES = 1 << 20
 #: Tokens that head the lists of at least so many documents go to the end of the order.
 FREQUENT = 10
+#: Prefix tokens that similar sets have in common at least (fewer only where a set is that small).
+SHARED = 3
 FILTER_LOG2 = 25
 
 
@@ -47,8 +52,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.n
 
 
 def prefix(tokens: np.ndarray, percent: int, frequent: np.ndarray | None) -> np.ndarray:
-    """The tokens of which every set with that similarity shares one, rare tokens first."""
-    size = len(tokens) + (percent * len(tokens)) // -100 + 1 if len(tokens) else 0
+    """The tokens of which every set with that similarity shares SHARED, rare tokens first."""
+    least = (percent * len(tokens) + 99) // 100
+    size = len(tokens) - least + min(SHARED, least)
     if frequent is None:
         return tokens[:size]
     late = arrays.set_bits(frequent, tokens)
@@ -123,20 +129,20 @@ class Join:
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose whole sets are similar enough."""
-        words, percent, kind = self.words, self.percent, self.kind
+        words, percent = self.words, self.percent
         asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        asked = written(self.sets.join(asked, "row", "left_semi").select(F.col("row").alias("node"), F.col("doc").alias("d"), F.col("digest").alias("x")))
-        wanted = self.texts.sparkSession.sparkContext.broadcast(bitmap(asked.select(F.xxhash64("d").alias("ident")), "ident", FILTER_LOG2))
+        asked = written(self.sets.join(asked, "row", "left_semi").select(F.col("row").alias("node"), F.xxhash64("doc").alias("ident"), F.col("digest").alias("x")))
+        wanted = self.texts.sparkSession.sparkContext.broadcast(bitmap(asked, "ident", FILTER_LOG2))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 batch = batch.filter(pa.array(arrays.set_bits(wanted.value, batch.column("ident").to_numpy().view(np.uint64))))
-                for first, last, data, offsets in arrays.chunks(batch.column("text")):
-                    sets = shingle_sets(data, offsets, words)
-                    yield pa.RecordBatch.from_arrays([
-                        batch.column("doc").slice(first, last - first), pa.array([_digest(s) for s in sets], pa.binary()),
-                        pa.array([s.tobytes() for s in sets], pa.binary()),
-                    ], ["doc", "digest", "tokens"])
+                sent = set()  # copies have one digest and one set
+                for _, _, data, offsets in arrays.chunks(batch.column("text"), CHUNK_BYTES):
+                    sets = {_digest(x): x for x in shingle_sets(data, offsets, words)}
+                    new = sets.keys() - sent
+                    sent |= new
+                    yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array([sets[x].tobytes() for x in new], pa.binary())], ["digest", "tokens"])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -147,20 +153,27 @@ class Join:
                     good.append(100 * (len(x) + len(y) - union) >= percent * union)
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-        sets = self.texts.mapInArrow(whole, f"doc {kind}, digest binary, tokens binary")
-        sets = sets.join(asked, F.col("doc").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("x"))).select("node", "tokens").dropDuplicates(["node"])
+        named = asked.select("node", "x")
+        pairs = pairs.join(named.withColumnsRenamed({"node": "a", "x": "x"}), "a").withColumnRenamed("x", "xa").join(
+            named.withColumnsRenamed({"node": "b", "x": "xb"}), "b")
+        sets = self.texts.mapInArrow(whole, "digest binary, tokens binary")
         return cut_lineage(
-            pairs.join(sets.withColumnsRenamed({"node": "a", "tokens": "left"}), "a")
-            .join(sets.withColumnsRenamed({"node": "b", "tokens": "right"}), "b")
-            .select("a", "b", "left", "right").mapInArrow(compare, "a bigint, b bigint")
+            pairs.join(sets.alias("l"), F.col("xa") == F.col("l.digest")).select("a", "b", "xb", F.col("l.tokens").alias("left"))
+            .join(sets.alias("r"), F.col("xb") == F.col("r.digest")).select("a", "b", "left", F.col("r.tokens").alias("right"))
+            .mapInArrow(compare, "a bigint, b bigint")
         )
 
     def links(self) -> DataFrame:
         """Pairs (a, b) of nodes that link all similar sets, through others or directly."""
         percent = self.percent
         index = self.index()
-        near = index.filter(F.col("before_n") * 100 >= F.col("n") * percent).select(F.col("before").alias("a"), F.col("node").alias("b")).distinct()
-        near = written(near)
+        least = lambda n: F.expr(f"cast(({percent} * {n} + 99) div 100 as int)")
+        enough = F.col("shared") >= F.least(F.lit(SHARED), least("n_a"), least("n_b"))
+        near = written(
+            index.filter(F.col("before_n") * 100 >= F.col("n") * percent)
+            .groupBy(F.col("before").alias("a"), F.col("node").alias("b"), F.col("before_n").alias("n_a"), F.col("n").alias("n_b"))
+            .agg(F.count("*").alias("shared")).filter(enough).select("a", "b")
+        )
         found = self.verified(near)
         classes = components(found)
         block = F.floor(F.log("n") / math.log(100 / percent))
@@ -173,13 +186,14 @@ class Join:
         left = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "class")],
                            F.explode(F.array(*[F.col("block") + k for k in range(3)])).alias("block"))
         right = rows.select("token", "block", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "class")])
-        needed = F.expr(f"{percent} * (n_a + n_b)")
+        left_over = F.least(F.expr("n_a - place_a"), F.expr("n_b - place_b"))  # from the first common token on
         rest = (
             left.join(right, ["token", "block"])
             .filter("class_a != class_b and (n_a < n_b or (n_a = n_b and node_a < node_b))")
             .filter(F.col("n_a") * 100 >= F.col("n_b") * percent)
-            .filter(F.least(F.expr("n_a - place_a"), F.expr("n_b - place_b")) * (100 + percent) >= needed)
-            .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
+            .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
+            .agg(F.count("*").alias("shared"), F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
+            .filter(enough).filter(left_over * (100 + percent) >= F.expr(f"{percent} * (n_a + n_b)")).select("a", "b")
         )
         return found.unionByName(self.verified(written(rest.join(near, ["a", "b"], "left_anti"))))
 
