@@ -22,6 +22,8 @@ from communitylens.session import cut_lineage
 
 #: The article's element holds at least this share of the host's varying text.
 SHARE = 0.6
+#: Parts that a host's pages are dealt to when they meet its wrapper.
+SALTS = 32
 #: Elements below this depth count as parts of their parent.
 DEEPEST = 150
 ARTICLE = {"article", "main"}
@@ -294,9 +296,11 @@ def extract(pages: DataFrame) -> DataFrame:
     its own name, ''. Repeated rows each get a row. A host on which nothing varies (one page, or
     copies of one) has no template: all content of its articles stays.
     """
-    rules = learn(pages).withColumnRenamed("host", "h")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    rules = learn(pages).select(F.col("host").alias("h"), "place", "fixed", salts.alias("s"))
     named = pages.select("page_id", "url", F.col("html").cast("string").alias("html")).withColumn(
-        "host", F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1)))
+        "host", F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)", 1))
+    ).withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
     kinds = [f"{c} {pages.schema[c].dataType.simpleString()}" for c in ("page_id", "url")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,6 +312,6 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
     return (
-        named.join(rules, F.col("host") == F.col("h"), "left").select("page_id", "url", "html", "place", "fixed")
+        named.join(rules, (F.col("host") == F.col("h")) & (F.col("salt") == F.col("s")), "left").select("page_id", "url", "html", "place", "fixed")
         .mapInArrow(run, f"{kinds[0]}, {kinds[1]}, text string")
     )
