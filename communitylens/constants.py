@@ -134,16 +134,12 @@ CLUSTER_K = 5
 ELBOW_MIN_K = 2
 ELBOW_MAX_K = 10
 CLUSTER_TERMS = 10
-POINT_LIMIT = 10_000
 TOPIC_COUNT = 10
 TOPIC_VOCABULARY = 5000
 TOPIC_MIN_DF = 10
 TOPIC_ITERATIONS = 20
 TOPIC_WORDS = 15
 NETWORK_USERS = 500
-SAMPLE_FRACTION = 0.05
-SAMPLE_SMALL_FRACTION = 0.01
-SAMPLE_SWITCH_ROWS = 1_000_000
 
 # Sentiment rule weights as published by Hutto & Gilbert (ICWSM 2014).
 VALENCE_NORMALISER = 15.0

@@ -67,9 +67,9 @@ def relative_to_max(df: DataFrame, group: str, value: str, alias: str = "relativ
 
 
 def overall_share(df: DataFrame, key: str, value: str = "count", alias: str = "share") -> DataFrame:
-    """Each key's part in the grand total. For few keys: the totals meet in one task."""
+    """Each key's part in the grand total, which is one number computed beside the keys."""
     totals = df.groupBy(key).agg(F.sum(value).alias(value))
-    return totals.withColumn(alias, F.col(value) / F.sum(value).over(Window.partitionBy()))
+    return totals.withColumn(alias, F.col(value) / df.agg(F.sum(value)).scalar())
 
 
 def peak_hours(df: DataFrame, hour: Column, alias: str = "hour", count_alias: str = "num_comments") -> DataFrame:

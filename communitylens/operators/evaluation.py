@@ -6,8 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from communitylens.functions.labels import guarded_ratio
-
-_BINS = 100_000
+from communitylens.operators.ordered import with_part
 
 
 def confusion(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -42,22 +41,20 @@ def classification(counts: DataFrame) -> DataFrame:
 
 
 def _histogram(predictions: DataFrame, label: str, score: str, digits: int | None) -> DataFrame:
-    """(score, positives, negatives, _bin) per distinct score; bins run from high to low."""
+    """(threshold, positives, negatives, _bin) per distinct score; bins hold about equally many distinct scores."""
     y = F.col(label).cast("int")
     value = F.col(score) if digits is None else F.round(score, digits)
-    return (
-        predictions.groupBy(value.alias("threshold"))
-        .agg(F.count(F.when(y == 1, 1)).alias("positives"), F.count(F.when(y == 0, 1)).alias("negatives"))
-        .withColumn("_bin", F.floor(F.col("threshold") * _BINS))
-    )
+    distinct = predictions.groupBy(value.cast("double").alias("threshold")).agg(
+        F.count(F.when(y == 1, 1)).alias("positives"), F.count(F.when(y == 0, 1)).alias("negatives"))
+    return with_part(distinct, "threshold", "_bin")
 
 
 def auc(predictions: DataFrame, label: str = "label", score: str = "prob") -> DataFrame:
     """Area under the ROC curve, ties averaged; null when a class is missing.
 
     For each positive, the negatives scored below it plus half of those tied. Counts
-    run inside 100,001 fixed bins of scores in [0, 1] in parallel and are shifted by bin totals, so
-    no task orders all scores.
+    run inside 256 bins between quantiles of the distinct scores, whatever their scale, and are
+    shifted by bin totals, so no task orders all scores.
     """
     pos, neg = F.col("positives"), F.col("negatives")
     lower = Window.partitionBy("_bin").orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_STEPS_PER_OCTAVE = 256
+from communitylens.operators.ordered import with_group_part
+from communitylens.session import cut_lineage
 
 
 def _histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -16,11 +17,11 @@ def _histogram(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     A group without such values keeps one row with _x null and _k 0.
     """
     number = F.col(value).cast("double")
-    return (
+    counted = (
         df.select(*keys, F.when((number >= 0) & ~F.isnan(number), number).alias("_x"))
         .groupBy(*keys, "_x").agg(F.count("_x").alias("_k"))
-        .withColumn("_range", F.floor(F.log2(F.col("_x") + 1) * _STEPS_PER_OCTAVE))
     )
+    return with_group_part(counted, keys, "_x", "_range")
 
 
 def _before(keys: list[str], column: str, order: str) -> Column:
@@ -36,7 +37,7 @@ def positions(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     and last. Same division into value ranges as in ``gini``.
     """
     keys = list(keys)
-    histogram = _histogram(df, keys, value).where(F.col("_x").isNotNull())
+    histogram = cut_lineage(_histogram(df, keys, value).where(F.col("_x").isNotNull()))  # one division for both uses
     shifts = (
         histogram.groupBy(*keys, "_range").agg(F.sum("_k").alias("_n"))
         .select(
@@ -58,10 +59,9 @@ def gini(df: DataFrame, keys: Sequence[str], value: str, alias: str = "gini") ->
     """Gini coefficient of the non-negative values in each group, 0.0 if they sum to nothing.
 
     Equal values are first counted together. Ranks then come from running counts
-    within value ranges (256 ranges per doubling, so a handful of thousands at
-    most per group), shifted by the number of values in lower ranges. Each range is
-    its own window partition: a group with most of the rows is spread over many
-    tasks, and no group is ever held as a list.
+    within 64 value ranges per group, between the group's own quantiles, shifted by the number of
+    values in lower ranges. Each range is its own window partition: a group with most of the rows is
+    spread over many tasks, whatever its values' scale, and no group is ever held as a list.
     """
     keys = list(keys)
     k, x = F.col("_k").cast("double"), F.col("_x")

@@ -111,12 +111,12 @@ def plane(vectors: DataFrame) -> DataFrame:
     return PCA(k=2, inputCol="features", outputCol="pca_features").fit(vectors).transform(vectors)
 
 
-def cluster_points(assigned: DataFrame, key: str, limit: int = K.POINT_LIMIT) -> DataFrame:
-    """(key, pc1, pc2, cluster) of at most ``limit`` documents, chosen by hash of the key."""
+def cluster_points(assigned: DataFrame, key: str, limit: int | None = None) -> DataFrame:
+    """(key, pc1, pc2, cluster) of all documents, or of ``limit`` documents chosen by hash of the key."""
     xy = vector_to_array("pca_features")
+    chosen = assigned if limit is None else assigned.orderBy(hash_fraction(key), key).limit(limit)
     return (
-        assigned.orderBy(hash_fraction(key), key).limit(limit)
-        .select(key, F.get(xy, F.lit(0)).alias("pc1"), F.get(xy, F.lit(1)).alias("pc2"), "cluster")
+        chosen.select(key, F.get(xy, F.lit(0)).alias("pc1"), F.get(xy, F.lit(1)).alias("pc2"), "cluster")
     )
 
 

@@ -15,14 +15,12 @@ from communitylens.sources.sampling import sample_adaptive
 
 
 def messages(comments: DataFrame, communities: Sequence[str] | None = K.NETWORK_COMMUNITIES, start: str = K.DATE_START,
-             end: str = K.DATE_END, sample: bool = True, key: str | None = "id") -> DataFrame:
-    """(author, subreddit, body, created_utc) with author and body present, sampled 1 % or 5 % by table size."""
+             end: str = K.DATE_END, fraction: float | None = None, key: str | None = "id") -> DataFrame:
+    """(author, subreddit, body, created_utc) with author and body present; ``fraction`` samples them by hash of ``key``."""
     kept = filters.not_null(filters.in_period(comments, start, end), "author", "body")
     if communities is not None:
         kept = filters.in_communities(kept, communities)
-    if sample:
-        kept = sample_adaptive(kept, key)
-    return kept.select("author", "subreddit", "body", "created_utc")
+    return sample_adaptive(kept, key, fraction).select("author", "subreddit", "body", "created_utc")
 
 
 def signed(rows: DataFrame, lexicon: DataFrame | None = None, rules: Rules = Rules()) -> DataFrame:

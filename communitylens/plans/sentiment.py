@@ -110,7 +110,7 @@ def categorised(df: DataFrame, categories: Mapping[str, Sequence[str]] = K.CATEG
 
 def category_scores(comments: DataFrame, categories: Mapping[str, Sequence[str]] = K.CATEGORIES,
                     start: str = K.DATE_START, end: str = K.DATE_END, key: str = "id",
-                    fraction: float | None = K.SAMPLE_FRACTION, lexicon: DataFrame | None = None,
+                    fraction: float | None = None, lexicon: DataFrame | None = None,
                     rules: Rules = Rules()) -> DataFrame:
     """(category, subreddit, month, date, sentiment_score, n): mean score of each community and day, in one scan.
 

@@ -27,14 +27,13 @@ def sample_fraction(df: DataFrame, fraction: float, seed: int = K.SEED) -> DataF
     return df.sample(withReplacement=False, fraction=fraction, seed=seed)
 
 
-def adaptive_fraction(rows: int, switch: int = K.SAMPLE_SWITCH_ROWS, small: float = K.SAMPLE_SMALL_FRACTION,
-                      large: float = K.SAMPLE_FRACTION) -> float:
-    return small if rows > switch else large
+def sample_adaptive(df: DataFrame, key: str | None = None, fraction: float | None = None) -> DataFrame:
+    """The share that the caller asks for, by hash of ``key`` or else by Spark's sample; None keeps every row.
 
-
-def sample_adaptive(df: DataFrame, key: str | None = None, switch: int = K.SAMPLE_SWITCH_ROWS) -> DataFrame:
-    """1 % of a table above ``switch`` rows, 5 % of a smaller one."""
-    fraction = adaptive_fraction(df.count(), switch)
+    The caller adapts the fraction to the table (1 % and 5 % are common); no row count changes it here.
+    """
+    if fraction is None:
+        return df
     return hash_sample(df, key, fraction) if key else sample_fraction(df, fraction)
 
 
@@ -65,14 +64,17 @@ def sample_n(df: DataFrame, key: str, n: int) -> DataFrame:
 def split_by_hash(df: DataFrame, key: str, weights: tuple[float, ...] = (0.6, 0.2, 0.2),
                   salt: str = "split") -> tuple[DataFrame, ...]:
     """Disjoint parts covering ``df``, by hash of the key."""
-    place, total = hash_fraction(key, salt), sum(weights)
-    parts, low = [], 0.0
-    for i, weight in enumerate(weights):
-        high = low + weight / total
-        inside = place >= low if i == len(weights) - 1 else (place >= low) & (place < high)
-        parts.append(df.where(inside))
-        low = high
-    return tuple(parts)
+    part = part_by_hash(key, weights, salt)
+    return tuple(df.where(part == i) for i in range(len(weights)))
+
+
+def part_by_hash(key: Column | str, weights: tuple[float, ...] = (0.6, 0.2, 0.2), salt: str = "split") -> Column:
+    """The number of the part a row belongs to: one pass tags a table that is then filtered."""
+    place, low, part = hash_fraction(key, salt), 0.0, None
+    for i, weight in enumerate(weights[:-1]):
+        low += weight / sum(weights)
+        part = F.when(place < low, i) if part is None else part.when(place < low, i)
+    return F.lit(0) if part is None else part.otherwise(len(weights) - 1)
 
 
 def split_random(df: DataFrame, seed: int = K.SEED) -> tuple[DataFrame, DataFrame, DataFrame]:

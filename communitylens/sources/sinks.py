@@ -15,6 +15,18 @@ def write_parquet(df: DataFrame, path: str, partition_by: tuple[str, ...] = ())
     writer.parquet(path)
 
 
+#: Quotes are doubled, blanks and line ends are kept, a null is nothing between commas and '' is a pair of quotes.
+CSV = {
+    "header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    "nullValue": "", "emptyValue": '""',
+}
+
+
+def write_csv(df: DataFrame, folder: str) -> None:
+    """As many CSV part files with headers as the table has partitions."""
+    df.write.mode("overwrite").options(**CSV).csv(folder)
+
+
 def write_csv_single(df: DataFrame, folder: str, sort_by: Sequence[Column | str] = ()) -> None:
     """One part file with a header, its rows in the given order.
 
@@ -25,7 +37,7 @@ def write_csv_single(df: DataFrame, folder: str, sort_by: Sequence[Column | str]
     single = df.repartition(1)
     if sort_by:
         single = single.sortWithinPartitions(*sort_by)
-    single.write.mode("overwrite").option("header", True).csv(folder)
+    write_csv(single, folder)
 
 
 def write_csv_named(df: DataFrame, path: str, sort_by: Sequence[Column | str] = ()) -> None:

@@ -5,22 +5,24 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from communitylens.session import literal_table
 
 
-def scan_parquet(spark: SparkSession, *paths: str, requester_pays: bool = False, spread: bool = False) -> DataFrame:
+#: Stands for '' while a CSV is read, where it could not be told from null.
+_EMPTY = "\u0001empty\u0001"
+
+
+def scan_parquet(spark: SparkSession, *paths: str, requester_pays: bool = False) -> DataFrame:
     """One or several parquet files, folders or wildcard paths as one table.
 
-    ``spread`` is for costly row work on few files: if the scan has at most half
-    as many partitions as the cluster has cores, its rows are dealt out to all of them.
+    How finely it is split follows ``spark.sql.files.maxPartitionBytes`` and the files' row groups.
     """
     reader = spark.read
     if requester_pays:
         reader = reader.option("request-payer", "requester")
-    df = reader.parquet(*paths)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if spread and 2 * df.rdd.getNumPartitions() <= cores else df
+    return reader.parquet(*paths)
 
 
 def monthly_paths(template: str, months: Iterable[int], **fields: object) -> list[str]:
@@ -44,11 +46,17 @@ def scan_partitions(spark: SparkSession, root: str, year: int | None = None, mon
 
 
 def scan_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """A CSV with a header; without a schema every column is text."""
-    reader = spark.read.option("header", True)
-    if schema:
-        reader = reader.schema(schema)
-    return reader.csv(path)
+    """A CSV with a header, as the writers of this library make it; without a schema every column is text.
+
+    Values may hold quotes, line ends and outer blanks; nothing is null, a pair of quotes is ''.
+    """
+    reader = spark.read.options(
+        header=True, multiLine=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        nullValue="", emptyValue=_EMPTY,
+    )
+    df = (reader.schema(schema) if schema else reader).csv(path)
+    texts = [name for name, kind in df.dtypes if kind == "string"]
+    return df.withColumns({name: F.when(F.col(f"`{name}`") != _EMPTY, F.col(f"`{name}`")).when(F.col(f"`{name}`") == _EMPTY, "") for name in texts})
 
 
 def source_range(spark: SparkSession, n: int) -> DataFrame:

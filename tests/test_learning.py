@@ -106,10 +106,22 @@ def test_sample_n_is_exact(spark, n):
     assert got == set(ranked[:n] if n else ranked)
 
 
-def test_sample_adaptive_switches(spark):
+def test_sample_adaptive_takes_what_the_caller_asks_for(spark):
     df = spark.range(20_000)
-    assert sample_adaptive(df, "id").count() == pytest.approx(1000, rel=0.15)
-    assert sample_adaptive(df, "id", switch=10_000).count() == pytest.approx(200, rel=0.3)
+    assert sample_adaptive(df, "id").count() == 20_000
+    assert sample_adaptive(df, "id", 0.05).count() == pytest.approx(1000, rel=0.15)
+    assert sample_adaptive(df, fraction=0.01).count() == pytest.approx(200, rel=0.4)
+
+
+def test_saturated_scores_and_margins_are_spread(spark):
+    n = 20_000
+    saturated = spark.range(n).select((F.col("id") % 2).cast("int").alias("label"), (F.lit(1.0) / (1 + F.exp(14 + F.col("id") / n))).alias("prob"))
+    margins = spark.range(n).select((F.col("id") % 2).cast("int").alias("label"), (F.col("id") * 37.5 - 4e5).alias("prob"))
+    for df in (saturated, margins):
+        bins = evaluation._histogram(df, "label", "prob", None).groupBy("_bin").count().agg(F.max("count"), F.count("*")).first()
+        assert bins[0] <= n // 50 and bins[1] <= 256
+        mllib = BinaryClassificationEvaluator(rawPredictionCol="prob", labelCol="label", numBins=0).evaluate(df)
+        assert evaluation.auc(df).first()["auc"] == pytest.approx(mllib, abs=1e-9)
 
 
 # ------------------------------------------------------------------------ models

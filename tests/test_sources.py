@@ -34,12 +34,14 @@ def test_partitioned_scan_reads_only_the_named_folder(spark, tmp_path):
     assert len(part.inputFiles()) >= 1 and "PartitionFilters: [isnotnull(yyyy" in _plan(part)
 
 
-def test_few_files_are_spread_and_many_are_not(spark, tmp_path):
-    spark.range(100).repartition(1).write.parquet(str(tmp_path / "one"))
-    spark.range(100).repartition(9).write.parquet(str(tmp_path / "nine"))
-    assert tables.scan_parquet(spark, str(tmp_path / "one"), spread=True).rdd.getNumPartitions() == 4
-    assert tables.scan_parquet(spark, str(tmp_path / "one")).rdd.getNumPartitions() == 1
-    assert "Exchange" not in _plan(tables.scan_parquet(spark, str(tmp_path / "nine"), spread=True))
+def test_csv_keeps_every_text(spark, tmp_path):
+    texts = ["line1\nline2", " pad ", "", None, 'a "quoted", b', '"', "\r\n", "tab\t", "#no comment", "\\N", "back\\", "a\\\"b", "é漢😀"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumn("n", F.when(F.col("id") % 2 == 0, F.col("id")))
+    sinks.write_csv(df.repartition(4), str(tmp_path / "parts"))
+    sinks.write_csv_named(df, str(tmp_path / "one.csv"))
+    for path in ("parts", "one.csv"):
+        back = tables.scan_csv(spark, str(tmp_path / path), "id int, t string, n int")
+        assert {tuple(r) for r in back.collect()} == {tuple(r) for r in df.collect()}
 
 
 def test_monthly_paths():

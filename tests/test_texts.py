@@ -236,7 +236,7 @@ def test_network(spark):
     df = spark.createDataFrame([(f"c{i}", *r, at("2023-07-01") + i) for i, r in enumerate(rows)],
                                "id string, author string, subreddit string, body string, created_utc bigint")
     lexicon = literal_table(spark, LEXICON, "term string, valence double")
-    kept = network_plan.messages(df, ["A", "B"], sample=False)
+    kept = network_plan.messages(df, ["A", "B"])
     nodes, edges = network_plan.graph(kept, 2, lexicon, RULES)
     assert table(edges, "user", "subreddit", "weight", "sentiment") == [("u1", "A", 1, 0.0), ("u1", "B", 1, 1.0), ("u2", "A", 1, 1.0)]
     got = {r["id"]: (r["type"], r["degree"], round(r["sentiment"], 6)) for r in nodes.collect()}

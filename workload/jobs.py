@@ -292,15 +292,15 @@ def _(spark, root):
 
 
 # --------------------------------------------------------------------- network
-NETWORK = f"""{CHAT}, top AS (SELECT author FROM chat GROUP BY 1 ORDER BY count(*) DESC, author LIMIT 100),
+NETWORK = f"""{CHAT}, top AS (SELECT author FROM chat GROUP BY 1 ORDER BY count(*) DESC, author LIMIT 500),
 chosen AS (SELECT * FROM chat WHERE author IN (SELECT author FROM top)), {sentiment_sql('chosen', 'id', 'body')},
 signs AS (SELECT author, subreddit, CASE WHEN scored.score >= 0.05 THEN 1.0 WHEN scored.score <= -0.05 THEN -1.0 ELSE 0.0 END::DOUBLE AS s
           FROM chosen JOIN scored ON key = id)"""
 
 
 def _graph(spark, root):
-    rows = network.messages(roles.chat(spark, root), None, "2023-01-01", "2025-01-01", sample=False)
-    return network.graph(rows, 100, roles.lexicon(spark), RULES)
+    rows = network.messages(roles.chat(spark, root), None, "2023-01-01", "2025-01-01")
+    return network.graph(rows, K.NETWORK_USERS, roles.lexicon(spark), RULES)
 
 
 @query("job_user_network_nodes", f"""

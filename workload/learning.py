@@ -10,7 +10,7 @@ from communitylens import constants as K
 from communitylens.functions import text
 from communitylens.operators import evaluation, features, filters, models
 from communitylens.plans import clusters, quality
-from communitylens.sources.sampling import split_by_hash
+from communitylens.sources.sampling import part_by_hash, split_by_hash
 from workload import roles
 from workload.registry import query, rounded
 from workload.roles import DOCS, PREDICTIONS, sql_list
@@ -74,9 +74,8 @@ SPLIT = HASH.replace("CAST({key} AS VARCHAR)", "'split' || CAST({key} AS VARCHAR
 @query("split_train_test", f"""
 WITH {DOCS} SELECT id, CASE WHEN {SPLIT} < 0.6 THEN 'train' WHEN {SPLIT} < 0.8 THEN 'validation' ELSE 'test' END AS part FROM docs""")
 def _(spark, root):
-    parts = split_by_hash(_docs(spark, root).select("id"), "id")
-    tagged = [df.withColumn("part", F.lit(name)) for df, name in zip(parts, ("train", "validation", "test"))]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    names = F.array(*map(F.lit, ("train", "validation", "test")))
+    return _docs(spark, root).select("id", F.get(names, part_by_hash("id")).alias("part"))
 
 
 @query("class_weights", f"""

@@ -39,8 +39,8 @@ RULES = Rules(
 )
 
 
-def load(spark: SparkSession, root: str, name: str, spread: bool = False) -> DataFrame:
-    return scan_parquet(spark, f"{root}/{name}.parquet", spread=spread)
+def load(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return scan_parquet(spark, f"{root}/{name}.parquet")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -71,7 +71,7 @@ POSTS = """posts AS (
 
 
 def comments(spark: SparkSession, root: str) -> DataFrame:
-    lines = load(spark, root, "lineitem", spread=True)
+    lines = load(spark, root, "lineitem")
     parents = load(spark, root, "orders").select("o_orderkey", "o_orderpriority")
     return lines.join(parents, F.col("l_orderkey") == F.col("o_orderkey")).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("id"),
@@ -127,7 +127,7 @@ def _moment(key: str):
 def docs(spark: SparkSession, root: str) -> DataFrame:
     labels = load(spark, root, "labels").withColumnRenamed("doc_id", "labelled_id")
     return (
-        load(spark, root, "documents", spread=True)
+        load(spark, root, "documents")
         .join(labels, F.col("doc_id") == F.col("labelled_id"), "left")
         .select(
             F.col("doc_id").alias("id"), F.col("source").alias("subreddit"), _spread("doc_id").alias("date"),
@@ -145,7 +145,7 @@ DOCS = """docs AS (
 
 
 def chat(spark: SparkSession, root: str) -> DataFrame:
-    return load(spark, root, "conversations", spread=True).select(
+    return load(spark, root, "conversations").select(
         F.concat_ws("-", "conv_id", "turn").alias("id"), F.col("role").alias("subreddit"),
         F.col("conv_id").cast("string").alias("author"), _spread("conv_id").alias("date"),
         _moment("conv_id").alias("created_utc"), F.col("text").alias("body"), F.col("turn").alias("score"),

@@ -11,7 +11,7 @@ from workload import roles
 from workload.registry import query, rounded
 from workload.roles import load, scratch
 
-CUSTOMER = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+DOCUMENT = "doc_id bigint, text string, lang string, source string, n_chars bigint, note string"
 HASH = "CAST(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE"
 
 
@@ -49,11 +49,14 @@ def _(spark, root):
     return part.groupBy("yyyy", "mm").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("first_order"))
 
 
-@query("scan_csv", "SELECT * FROM customer")
+@query("scan_csv", """
+SELECT *, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 = 1 THEN NULL WHEN doc_id % 7 = 2 THEN '  "' || lang || '" ' ELSE lang END AS note FROM documents""")
 def _(spark, root):
-    path = scratch(spark, "customer") + ".csv"
-    sinks.write_csv_named(load(spark, root, "customer"), path)
-    return tables.scan_csv(spark, path, CUSTOMER)
+    """Whole texts with quotes, line ends, blanks, '' and null through several CSV files."""
+    folder, rest = scratch(spark, "documents"), F.col("doc_id") % 7
+    note = F.when(rest == 0, "").when(rest == 2, F.concat(F.lit('  "'), "lang", F.lit('" '))).when(rest > 2, F.col("lang"))
+    sinks.write_csv(load(spark, root, "documents").withColumn("note", note).repartition(5, "doc_id"), folder)
+    return tables.scan_csv(spark, folder, DOCUMENT)
 
 
 @query("source_range", "SELECT o_orderkey AS id FROM orders WHERE o_orderkey BETWEEN 0 AND (SELECT count(*) - 1 FROM orders)")
@@ -75,9 +78,20 @@ def _(spark, root):
     return tables.run_sql(load(spark, root, "lineitem"), "lines_view", "SELECT COUNT(*) AS total FROM lines_view")
 
 
-@query("sample_fraction")
+@query("sample_fraction", "SELECT count(*) AS source_rows, 0 AS foreign_rows, 0 AS repeated_rows, true AS in_bounds FROM orders")
 def _(spark, root):
-    return sampling.sample_fraction(load(spark, root, "orders"), 0.05)
+    """A sample has rows of its source only, each once, and a size within five standard deviations."""
+    orders = load(spark, root, "orders")
+    sample = sampling.sample_fraction(orders, 0.05)
+    known = orders.select(F.col("o_orderkey").alias("known"), F.struct("*").alias("whole"))
+    joined = sample.select("o_orderkey", F.struct("*").alias("row")).join(known, F.col("o_orderkey") == F.col("known"), "left")
+    found = joined.agg(
+        F.count("*").alias("n"), F.count_distinct("o_orderkey").alias("distinct_rows"),
+        F.count(F.when(F.col("row").eqNullSafe(F.col("whole")), 1)).alias("own"))
+    total = orders.agg(F.count("*")).scalar()
+    return found.select(
+        total.alias("source_rows"), (F.col("n") - F.col("own")).cast("int").alias("foreign_rows"), (F.col("n") - F.col("distinct_rows")).cast("int").alias("repeated_rows"),
+        (F.abs(F.col("n") - total * 0.05) <= 5 * F.sqrt(total * 0.05 * 0.95)).alias("in_bounds"))
 
 
 @query("sample_hash", f"SELECT * FROM orders WHERE {HASH.format(key='o_orderkey')} < 0.05")
@@ -86,10 +100,11 @@ def _(spark, root):
 
 
 @query("sample_adaptive", f"""
-SELECT * FROM orders
-WHERE {HASH.format(key='o_orderkey')} < (SELECT CASE WHEN count(*) > 1000000 THEN 0.01 ELSE 0.05 END FROM orders)""")
+SELECT 'part' AS sample, * FROM orders WHERE {HASH.format(key='o_orderkey')} < 0.05 UNION ALL SELECT 'all', * FROM orders""")
 def _(spark, root):
-    return sampling.sample_adaptive(load(spark, root, "orders"), "o_orderkey")
+    orders = load(spark, root, "orders")
+    part, every = sampling.sample_adaptive(orders, "o_orderkey", 0.05), sampling.sample_adaptive(orders, "o_orderkey")
+    return part.select(F.lit("part").alias("sample"), "*").unionByName(every.select(F.lit("all").alias("sample"), "*"))
 
 
 @query("sample_n", f"SELECT * FROM orders ORDER BY {HASH.format(key='o_orderkey')}, o_orderkey LIMIT 5000")
