@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from communitylens import constants as K
 from communitylens.functions import text
+from communitylens.operators.terms import with_lemma
 
 
 def stop_words(extra: Iterable[str] = K.CLOUD_STOP_WORDS) -> list[str]:
@@ -21,31 +22,31 @@ def discussion_type(df: DataFrame, content: str = "content", classes: Mapping[st
                     lemmas: DataFrame | None = None) -> DataFrame:
     """Adds ``tokens`` (cleaned words) and ``topic_type``.
 
-    The type is the first class with a keyword inside the cleaned, lemmatised text.
-    Lemmas change that only for the few terms whose own spelling and lemma disagree
-    about a keyword. These exceptions are looked up once, so typing a text stays a
-    row expression without any exchange.
+    The type is the first class with a keyword inside the cleaned, lemmatised text. Without
+    lemmas that is a row expression. With them the texts' distinct words meet the lemma table in a
+    join, and the best class of each text comes back by the hashes of its content.
     """
     unwanted = stop_words() if unwanted is None else unwanted
-    typed = df.withColumn("tokens", text.cloud_tokens(F.coalesce(F.col(content), F.lit("")), unwanted, min_length))
-    return typed.withColumn("topic_type", _class_of("tokens", classes, lemmas))
-
-
-def _class_of(words: str, classes: Mapping[str, Sequence[str]], lemmas: DataFrame | None) -> Column:
-    gained: dict[str, list[str]] = {name: [] for name in classes}
-    lost: dict[str, list[str]] = {name: [] for name in classes}
-    if lemmas is not None:
-        for name, keywords in classes.items():
-            pattern = text.any_of(keywords)
-            by_term, by_lemma = F.col("term").rlike(pattern), F.col("lemma").rlike(pattern)
-            for row in lemmas.where(by_term != by_lemma).select("term", by_lemma.alias("gain")).distinct().collect():
-                (gained if row["gain"] else lost)[name].append(row["term"])
-    result = None
-    for name, keywords in classes.items():
-        pattern = text.any_of(keywords)
-        if gained[name] or lost[name]:
-            hit = F.exists(words, lambda w: (w.rlike(pattern) & ~w.isin(lost[name])) | w.isin(gained[name]))
-        else:
-            hit = F.array_join(words, " ").rlike(pattern)
-        result = F.when(hit, name) if result is None else result.when(hit, name)
-    return F.lit(K.OTHER_CLASS) if result is None else result.otherwise(K.OTHER_CLASS)
+    body = F.coalesce(F.col(content), F.lit(""))
+    typed = df.withColumn("tokens", text.cloud_tokens(body, unwanted, min_length))
+    names = list(classes)
+    if lemmas is None or not names:
+        hits = [(F.array_join("tokens", " ").rlike(text.any_of(classes[name])), name) for name in names]
+        return typed.withColumn("topic_type", _first(hits, K.OTHER_CLASS))
+    words = typed.select(
+        F.xxhash64(body).alias("_hash1"), F.hash(body).alias("_hash2"), F.explode(F.array_distinct("tokens")).alias("term"))
+    place = _first([(F.col("lemma").rlike(text.any_of(classes[name])), k) for k, name in enumerate(names)], None)
+    best = (
+        with_lemma(words, lemmas).withColumn("_place", place).where(F.col("_place").isNotNull())
+        .groupBy("_hash1", "_hash2").agg(F.min("_place").alias("_place"))
+    )
+    joined = typed.withColumns({"_hash1": F.xxhash64(body), "_hash2": F.hash(body)}).join(best, ["_hash1", "_hash2"], "left")
+    found = F.get(F.array(*map(F.lit, names)), F.col("_place"))
+    return joined.withColumn("topic_type", F.coalesce(found, F.lit(K.OTHER_CLASS))).drop("_hash1", "_hash2", "_place")
+
+
+def _first(choices: list[tuple[Column, object]], otherwise: object) -> Column:
+    result = F.lit(otherwise)
+    for hit, value in reversed(choices):
+        result = F.when(hit, value).otherwise(result)
+    return result

@@ -79,8 +79,14 @@ def counted_tfidf(source: str, vocabulary: int, min_df: float, extra: Sequence[s
 
 def quality_stages(body: str = "body", size: int = K.HASH_FEATURES) -> list:
     """Text TF-IDF and the behaviour columns in one vector."""
-    return hashed_tfidf(body, size, "text_features") + [
-        VectorAssembler(inputCols=["text_features", *BEHAVIOUR], outputCol="features")
+    return hashed_tfidf(body, size, "text_features")[:3] + weighted_stages()
+
+
+def weighted_stages() -> list:
+    """From counted words and the behaviour columns to one vector."""
+    return [
+        IDF(inputCol="raw_features", outputCol="text_features"),
+        VectorAssembler(inputCols=["text_features", *BEHAVIOUR], outputCol="features"),
     ]
 
 

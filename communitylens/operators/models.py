@@ -30,6 +30,14 @@ def fit_classifier(train: DataFrame, body: str = "body", size: int = K.HASH_FEAT
     return Pipeline(stages=features.quality_stages(body, size) + [model]).fit(train)
 
 
+def fit_counted(train: DataFrame, iterations: int = K.CLASSIFIER_ITERATIONS) -> PipelineModel:
+    """The same from rows whose texts are counted already (``raw_features``)."""
+    model = LogisticRegression(
+        featuresCol="features", labelCol="label", maxIter=iterations, weightCol="class_weight"
+    )
+    return Pipeline(stages=[*features.weighted_stages(), model]).fit(train)
+
+
 def predict(model: PipelineModel, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """(keep..., label, prediction, prob) with prob = probability of label 1."""
     scored = model.transform(df)

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from communitylens import constants as K
 from communitylens.functions import text
-from communitylens.operators import filters, models
+from communitylens.operators import features, filters, models
 from communitylens.operators.sentiment import Rules, score_sentiment
 from communitylens.session import cut_lineage
 from communitylens.sources.sampling import sample_n
@@ -35,20 +36,21 @@ def elbow(docs: DataFrame, low: int = K.ELBOW_MIN_K, high: int = K.ELBOW_MAX_K,
 
 
 def run(docs: DataFrame, key: str = "id", k: int = K.CLUSTER_K, size: int = K.CLUSTER_FEATURES,
-        lexicon: DataFrame | None = None, rules: Rules = Rules()) -> tuple:
+        lexicon: DataFrame | None = None, rules: Rules = Rules(), points: bool = True) -> tuple:
     """(model, {assignments, profile, points, sentiment}).
 
-    The fits work on stored (key, features) rows. Words and texts are not stored:
-    the tables that need them clean the texts once more, row by row.
+    Texts are cleaned once: text, words and counts are stored, and fits and tables work on
+    those. ``points`` fits the plane too, which the other tables do not need.
     """
-    _, vectors = models.cluster_features(docs, size=size)
-    kept = cut_lineage(vectors.select(key, "features"))
-    model = models.fit_clusters(kept, k)
-    assigned = model.transform(kept)
-    with_text = model.transform(vectors)
-    return model, {
+    stages = features.hashed_tfidf("text", size)
+    words = Pipeline(stages=stages[:3]).fit(docs).transform(docs)
+    stored = cut_lineage(words.select(key, "raw_text", "filtered_words", "raw_features"))
+    vectors = stages[3].fit(stored).transform(stored)
+    model = models.fit_clusters(vectors, k)
+    assigned = model.transform(vectors)
+    made = {
         "assignments": assigned.select(key, "cluster"),
-        "profile": models.cluster_profile(with_text, sizes=models.cluster_sizes(assigned)),
-        "points": models.cluster_points(models.plane(assigned), key),
-        "sentiment": cluster_sentiment(with_text, "raw_text", key, lexicon, rules),
+        "profile": models.cluster_profile(assigned),
+        "sentiment": cluster_sentiment(assigned, "raw_text", key, lexicon, rules),
     }
+    return model, made | ({"points": models.cluster_points(models.plane(assigned), key)} if points else {})

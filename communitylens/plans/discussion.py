@@ -12,6 +12,7 @@ from communitylens.functions import text
 from communitylens.operators import counting, filters
 from communitylens.operators.discussion import discussion_type
 from communitylens.operators.terms import leading_terms
+from communitylens.session import cut_lineage
 
 
 def contents(comments: DataFrame, submissions: DataFrame, communities: Sequence[str] | None = K.DISCUSSION_COMMUNITIES,
@@ -28,11 +29,19 @@ def contents(comments: DataFrame, submissions: DataFrame, communities: Sequence[
 def tables(docs: DataFrame, classes: Mapping[str, Sequence[str]] = K.KEYWORD_CLASSES,
            unwanted: Sequence[str] | None = None, lemmas: DataFrame | None = None,
            terms: int = K.CLOUD_MAX_WORDS) -> dict[str, DataFrame]:
-    """Counts per type, type and community, type and month, and the leading terms of each type."""
+    """Counts per type, type and community, type and month, and the leading terms of each type.
+
+    The three counts are sums over one stored table of (community, month, type).
+    """
     typed = discussion_type(docs, "content", classes, unwanted, lemmas=lemmas)
+    cells = cut_lineage(counting.rows_per_group(typed, "subreddit", "month", "topic_type"))
+
+    def summed(*keys: str) -> DataFrame:
+        return cells.groupBy(*keys).agg(F.sum("count").alias("count"))
+
     return {
-        "discussion_types": counting.rows_per_group(typed, "topic_type"),
-        "discussion_types_by_subreddit": counting.rows_per_group(typed, "subreddit", "topic_type"),
-        "discussion_types_by_month": counting.rows_per_group(typed, "month", "topic_type"),
+        "discussion_types": summed("topic_type"),
+        "discussion_types_by_subreddit": summed("subreddit", "topic_type"),
+        "discussion_types_by_month": summed("month", "topic_type"),
         "discussion_terms": leading_terms(typed, "tokens", "topic_type", terms, lemmas),
     }

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from communitylens import constants as K
 from communitylens.operators import evaluation, features, models
 from communitylens.session import cut_lineage
-from communitylens.sources.sampling import split_by_hash
+from communitylens.sources.sampling import part_by_hash
 
 
 def prepared(comments: DataFrame, threshold: float = K.QUALITY_THRESHOLD, side: str = "at_least") -> DataFrame:
@@ -16,15 +17,6 @@ def prepared(comments: DataFrame, threshold: float = K.QUALITY_THRESHOLD, side:
     return features.behaviour_features(features.labelled(comments, threshold, side))
 
 
-def split_counts(train: DataFrame, validation: DataFrame, test: DataFrame) -> DataFrame:
-    """part, count"""
-    parts = [
-        df.agg(F.count(F.lit(1)).alias("count")).select(F.lit(name).alias("part"), "count")
-        for name, df in (("train", train), ("validation", validation), ("test", test))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
-
-
 def evaluate(predictions: DataFrame, model: str = "LogisticRegression") -> dict[str, DataFrame]:
     """model_metrics_summary, confusion_matrix, roc, pr and aupr of (label, prediction, prob) rows."""
     measures = ["accuracy", "precision", "recall", "f1", "auc"]
@@ -46,9 +38,14 @@ def run(comments: DataFrame, key: str = "id", threshold: float = K.QUALITY_THRES
         size: int = K.HASH_FEATURES, iterations: int = K.CLASSIFIER_ITERATIONS) -> tuple:
     """(model, predictions on the test part, evaluation tables).
 
-    The model is trained on 60 % of the comments, chosen by hash of ``key``.
+    The model is trained on 60 % of the comments, chosen by hash of ``key``. Texts are read
+    once: key, part, label and counted features are stored, and every fit works on those.
     """
-    train, _, test = split_by_hash(prepared(comments, threshold, side), key)
-    model = models.fit_classifier(features.with_class_weight(train), size=size, iterations=iterations)
-    predictions = cut_lineage(models.predict(model, test, [key]))
-    return model, predictions, evaluate(predictions)
+    text_stages = features.hashed_tfidf("body", size)[:3]
+    rows = prepared(comments, threshold, side).withColumn("part", part_by_hash(key))
+    counter = Pipeline(stages=text_stages).fit(rows)
+    kept = cut_lineage(counter.transform(rows).select(key, "part", "label", "raw_features", *features.BEHAVIOUR))
+    train = features.with_class_weight(kept.where("part = 0"))
+    fitted = models.fit_counted(train, iterations)
+    predictions = cut_lineage(models.predict(fitted, kept.where("part = 2"), [key]))
+    return PipelineModel([*counter.stages, *fitted.stages]), predictions, evaluate(predictions)

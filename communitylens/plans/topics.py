@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from communitylens import constants as K
 from communitylens.functions import text, timeparts
 from communitylens.operators import counting, filters, models, ranking
+from communitylens.operators.events import before_after
 from communitylens.session import cut_lineage
 
 
@@ -19,19 +22,6 @@ def documents(comments: DataFrame, submissions: DataFrame) -> DataFrame:
     return filters.with_words(left.unionByName(right), "text").withColumn("clean_text", text.topic_text("text"))
 
 
-def trends(assigned: DataFrame) -> DataFrame:
-    """year_month, dominant_topic, count"""
-    dated = assigned.withColumn("year_month", timeparts.year_month_unpadded("date"))
-    return counting.rows_per_group(dated, "year_month", "dominant_topic").orderBy("year_month", "dominant_topic")
-
-
-def by_community(assigned: DataFrame) -> DataFrame:
-    """subreddit, dominant_topic, count; largest topic of each community first"""
-    return counting.rows_per_group(assigned, "subreddit", "dominant_topic").orderBy(
-        "subreddit", F.desc("count"), "dominant_topic"
-    )
-
-
 def community_grid(community_table: DataFrame, k: int = 20, topics: int = K.TOPIC_COUNT) -> DataFrame:
     """One row per community (the k largest), one column per topic."""
     sizes = community_table.groupBy("subreddit").agg(F.sum("count").alias("documents"))
@@ -44,6 +34,18 @@ def month_grid(trend_table: DataFrame, topics: int = K.TOPIC_COUNT) -> DataFrame
     return counting.pivoted(trend_table, "year_month", "dominant_topic", "count", range(topics), fill=0)
 
 
+def around_events(assigned: DataFrame, days: int = 30, events: Mapping[str, str] = K.EVENTS) -> DataFrame:
+    """event_date, label, dominant_topic, n_before, n_after, share_before, share_after, delta (of the shares)"""
+    counts = before_after(assigned.withColumn("_one", F.lit(1.0)), "date", "_one", days, events, by=["dominant_topic"])
+    counts = cut_lineage(counts.select("event_date", "label", "dominant_topic", "n_before", "n_after"))
+    whole = counts.groupBy("event_date", "label").agg(F.sum("n_before").alias("_before"), F.sum("n_after").alias("_after"))
+    before, after = F.try_divide("n_before", "_before"), F.try_divide("n_after", "_after")
+    return counts.join(whole, ["event_date", "label"]).select(
+        "event_date", "label", "dominant_topic", "n_before", "n_after",
+        before.alias("share_before"), after.alias("share_after"), (after - before).alias("delta"),
+    )
+
+
 def run(docs: DataFrame, k: int = K.TOPIC_COUNT, vocabulary: int = K.TOPIC_VOCABULARY, min_df: int = K.TOPIC_MIN_DF,
         iterations: int = K.TOPIC_ITERATIONS, words: int = K.TOPIC_WORDS) -> dict[str, DataFrame]:
     """topics, topic_trends, topic_by_subreddit and topic_shares.

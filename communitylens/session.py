@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterable, Sequence
 
 import pyarrow as pa
@@ -11,14 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 _ARROW_TYPES = {"string": pa.string(), "double": pa.float64(), "int": pa.int32(), "bigint": pa.int64(), "date": pa.date32()}
 
 
-def local_session(app: str = "communitylens", cores: str = "*", partitions: int = 8) -> SparkSession:
-    """A single-machine session for tests and benchmarks."""
+def local_session(folder: str, app: str = "communitylens", cores: str = "*", partitions: int = 8) -> SparkSession:
+    """A single-machine session for tests and benchmarks; ``folder`` keeps its intermediate results."""
     return (
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", folder)
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -39,23 +40,18 @@ def literal_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) ->
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, or set before by ``setCheckpointDir``.
 
-    Only a local session without that setting gets a folder of its own.
+    There is no fallback: where neither is set, the caller hears of it.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    if not context.master.startswith("local"):
+    if named and context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    folder = named or context.getCheckpointDir()
+    if not folder:
         raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-    context.setCheckpointDir(tempfile.mkdtemp(prefix="communitylens-checkpoint-"))
-    return context.getCheckpointDir()
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from communitylens import constants as K
+
 _CUT = 100
 
 
@@ -44,6 +46,11 @@ def available(df: DataFrame, wanted: Sequence[str]) -> list[str]:
     return [c for c in wanted if c in df.columns]
 
 
+def of_interest(df: DataFrame, kind: str) -> DataFrame:
+    """The columns of a comment or submission table that its profile shows, those that exist."""
+    return df.select(available(df, {"comments": K.PROFILE_COMMENT_COLUMNS, "submissions": K.PROFILE_SUBMISSION_COLUMNS}[kind]))
+
+
 def show_sample(df: DataFrame, n: int = 3, columns: Sequence[str] | None = None, width: int = _CUT,
                 order_by: Sequence[str] = ()) -> DataFrame:
     """n rows of the named columns that exist, long text cut."""

@@ -20,8 +20,8 @@ def at(day: str, clock: str = "12:00:00") -> int:
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = local_session("tests", cores="4", partitions=4)
+def spark(tmp_path_factory):
+    session = local_session(str(tmp_path_factory.mktemp("shared")), "tests", cores="4", partitions=4)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from communitylens import constants as K
@@ -13,21 +16,27 @@ from communitylens.sources import sinks, tables
 from workload import roles
 from workload.groups import DAILY, EVENTS_SQL, MONTH, RETENTION, CATEGORY_ROWS, gini_sql
 from workload.registry import query, rounded
-from workload.roles import AUDIENCE, BRANDS, CHAT, COMMENTS, DOCS, END, EVENT_TYPES, KEYWORDS, MEMBERS, POSTS, PRIORITIES, RULES, START, TRIPS, sql_rows
+from workload.roles import AUDIENCE, BRANDS, CHAT, COMMENTS, DOCS, END, EVENT_TYPES, KEYWORDS, MEMBERS, POSTS, PRIORITIES, RULES, START, TRIPS, sql_list, sql_rows
 from workload.rows import keyword_case
-from workload.texts import CLOUD_SQL, CLOUD_STOP, SENTIMENT_TEXT, sentiment_sql
+from workload.learning import SPLIT
+from workload.texts import CLOUD_SQL, CLOUD_STOP, ENGLISH, SENTIMENT_TEXT, TOPIC_SQL, sentiment_sql
 
 
 # ----------------------------------------------------------- ingest and summary
 @query("job_filter_ingest", f"""
-WITH {COMMENTS} SELECT id, subreddit, author, score, created_utc, link_id, date, strftime(date, '%Y-%m') AS year_month
-FROM comments WHERE subreddit IN ('1-URGENT', '3-MEDIUM')""")
+WITH {COMMENTS}, {POSTS}
+SELECT 'comments' AS kind, id, subreddit, author, score, created_utc, link_id, NULL::VARCHAR AS title, date, strftime(date, '%Y-%m') AS year_month
+FROM comments WHERE subreddit IN ('1-URGENT', '3-MEDIUM')
+UNION ALL SELECT 'submissions', id, subreddit, author, score, created_utc, NULL, title, date, strftime(date, '%Y-%m')
+FROM posts WHERE subreddit IN ('1-URGENT', '3-MEDIUM')""")
 def _(spark, root):
+    """Both written tables."""
     source, target = roles.scratch(spark, "raw"), roles.scratch(spark, "project")
     sinks.write_parquet(roles.comments(spark, root).drop("date"), f"{source}/comments/")
     sinks.write_parquet(roles.posts(spark, root).drop("date"), f"{source}/submissions/")
     ingest.run(spark, source, target, ["1-URGENT", "3-MEDIUM"])
-    return tables.scan_parquet(spark, f"{target}/comments/")
+    left, right = (tables.scan_parquet(spark, f"{target}/{kind}/").withColumn("kind", F.lit(kind)) for kind in ("comments", "submissions"))
+    return left.unionByName(right, allowMissingColumns=True)
 
 
 @query("job_dataset_summary", f"""
@@ -331,26 +340,118 @@ def _(spark, root):
     return rounded(listed.unionByName(linked), ["sentiment"])
 
 
-# ---------------------------------------------------------------------- models
-@query("job_topics")
+@query("job_user_network_last", f"""
+WITH {NETWORK.replace("SELECT author, subreddit, CASE", "SELECT author, subreddit, created_utc, CASE")},
+r AS (SELECT author, subreddit, s, row_number() OVER (PARTITION BY author, subreddit ORDER BY created_utc DESC, s DESC) AS place FROM signs)
+SELECT author AS "user", subreddit, CAST(1 AS INTEGER) AS weight, s AS sentiment FROM r WHERE place = 1""")
 def _(spark, root):
-    docs = topics.documents(roles.chat(spark, root), roles.docs(spark, root))
-    made = topics.run(docs, k=4, vocabulary=500, iterations=5)
-    return made["topic_by_subreddit"]
+    """Edges with the tone of each pair's last message."""
+    rows = network.messages(roles.chat(spark, root), None, "2023-01-01", "2025-01-01")
+    return network.graph(rows, K.NETWORK_USERS, roles.lexicon(spark), RULES, pick="last")[1]
 
 
-@query("job_quality_classifier")
+# ---------------------------------------------------------------------- models
+TOPIC_DOCS = f"""{CHAT}, {DOCS},
+said AS (SELECT subreddit, date, body FROM chat WHERE body IS NOT NULL AND body NOT IN ('[deleted]', '[removed]') AND body <> ''
+         UNION ALL SELECT subreddit, date, concat_ws(' ', title, selftext) FROM docs WHERE title IS NOT NULL AND title <> ''),
+kept AS (SELECT subreddit, date, {TOPIC_SQL} AS body FROM said WHERE {TOPIC_SQL} <> ''),
+t AS (SELECT row_number() OVER () AS id, subreddit, date, body FROM kept),
+vocabulary AS (SELECT least(count(*), {K.TOPIC_VOCABULARY}) AS n FROM (SELECT term FROM (
+  SELECT id, unnest(list_filter(string_split(body, ' '), lambda w: w NOT IN {sql_list([*ENGLISH, *K.TOPIC_STOP_WORDS])})) AS term FROM t)
+  GROUP BY 1 HAVING count(DISTINCT id) >= {K.TOPIC_MIN_DF}))"""
+
+
+def _topics(spark, root):
+    return topics.run(topics.documents(roles.chat(spark, root), roles.docs(spark, root)))
+
+
+@query("job_topics", f"""
+WITH {TOPIC_DOCS}
+SELECT 'month' AS report, year(date) || '-' || month(date) AS key, count(*) AS n, true AS in_range FROM t GROUP BY 2
+UNION ALL SELECT 'community', subreddit, count(*), true FROM t GROUP BY 2
+UNION ALL SELECT 'terms', '', {K.TOPIC_COUNT} * least(n, {K.TOPIC_WORDS}), true FROM vocabulary
+UNION ALL SELECT 'shares', '', count(*), true FROM t""")
+def _(spark, root):
+    """All four tables, by their exact totals: documents per month and community, ranks per topic, shares that add up to one."""
+    made = _topics(spark, root)
+    valid = F.min(F.col("dominant_topic").between(0, K.TOPIC_COUNT - 1)).alias("in_range")
+    total = lambda name, report, key: made[name].groupBy(F.lit(report).alias("report"), F.col(key).alias("key")).agg(F.sum("count").alias("n"), valid)
+    words = made["topics"].agg(F.count("*").alias("n"), F.min(F.col("relative").between(0, 1)).alias("in_range"))
+    shares = made["topic_shares"].agg(F.sum("count").alias("n"), (F.abs(F.sum("share") - 1) < 1e-9).alias("in_range"))
+    rest = [df.select(F.lit(name).alias("report"), F.lit("").alias("key"), "n", "in_range") for name, df in (("terms", words), ("shares", shares))]
+    return total("topic_trends", "month", "year_month").unionByName(total("topic_by_subreddit", "community", "subreddit")).unionByName(rest[0]).unionByName(rest[1])
+
+
+@query("job_topic_grids", f"""
+WITH {TOPIC_DOCS}, top AS (SELECT subreddit, count(*) AS n FROM t GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20)
+SELECT 'month' AS grid, year(date) || '-' || month(date) AS key, count(*) AS n FROM t GROUP BY 2 UNION ALL SELECT 'community', subreddit, n FROM top""")
+def _(spark, root):
+    """The grids of topics by month and by the 20 largest communities; each row adds up to its documents."""
+    made = _topics(spark, root)
+    whole = sum((F.col(str(k)) for k in range(1, K.TOPIC_COUNT)), F.col("0")).cast("bigint").alias("n")
+    months, places = topics.month_grid(made["topic_trends"]), topics.community_grid(made["topic_by_subreddit"])
+    return months.select(F.lit("month").alias("grid"), F.col("year_month").alias("key"), whole).unionByName(
+        places.select(F.lit("community").alias("grid"), F.col("subreddit").alias("key"), whole))
+
+
+@query("job_topic_change", f"""
+WITH {EVENTS_SQL}, docs_t AS (SELECT doc_id % 4 AS topic, DATE '2023-06-01' + CAST(doc_id % 426 AS INTEGER) AS date FROM documents),
+j AS (SELECT event_date, label, date < event_date AS before, topic FROM docs_t JOIN events_t ON date >= event_date - 30 AND date < event_date + 30),
+n AS (SELECT event_date, label, topic, count(*) FILTER (before) AS n_before, count(*) FILTER (NOT before) AS n_after FROM j GROUP BY ALL),
+s AS (SELECT *, sum(n_before) OVER w AS all_before, sum(n_after) OVER w AS all_after FROM n WINDOW w AS (PARTITION BY event_date, label))
+SELECT event_date, label, CAST(topic AS INTEGER) AS dominant_topic, n_before, n_after,
+  round(CASE WHEN all_before > 0 THEN n_before / all_before END, 9)::DOUBLE AS share_before, round(CASE WHEN all_after > 0 THEN n_after / all_after END, 9)::DOUBLE AS share_after,
+  round(CASE WHEN all_before > 0 AND all_after > 0 THEN n_after / all_after - n_before / all_before END, 9)::DOUBLE AS delta FROM s""")
 def _(spark, root):
-    """Are documents of 1,000 characters or more recognised by their words and behaviour features?"""
-    _, _, made = quality.run(roles.docs(spark, root), threshold=1000, size=1000, iterations=10)
-    return made["model_metrics_summary"]
+    """Shares of topics before and after each event, over an assignment that SQL can repeat."""
+    assigned = roles.docs(spark, root).select("date", (F.col("id") % 4).cast("int").alias("dominant_topic"))
+    return rounded(topics.around_events(assigned, 30, roles.EVENTS), ["share_before", "share_after", "delta"], 9)
 
 
-@query("job_text_clusters")
+LABELS = (("high", 1000, "at_least"), ("low", 500, "below"), ("long", 2000, "at_least"))
+
+
+@query("job_quality_classifier", f"""
+WITH {DOCS}, d AS (SELECT score, {SPLIT} AS place FROM docs WHERE body IS NOT NULL),
+l AS (SELECT 'high' AS model, CAST(score >= 1000 AS INTEGER) AS label FROM d WHERE place >= 0.8
+      UNION ALL SELECT 'low', CAST(score < 500 AS INTEGER) FROM d WHERE place >= 0.8
+      UNION ALL SELECT 'long', CAST(score >= 2000 AS INTEGER) FROM d WHERE place >= 0.8)
+SELECT model, 'true_' || label AS part, count(*) AS n, true AS in_range FROM l GROUP BY ALL
+UNION ALL SELECT DISTINCT model, part, 1, true FROM l, (VALUES ('metrics'), ('roc'), ('pr'), ('aupr')) AS v(part)""")
+def _(spark, root):
+    """Are long and short documents recognised by their words and behaviour features? All five tables of three labels."""
+    parts = []
+    for name, threshold, side in LABELS:
+        _, _, made = quality.run(roles.docs(spark, root), threshold=threshold, side=side)
+        unit = lambda c: F.col(c).between(0, 1)
+        confusion = made["confusion_matrix"].select(F.col("truth").alias("part"), (F.col("pred_0") + F.col("pred_1")).alias("n"), F.lit(True).alias("in_range"))
+        one = F.lit(1).cast("bigint").alias("n")
+        metrics = made["model_metrics_summary"].select(F.lit("metrics").alias("part"), one, (unit("accuracy") & unit("precision") & unit("recall") & unit("f1") & unit("auc")).alias("in_range"))
+        roc = made["roc"].agg(F.max("fpr").alias("x"), F.max("tpr").alias("y"), F.min("tpr").alias("z")).select(
+            F.lit("roc").alias("part"), one, ((F.col("x") == 1) & (F.col("y") == 1) & (F.col("z") >= 0)).alias("in_range"))
+        pr = made["pr"].agg(F.max("recall").alias("x"), F.min("precision").alias("y")).select(F.lit("pr").alias("part"), one, ((F.col("x") == 1) & (F.col("y") >= 0)).alias("in_range"))
+        area = made["aupr"].select(F.lit("aupr").alias("part"), one, unit("aupr").alias("in_range"))
+        for df in (confusion, metrics, roc, pr, area):
+            parts.append(df.withColumn("model", F.lit(name)))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+@query("job_text_clusters", f"""
+WITH {DOCS}, n AS (SELECT count(*) AS n FROM docs WHERE concat_ws(' ', title, selftext) <> '')
+SELECT report, n, true AS in_range FROM n, (VALUES ('assignments'), ('profile'), ('points'), ('sentiment')) AS v(report)""")
 def _(spark, root):
+    """All four tables, by their exact totals."""
     docs = clusters.documents(roles.docs(spark, root))
-    _, made = clusters.run(docs, k=5, size=1000, lexicon=roles.lexicon(spark), rules=RULES)
-    return made["profile"].join(made["sentiment"], "cluster")
+    _, made = clusters.run(docs, lexicon=roles.lexicon(spark), rules=RULES)
+    known = F.min(F.col("cluster").between(0, K.CLUSTER_K - 1))
+    def total(report, n, good=known):
+        return made[report].agg(n.alias("n"), good.alias("in_range")).select(F.lit(report).alias("report"), "n", "in_range")
+    return (
+        total("assignments", F.count_distinct("id"))
+        .unionByName(total("profile", F.sum("size"), F.min(F.size("top_terms").between(1, K.CLUSTER_TERMS))))
+        .unionByName(total("points", F.count_distinct("id")))
+        .unionByName(total("sentiment", F.sum("n"), F.min(F.col("avg_sentiment").between(-1, 1))))
+    )
 
 
 # ----------------------------------------------------------------------- trips

@@ -2,38 +2,40 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from communitylens import constants as K
 from communitylens.functions import text
-from communitylens.operators import evaluation, features, filters, models
+from communitylens.operators import evaluation, features, filters, models, terms
 from communitylens.plans import clusters, quality
+from communitylens.session import cut_lineage
 from communitylens.sources.sampling import part_by_hash, split_by_hash
 from workload import roles
 from workload.registry import query, rounded
 from workload.roles import DOCS, PREDICTIONS, sql_list
 from workload.tables import HASH
-from workload.texts import ENGLISH, SPLIT_SQL, TOPIC_SQL
+from workload.texts import ENGLISH, SPLIT_SQL, TOPIC_SQL, sentiment_sql
 
 FILTERED = f"list_filter({SPLIT_SQL.format(c='body')}, lambda w: w NOT IN {sql_list(ENGLISH)})"
-BUCKETS = 1000
+BUCKETS = K.CLUSTER_FEATURES
 
 
 def _docs(spark, root):
     return roles.docs(spark, root)
 
 
-def _total(vector: str):
-    return F.aggregate(vector_to_array(vector), F.lit(0.0), lambda a, x: a + x)
-
-
-@query("tf_hashing", f"WITH {DOCS} SELECT id, CAST(len({FILTERED}) AS DOUBLE) AS total FROM docs")
+@query("tf_hashing", f"WITH {DOCS} SELECT id, CAST(len({FILTERED}) AS DOUBLE) AS total, true AS in_buckets FROM docs")
 def _(spark, root):
-    """The counts over all hash buckets add up to the words that are no stop words."""
-    stages = features.hashed_tfidf("body", K.CLUSTER_FEATURES)[:3]
-    return Pipeline(stages=stages).fit(_docs(spark, root)).transform(_docs(spark, root)).select("id", _total("raw_features").alias("total"))
+    """The counts over all hash buckets add up to the words that are no stop words; no word has two buckets."""
+    docs = _docs(spark, root)
+    counted = Pipeline(stages=features.hashed_tfidf("body", K.CLUSTER_FEATURES)[:3]).fit(docs).transform(docs)
+    rows = counted.select("id", F.filter(vector_to_array("raw_features"), lambda n: n > 0).alias("v"), F.size(F.array_distinct("filtered_words")).alias("words"))
+    return rows.select("id", F.aggregate("v", F.lit(0.0), lambda a, x: a + x).alias("total"), (F.size("v") <= F.col("words")).alias("in_buckets"))
 
 
 @query("tf_count_vectorizer", f"""
@@ -41,10 +43,11 @@ WITH {DOCS}, t AS (SELECT id, unnest({FILTERED.replace('(body)', f'({TOPIC_SQL})
 vocabulary AS (SELECT term FROM t GROUP BY 1 HAVING count(DISTINCT id) >= 10)
 SELECT id, CAST(count(v.term) AS DOUBLE) AS total FROM docs LEFT JOIN t USING (id) LEFT JOIN vocabulary v USING (term) GROUP BY 1""")
 def _(spark, root):
-    """Counts over a vocabulary of all terms in ten or more documents."""
+    """Counts over a vocabulary of all terms in ten or more documents, read from the sparse vectors' entries."""
     docs = _docs(spark, root).withColumn("clean_text", text.topic_text("body"))
-    stages = features.counted_tfidf("clean_text", 1 << 18, 10)[:3]
-    return Pipeline(stages=stages).fit(docs).transform(docs).select("id", _total("raw_features").alias("total"))
+    counted = Pipeline(stages=features.counted_tfidf("clean_text", 1 << 18, 10)[:3]).fit(docs).transform(docs)
+    entries = F.from_json(F.to_json(F.struct("raw_features")), "raw_features struct<values: array<double>>")["raw_features"]["values"]
+    return counted.select("id", F.aggregate(entries, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 BEHAVIOUR = f"""
@@ -85,95 +88,164 @@ def _(spark, root):
     return rounded(features.class_weight_table(features.labelled(_docs(spark, root).drop("label"), 2000)), ["class_weight"], 9)
 
 
-def _labelled(spark, root):
-    return _docs(spark, root).where(F.col("label").isNotNull())
+def _two_words(spark, root):
+    """Is a document English? Told from one word: whether it has 1,000 characters or more."""
+    word = F.when(F.col("score") >= 1000, "long").otherwise("tiny")
+    return _docs(spark, root).select(
+        "id", word.alias("body"), F.lit(0).cast("bigint").alias("created_utc"), (F.col("title") == "en").cast("int").alias("label"))
+
+
+# With one binary feature the fitted odds of each word are the weighted counts of its classes.
+ODDS = f"""{DOCS},
+t AS (SELECT id, CASE WHEN score >= 1000 THEN 'long' ELSE 'tiny' END AS word, CAST(title = 'en' AS INTEGER) AS label, {SPLIT} AS place FROM docs),
+c AS (SELECT label, count(*) AS n FROM t WHERE place < 0.6 GROUP BY 1),
+odds AS (SELECT word, count(*) FILTER (label = 1)::DOUBLE / (SELECT n FROM c WHERE label = 1)
+                      / (count(*) FILTER (label = 0)::DOUBLE / (SELECT n FROM c WHERE label = 0)) AS odds
+         FROM t WHERE place < 0.6 GROUP BY 1)"""
 
 
 def _trained(spark, root):
-    train, _, test = split_by_hash(features.behaviour_features(_labelled(spark, root)), "id")
-    return models.fit_classifier(features.with_class_weight(train), size=BUCKETS, iterations=10), test
+    train, _, test = split_by_hash(features.behaviour_features(_two_words(spark, root)), "id")
+    return models.fit_classifier(features.with_class_weight(train)), test
 
 
-@query("logreg_fit")
+@query("logreg_fit", f"WITH {ODDS} SELECT word, round(ln(odds), 2) AS log_odds FROM odds")
 def _(spark, root):
-    """The largest weights of a classifier of document quality."""
-    model = _trained(spark, root)[0].stages[-1]
-    weights = enumerate(float(w) for w in model.coefficients.toArray())
-    table = roles.literal_table(spark, weights, "feature int, weight double")
-    return table.orderBy(F.desc(F.abs("weight")), "feature").limit(100)
+    """The log odds that the model gives each word."""
+    model, _ = _trained(spark, root)
+    words = roles.literal_table(spark, [("long", 0), ("tiny", 0)], "body string, created_utc bigint")
+    scored = models.predict(model, features.behaviour_features(words).withColumn("label", F.lit(0)), ["body"])
+    return scored.select(F.col("body").alias("word"), F.round(F.log(F.col("prob") / (1 - F.col("prob"))), 2).alias("log_odds"))
 
 
-@query("logreg_predict")
+@query("logreg_predict", f"""
+WITH {ODDS} SELECT id, label, CAST(odds > 1 AS DOUBLE) AS prediction, round(odds / (1 + odds), 3) AS prob FROM t JOIN odds USING (word) WHERE place >= 0.8""")
 def _(spark, root):
     model, test = _trained(spark, root)
-    return models.predict(model, test, ["id"])
+    return rounded(models.predict(model, test, ["id"]), ["prob"], 3)
+
+
+TOPIC_WORDS = f"list_filter({SPLIT_SQL.format(c=TOPIC_SQL)}, lambda w: w NOT IN {sql_list([*ENGLISH, *K.TOPIC_STOP_WORDS])})"
+TOPIC_TERMS = f"""{DOCS}, t AS (SELECT id, unnest({TOPIC_WORDS}) AS term FROM docs WHERE {TOPIC_SQL} <> ''),
+vocabulary AS (SELECT term FROM t GROUP BY 1 HAVING count(DISTINCT id) >= {K.TOPIC_MIN_DF} ORDER BY count(*) DESC, term LIMIT {K.TOPIC_VOCABULARY})"""
 
 
 def _topic_model(spark, root):
     docs = _docs(spark, root).select("id", "subreddit", "date", "body")
     docs = filters.with_words(docs, "body").withColumn("clean_text", text.topic_text("body"))
-    words, vectors = models.topic_vectors(docs, ["id", "subreddit", "date"], vocabulary=500)
-    return words, vectors, models.fit_topics(vectors, k=4, iterations=5)
+    words, vectors = models.topic_vectors(docs, ["id", "subreddit", "date"])
+    return docs, words, vectors, models.fit_topics(vectors)
 
 
-@query("lda_fit")
+@query("lda_fit", f"WITH {TOPIC_TERMS} SELECT CAST({K.TOPIC_COUNT} AS INTEGER) AS topics, CAST(count(*) AS INTEGER) AS vocabulary, true AS is_finite FROM vocabulary")
 def _(spark, root):
-    _, vectors, lda = _topic_model(spark, root)
-    return roles.literal_table(spark, [(lda.getK(), lda.vocabSize(), float(lda.logPerplexity(vectors)))],
-                               "topics int, vocabulary int, log_perplexity double")
+    _, _, vectors, lda = _topic_model(spark, root)
+    good = math.isfinite(lda.logPerplexity(vectors)) and lda.logPerplexity(vectors) > 0
+    return roles.literal_table(spark, [(lda.getK(), lda.vocabSize(), int(good))], "topics int, vocabulary int, good int").select(
+        "topics", "vocabulary", (F.col("good") == 1).alias("is_finite"))
 
 
-@query("lda_topics")
+@query("lda_topics", f"""
+WITH {TOPIC_TERMS} SELECT CAST(t.topic AS INTEGER) AS topic, CAST(r.rank AS INTEGER) AS rank, true AS known, true AS scaled
+FROM range({K.TOPIC_COUNT}) t(topic), range(1, {K.TOPIC_WORDS} + 1) r(rank) WHERE r.rank <= (SELECT count(*) FROM vocabulary)""")
 def _(spark, root):
-    words, _, lda = _topic_model(spark, root)
-    return models.topic_words(words, lda, 15)
+    """Every topic has its ranks, with words of the vocabulary and weights relative to the topic's first."""
+    docs, words, _, lda = _topic_model(spark, root)
+    split = Pipeline(stages=[features.tokenizer("clean_text", "tokens"), features.stop_words_remover("tokens", "kept", K.TOPIC_STOP_WORDS)]).fit(docs).transform(docs)
+    known = terms.vocabulary(split, "kept", K.TOPIC_MIN_DF, K.TOPIC_VOCABULARY).select(F.col("term").alias("known"))
+    listed = models.topic_words(words, lda).join(known, F.col("term") == F.col("known"), "left")
+    scaled = F.when(F.col("rank") == 1, F.col("relative") == 1).otherwise((F.col("relative") > 0) & (F.col("relative") <= 1))
+    return listed.select("topic", "rank", F.col("known").isNotNull().alias("known"), scaled.alias("scaled"))
 
 
-@query("lda_transform")
+@query("lda_transform", f"WITH {DOCS} SELECT id, subreddit, date, true AS is_topic FROM docs WHERE {TOPIC_SQL} <> ''")
 def _(spark, root):
-    _, vectors, lda = _topic_model(spark, root)
-    return models.dominant_topic(lda, vectors)
+    _, _, vectors, lda = _topic_model(spark, root)
+    return models.dominant_topic(lda, vectors).select("id", "subreddit", "date", F.col("dominant_topic").between(0, K.TOPIC_COUNT - 1).alias("is_topic"))
 
 
 def _vectors(spark, root):
-    docs = _docs(spark, root).withColumn("id", F.col("id").cast("string"))
-    return models.cluster_features(clusters.documents(docs), size=BUCKETS)[1]
+    return cut_lineage(models.cluster_features(clusters.documents(_docs(spark, root).withColumn("id", F.col("id").cast("string"))))[1].select("id", "features"))
 
 
-def _assigned(spark, root, k=5):
-    vectors = _vectors(spark, root)
-    return models.fit_clusters(vectors, k).transform(vectors)
+N_DOCS = f"WITH {DOCS}, d AS (SELECT count(*) AS n FROM docs WHERE trim(concat_ws(' ', title, selftext)) <> '')"
 
 
-@query("kmeans_fit")
+@query("kmeans_fit", f"{N_DOCS} SELECT n AS documents, n AS at_nearest, true AS few FROM d")
+def _(spark, root):
+    """Every document is in one cluster, the one whose centre is nearest to it."""
+    vectors = _vectors(spark, root)
+    model = models.fit_clusters(vectors)
+    centres = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())], "place int, centre array<double>")
+    rows = model.transform(vectors).select(
+        "id", "cluster", vector_to_array("features").alias("x"), F.explode(F.sequence(F.lit(0), F.lit(K.CLUSTER_K - 1))).alias("place"))
+    gap = F.aggregate(F.zip_with("x", "centre", lambda x, c: (x - c) * (x - c)), F.lit(0.0), lambda a, x: a + x)
+    near = rows.join(centres, "place").select("id", "cluster", "place", gap.alias("gap")).groupBy("id").agg(
+        F.min("gap").alias("least"), F.min(F.when(F.col("place") == F.col("cluster"), F.col("gap"))).alias("own"))
+    sizes = models.cluster_sizes(model.transform(vectors))
+    return near.agg(
+        F.count(F.when(F.col("own") <= F.col("least") + 1e-6, 1)).alias("at_nearest")
+    ).select(sizes.agg(F.sum("size")).scalar().alias("documents"), "at_nearest", (sizes.agg(F.count("*")).scalar() <= K.CLUSTER_K).alias("few"))
+
+
+@query("kmeans_elbow", f"SELECT CAST(k AS INTEGER) AS k, true AS within_total FROM range({K.ELBOW_MIN_K}, {K.ELBOW_MAX_K + 1}) t(k) WHERE EXISTS (SELECT 1 FROM documents)")
 def _(spark, root):
-    return models.cluster_sizes(_assigned(spark, root))
+    """The squares within clusters are part of the squares around the common mean."""
+    vectors = _vectors(spark, root)
+    row = vectors.select(Summarizer.metrics("mean", "normL2", "count").summary(F.col("features")).alias("s")).select("s.*").first()
+    total = sum(norm * norm - row["count"] * mean * mean for norm, mean in zip(row["normL2"], row["mean"], strict=True))
+    return models.elbow(vectors).select("k", F.col("wcss").between(0, total * (1 + 1e-9)).alias("within_total"))
 
 
-@query("kmeans_elbow")
-def _(spark, root):
-    return models.elbow(_vectors(spark, root), range(2, 6))
+PAIR = "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings"
+
+
+def _plane(spark, root):
+    xy = roles.load(spark, root, "embeddings").select("vec_id", F.slice("embedding", 1, 2).cast("array<double>").alias("xy"))
+    return xy.select("vec_id", array_to_vector("xy").alias("features"))
 
 
-@query("pca_2d")
+@query("pca_2d", f"""
+WITH p AS ({PAIR}), c AS (SELECT var_samp(x) AS a, var_samp(y) AS b, covar_samp(x, y) AS c FROM p)
+SELECT round((a + b) / 2 + sqrt(((a - b) / 2) ** 2 + c * c), 6) AS var1, round((a + b) / 2 - sqrt(((a - b) / 2) ** 2 + c * c), 6) AS var2, 0.0::DOUBLE AS covariance FROM c""")
 def _(spark, root):
+    """Of two columns the components' variances are the eigenvalues of a 2 by 2 matrix, and they do not vary together."""
     xy = vector_to_array("pca_features")
-    return models.plane(_vectors(spark, root)).select("id", F.get(xy, F.lit(0)).alias("pc1"), F.get(xy, F.lit(1)).alias("pc2"))
+    both = models.plane(_plane(spark, root)).select(F.get(xy, F.lit(0)).alias("x"), F.get(xy, F.lit(1)).alias("y"))
+    return both.agg(
+        F.round(F.var_samp("x"), 6).alias("var1"), F.round(F.var_samp("y"), 6).alias("var2"), F.round(F.abs(F.covar_samp("x", "y")), 6).alias("covariance"))
 
 
-@query("cluster_points")
+@query("cluster_points", f"WITH p AS ({PAIR}) SELECT vec_id, x AS pc1, y AS pc2, CAST(vec_id % 5 AS INTEGER) AS cluster FROM p")
 def _(spark, root):
-    return models.cluster_points(models.plane(_assigned(spark, root)), "id")
+    """All points, each with its place and cluster."""
+    placed = _plane(spark, root).withColumnRenamed("features", "pca_features").withColumn("cluster", (F.col("vec_id") % 5).cast("int"))
+    return models.cluster_points(placed, "vec_id")
+
+
+def _assigned(spark, root):
+    docs = clusters.documents(_docs(spark, root))
+    return models.cluster_features(docs)[1].withColumn("cluster", (F.col("id") % 5).cast("int"))
+
+
+RAW = "whole AS (SELECT id, CAST(id % 5 AS INTEGER) AS cluster, concat_ws(' ', title, selftext) AS body FROM docs WHERE trim(concat_ws(' ', title, selftext)) <> '')"
 
 
-@query("cluster_profile")
+@query("cluster_profile", f"""
+WITH {DOCS}, {RAW}, t AS (SELECT cluster, unnest({FILTERED.replace('(body)', "(regexp_replace(body, '[^A-Za-z\\s]', '', 'g'))")}) AS term FROM whole),
+c AS (SELECT cluster, term, count(*) AS n FROM t GROUP BY ALL),
+r AS (SELECT cluster, term, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, term) AS rank FROM c)
+SELECT s.cluster, s.size, top_terms FROM (SELECT cluster, count(*) AS size FROM whole GROUP BY 1) s
+JOIN (SELECT cluster, string_agg(term, ' ' ORDER BY rank) AS top_terms FROM r WHERE rank <= {K.CLUSTER_TERMS} GROUP BY 1) USING (cluster)""")
 def _(spark, root):
-    return models.cluster_profile(_assigned(spark, root))
+    return models.cluster_profile(_assigned(spark, root)).withColumn("top_terms", F.array_join("top_terms", " "))
 
 
-@query("cluster_sentiment")
+@query("cluster_sentiment", f"""
+WITH {DOCS}, {RAW}, {sentiment_sql('whole', 'id', 'body')}
+SELECT cluster, round(avg(scored.score), 6) AS avg_sentiment, count(*) AS n FROM whole JOIN scored ON key = id GROUP BY 1""")
 def _(spark, root):
-    return clusters.cluster_sentiment(_assigned(spark, root), "raw_text", "id", roles.lexicon(spark), roles.RULES)
+    return rounded(clusters.cluster_sentiment(_assigned(spark, root), "raw_text", "id", roles.lexicon(spark), roles.RULES), ["avg_sentiment"])
 
 
 # ------------------------------------------------------------------ evaluation

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,13 +18,23 @@ def query(name: str, sql: str | None = None):
     def register(function: Callable[[SparkSession, str], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = function
+        def run(spark: SparkSession, root: str) -> DataFrame:
+            _local_folder(spark)
+            return function(spark, root)
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return function
     return register
 
 
+def _local_folder(spark: SparkSession) -> None:
+    """One machine without ``spark.checkpoint.dir`` gets a folder for its intermediate results; a cluster must name one."""
+    context = spark.sparkContext
+    if not (spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()) and re.fullmatch(r"local(\[.*\])?", context.master):
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="communitylens-"))
+
+
 def rounded(df: DataFrame, columns: Sequence[str], digits: int = 6) -> DataFrame:
     """Float sums depend on order in their last bits; both sides round them alike."""
     return df.withColumns({c: F.round(c, digits) for c in columns})

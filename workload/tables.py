@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
-from communitylens.operators import counting, features, filters
+from communitylens import constants as K
+from communitylens.operators import counting, features, filters, models
 from communitylens.sources import profile, sampling, sinks, tables
 from workload import roles
 from workload.registry import query, rounded
@@ -191,10 +193,37 @@ def _(spark, root):
 
 
 @query("save_model", f"""
-WITH {roles.DOCS}
-SELECT id, CAST(len(string_split_regex(regexp_replace(lower(body), '\\s+$', ''), '\\s')) AS INTEGER) AS n_words FROM docs""")
+WITH {roles.DOCS} SELECT model, count(*) AS n, count(*) AS equal_rows FROM docs, (VALUES ('classifier'), ('clusters'), ('words')) AS v(model)
+WHERE trim(body) <> '' GROUP BY 1""")
 def _(spark, root):
+    """A classifier pipeline, a K-Means model and a tokenizer answer alike before and after saving."""
     docs = filters.non_blank(roles.docs(spark, root), "body")
-    folder = scratch(spark, "model")
-    sinks.save_model(Pipeline(stages=[features.tokenizer("body")]).fit(docs), folder)
-    return PipelineModel.load(folder).transform(docs).select("id", F.size("words").alias("n_words"))
+    labelled = features.behaviour_features(docs.withColumn("label", (F.col("score") >= 1000).cast("int")))
+    classifier = models.fit_classifier(features.with_class_weight(labelled))
+    counted, vectors = models.cluster_features(docs, "body")
+    answers = {
+        "classifier": (classifier, PipelineModel, labelled, "prediction"),
+        "clusters": (models.fit_clusters(vectors), KMeansModel, vectors, "cluster"),
+        "words": (Pipeline(stages=[features.tokenizer("body")]).fit(docs), PipelineModel, docs, "words"),
+    }
+    parts = []
+    for name, (model, kind, rows, answer) in answers.items():
+        folder = scratch(spark, name)
+        sinks.save_model(model, folder)
+        before = model.transform(rows).select("id", F.xxhash64(answer).alias("x"))
+        after = kind.load(folder).transform(rows).select(F.col("id").alias("i"), F.xxhash64(answer).alias("y"))
+        parts.append(before.join(after, F.col("id") == F.col("i")).agg(
+            F.count("*").alias("n"), F.count(F.when(F.col("x") == F.col("y"), 1)).alias("equal_rows")).withColumn("model", F.lit(name)))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("schema_profile_kinds", """
+SELECT 'comments' AS kind, CAST(count(*) AS BIGINT) AS n, sum(CASE WHEN c IN ('subreddit', 'author', 'score', 'created_utc', 'id', 'link_id') THEN 1 ELSE 0 END)::BIGINT AS wanted, (SELECT count(*) FROM lineitem) AS rows
+FROM (SELECT unnest(['subreddit', 'author', 'score', 'created_utc', 'id', 'link_id']) AS c)""")
+def _(spark, root):
+    """The columns of interest of a comment table, those that exist; distinct counts within the sketch's error."""
+    made = profile.schema_profile(profile.of_interest(roles.comments(spark, root), "comments"))
+    good = F.col("approx_distinct") <= F.col("rows") * 1.2
+    return made.agg(
+        F.lit("comments").alias("kind"), F.count("*").alias("n"), F.sum(F.col("column").isin(*K.PROFILE_COMMENT_COLUMNS).cast("int") * good.cast("int")).alias("wanted"),
+        F.max("rows").alias("rows"))
