@@ -147,6 +147,7 @@ BOOSTER_STEP = 0.293
 BOOSTER_DAMPING = (1.0, 0.95, 0.9)
 CAPS_STEP = 0.733
 NEGATION_FACTOR = -0.74
+NEVER_SO_FACTOR = 1.25
 EXCLAMATION_STEP = 0.292
 EXCLAMATION_MAX = 4
 QUESTION_STEP = 0.18

@@ -1,8 +1,11 @@
 """Lexicon- and rule-based sentiment after Hutto & Gilbert, "VADER" (ICWSM 2014).
 
-The lexicon is a ``(term, valence)`` table. The rules are the published ones:
-degree modifiers and negation within three words, capitals for emphasis, the
-contrast around "but", and exclamation and question marks.
+The lexicon is a ``(term, valence)`` table. A word's valence passes the published rules in
+their order: "no" before a lexicon word, capitals, then for each of the three words before, nearest
+first, its degree modifier and after that its negation, then idioms, "least", and the contrast
+around "but". Exclamation and question marks count for the whole text. Words before that are in the
+lexicon themselves neither modify nor negate. The built-in lexicon is a small part of the published
+one, whose MIT licence asks for this notice: Copyright (c) 2016 C.J. Hutto.
 """
 
 from __future__ import annotations
@@ -40,6 +43,12 @@ DAMPENERS = (
     "scarcely", "slightly", "somewhat", "sorta",
 )
 CONTRAST = "but"
+#: Modifiers of several words, and phrases with a valence of their own.
+PHRASES = ("just enough", "kind of", "sort of")
+IDIOMS = (
+    ("the shit", 3.0), ("the bomb", 3.0), ("bad ass", 1.5), ("bus stop", 0.0), ("yeah right", -2.0), ("kiss of death", -1.5),
+    ("to die for", 3.0), ("beating heart", 3.1), ("broken heart", -2.9),
+)
 
 # A small general-purpose lexicon on the published -4..4 scale; pass a larger one
 # as a table where coverage matters.
@@ -75,6 +84,8 @@ class Rules:
     boosters: tuple[str, ...] = BOOSTERS
     dampeners: tuple[str, ...] = DAMPENERS
     contrast: str = CONTRAST
+    phrases: tuple[str, ...] = PHRASES
+    idioms: tuple[tuple[str, float], ...] = IDIOMS
 
 
 def default_lexicon(spark: SparkSession) -> DataFrame:
@@ -99,12 +110,42 @@ def _emphasis(text: Column) -> Column:
     return F.least(marks, F.lit(K.EXCLAMATION_MAX)) * K.EXCLAMATION_STEP + asked
 
 
-def _modifier(neighbour: Column, valence: Column, capitals: Column, damping: float, rules: Rules) -> Column:
+def _modifier(word: Column, valence: Column, capitals: Column, rules: Rules) -> Column:
     """What a word before adds to a valence: away from zero when boosting, towards it when dampening."""
-    plain = F.lower(neighbour)
+    plain = F.lower(word)
     step = F.when(plain.isin(*rules.boosters), K.BOOSTER_STEP).when(plain.isin(*rules.dampeners), -K.BOOSTER_STEP)
-    shout = F.when(capitals & _shouted(neighbour), K.CAPS_STEP).otherwise(0.0)
-    return F.coalesce((step + shout) * F.signum(valence) * damping, F.lit(0.0))
+    shout = F.when(capitals & _shouted(word), F.when(valence > 0, K.CAPS_STEP).otherwise(-K.CAPS_STEP)).otherwise(0.0)
+    return F.coalesce(F.when(valence < 0, -step).otherwise(step) + shout, F.lit(0.0))
+
+
+def _negation(n: int, low: list[Column], rules: Rules) -> Column:
+    """The factor for the n-th word before; ``low`` are the three words before, in lower case, nearest first."""
+    emphatic, plain = [word.isin("so", "this") for word in low], F.contains(low[n - 1], F.lit("n't")) | low[n - 1].isin(*rules.negators)
+    factor = F.when(plain, K.NEGATION_FACTOR).otherwise(1.0)
+    if n == 1:
+        return factor
+    never = (low[n - 1] == "never") & emphatic[n - 2]
+    doubt = (low[n - 1] == "without") & (low[n - 2] == "doubt")
+    if n == 3:
+        never, doubt = never | emphatic[0], doubt | (low[0] == "doubt")
+    return F.when(never, K.NEVER_SO_FACTOR).when(doubt, 1.0).otherwise(factor)
+
+
+def _idiom(valence: Column, word: Column, low: list[Column], after: list[Column], rules: Rules) -> Column:
+    """The valence of an idiom around the word, else the word's own with its phrases of modifiers."""
+    one, two, three = low
+    before = [F.concat_ws(" ", *words) for words in ((one, word), (two, one, word), (two, one), (three, two, one), (three, two))]
+    behind = [F.concat_ws(" ", word, after[0], after[1]), F.concat_ws(" ", word, after[0])]
+    result = valence
+    for places in (before, behind):
+        found = None
+        for place in places:
+            for idiom, value in rules.idioms:
+                found = F.when(place == idiom, value) if found is None else found.when(place == idiom, value)
+        result = result if found is None else found.otherwise(result)
+    for place in (before[3], before[4], before[2]):
+        result = result + F.when(place.isin(*rules.phrases), -K.BOOSTER_STEP).otherwise(0.0)
+    return result
 
 
 def compound(total: Column, emphasis: Column) -> Column:
@@ -118,7 +159,7 @@ def score_sentiment(df: DataFrame, text: str, keys: Sequence[str], lexicon: Data
                     alias: str = "sentiment_score", copies: str | None = None, rules: Rules = Rules()) -> DataFrame:
     """(keys..., sentiment_score) per text; texts without lexicon words, and missing texts, score 0.0.
 
-    Every word travels with the three words before it, so the rules need no window.
+    Every word travels with the three words before it and the two behind, so the rules need no window.
     Words outside the lexicon are dropped by a join with the (small) lexicon before
     anything is exchanged; one row per text remains to be shuffled.
 
@@ -137,6 +178,7 @@ def score_sentiment(df: DataFrame, text: str, keys: Sequence[str], lexicon: Data
     # Two independent hashes stand for the text from here on.
     document = [*keys, "_hash1", "_hash2"]
     shifted = [F.concat(F.array_repeat(F.lit(""), n), F.col("_words")).alias(f"before{n}") for n in (1, 2, 3)]
+    shifted += [F.slice("_words", n + 1, F.size("_words")).alias(f"after{n}") for n in (1, 2)]
     rows = (
         df.select(
             *keys, F.xxhash64(body).alias("_hash1"), F.hash(body).alias("_hash2"), body.alias("_body"),
@@ -152,21 +194,36 @@ def score_sentiment(df: DataFrame, text: str, keys: Sequence[str], lexicon: Data
         .select(
             *document, "_emphasis", "_capitals", "_contrast", "_at", _word(F.col("_w.word")).alias("_word"),
             *[F.col(f"_w.before{n}").alias(f"_before{n}") for n in (1, 2, 3)],
+            *[F.coalesce(f"_w.after{n}", F.lit("")).alias(f"_after{n}") for n in (1, 2)],
         )
     )
 
     found = (
         rows.join(valences, F.lower("_word") == F.col("_term"), "left")
         .where(F.col("_valence").isNotNull() | (F.col("_at") == 0))
-        .withColumns({f"_before{n}": _word(F.col(f"_before{n}")) for n in (1, 2, 3)})
+        .withColumns({c: _word(F.col(c)) for c in ("_before1", "_before2", "_before3", "_after1", "_after2")})
     )
-    valence = F.col("_valence")
-    shout = F.when(F.col("_capitals") & _shouted(F.col("_word")), K.CAPS_STEP).otherwise(0.0)
-    value = valence + F.signum(valence) * shout
-    for n in (1, 2, 3):
-        value = value + _modifier(F.col(f"_before{n}"), valence, F.col("_capitals"), K.BOOSTER_DAMPING[n - 1], rules)
+    for c in ("_before1", "_before2", "_before3", "_after1"):  # is the neighbour in the lexicon?
+        known = valences.select(F.col("_term").alias(f"{c}_term"))
+        found = found.join(known, F.lower(c) == F.col(f"{c}_term"), "left").withColumn(f"{c}_known", F.col(f"{c}_term").isNotNull()).drop(f"{c}_term")
+
+    low = [F.lower(f"_before{n}") for n in (1, 2, 3)]
+    after = [F.lower("_after1"), F.lower("_after2")]
+    word, value, shouting = F.lower("_word"), F.col("_value"), F.col("_capitals")
+    denied = (low[0] == "no") | (low[1] == "no") | ((low[2] == "no") & low[0].isin("or", "nor"))
+    start = F.when(denied, F.col("_valence") * K.NEGATION_FACTOR).when((word == "no") & F.col("_after1_known"), 0.0 * F.col("_valence")).otherwise(F.col("_valence"))
+    found = found.withColumn("_value", start)
+    loud = F.when(shouting & _shouted(F.col("_word")), F.when(value > 0, K.CAPS_STEP).otherwise(-K.CAPS_STEP)).otherwise(0.0)
+    found = found.withColumn("_value", value + loud)
     for n in (1, 2, 3):
-        value = value * F.when(F.lower(f"_before{n}").isin(*rules.negators), K.NEGATION_FACTOR).otherwise(1.0)
+        heard = (F.col("_at") >= n) & ~F.col(f"_before{n}_known")
+        moved = value + _modifier(F.col(f"_before{n}"), value, shouting, rules) * K.BOOSTER_DAMPING[n - 1]
+        found = found.withColumn("_value", F.when(heard, moved * _negation(n, low, rules)).otherwise(value))
+        if n == 3:
+            found = found.withColumn("_value", F.when(heard, _idiom(value, word, low, after, rules)).otherwise(value))
+    least = (low[0] == "least") & ~F.col("_before1_known") & ((F.col("_at") == 1) | ~low[1].isin("at", "very"))
+    silent = word.isin(*rules.boosters, *rules.dampeners) | ((word == "kind") & (after[0] == "of"))
+    value = F.when(silent, F.lit(0.0)).when(least, value * K.NEGATION_FACTOR).otherwise(value)
     at, contrast = F.col("_at"), F.col("_contrast")
     value = value * (
         F.when((contrast < 0) | (at == contrast), 1.0).when(at < contrast, K.CONTRAST_BEFORE)

@@ -20,15 +20,57 @@ from communitylens.plans import sentiment as sentiment_plan
 from communitylens.session import literal_table
 from conftest import at, in_order, table
 
-LEXICON = (("good", 1.9), ("bad", -2.5), ("great", 3.1), (":)", 2.0), ("no", -1.2))
+LEXICON = (("good", 1.9), ("bad", -2.5), ("great", 3.1), (":)", 2.0), ("no", -1.2), ("kind", 2.4), ("stop", -1.2), ("right", 0.5))
 RULES = Rules(negators=("not", "never"), boosters=("very", "so"), dampeners=("slightly",), contrast="but")
 
 
 # --------------------------------------------------------------------- sentiment
-def score_by_hand(body: str | None) -> float:
+def word_by_rules(i, words, low, valence, shouted, capitals, loud, rules) -> float:
+    """One word's valence, rule after rule."""
+    modifiers = {w: 0.293 for w in rules.boosters} | {w: -0.293 for w in rules.dampeners} | {p: -0.293 for p in rules.phrases}
+    before = lambda n: low[i - n] if i >= n else ""
+    if low[i] in rules.boosters + rules.dampeners or (low[i] == "kind" and low[i + 1:i + 2] == ["of"]):
+        return 0.0
+    v = valence[low[i]]
+    if low[i] == "no" and i + 1 < len(low) and low[i + 1] in valence:
+        v = 0.0
+    if "no" in (before(1), before(2)) or (before(3) == "no" and before(1) in ("or", "nor")):
+        v = valence[low[i]] * -0.74
+    if shouted:
+        v += 0.733 if v > 0 else -0.733
+    for n, damping in ((1, 1.0), (2, 0.95), (3, 0.9)):
+        if i < n or before(n) in valence:
+            continue
+        if before(n) in rules.boosters + rules.dampeners:
+            step = modifiers[before(n)] * (-1 if v < 0 else 1)
+            if capitals and loud(words[i - n]):
+                step += 0.733 if v > 0 else -0.733
+            v += step * damping
+        negates = before(n) in rules.negators or "n't" in before(n)
+        if n == 1:
+            v *= -0.74 if negates else 1
+        else:
+            never = before(n) == "never" and before(n - 1) in ("so", "this")
+            doubt = before(n) == "without" and before(n - 1) == "doubt"
+            if n == 3:
+                never, doubt = never or before(1) in ("so", "this"), doubt or before(1) == "doubt"
+            v *= 1.25 if never else 1 if doubt else -0.74 if negates else 1
+        if n == 3:
+            idioms, join = dict(rules.idioms), " ".join
+            sequences = [join(low[i - 1:i + 1]), join(low[i - 2:i + 1]), join(low[i - 2:i]), join(low[i - 3:i]), join(low[i - 3:i - 1])]
+            v = next((idioms[s] for s in sequences if s in idioms), v)
+            for s in (join(low[i:i + 2]), join(low[i:i + 3])):
+                v = idioms.get(s, v)
+            v += sum(modifiers[s] for s in (sequences[3], sequences[4], sequences[2]) if s in rules.phrases)
+    if before(1) == "least" and "least" not in valence and (i == 1 or before(2) not in ("at", "very")):
+        v *= -0.74
+    return v
+
+
+def score_by_hand(body: str | None, rules: Rules = RULES, lexicon=LEXICON) -> float:
     """The published rules, one word at a time."""
     body = body or ""
-    valence = dict(LEXICON)
+    valence = dict(lexicon)
 
     def bare(w):
         inner = w.strip(string.punctuation)
@@ -41,22 +83,12 @@ def score_by_hand(body: str | None) -> float:
     words = [bare(w) for w in raw]
     capitals = any(map(loud, raw)) and not all(map(loud, raw))
     low = [w.lower() for w in words]
-    turn = low.index(RULES.contrast) if RULES.contrast in low else None
+    turn = low.index(rules.contrast) if rules.contrast in low else None
     total = 0.0
     for i, w in enumerate(words):
         if low[i] not in valence:
             continue
-        v = valence[low[i]]
-        side = 1 if v > 0 else -1
-        value = v + (side * 0.733 if capitals and loud(w) else 0)
-        near = [words[i - n] if i >= n else "" for n in (1, 2, 3)]
-        for other, damping in zip(near, (1.0, 0.95, 0.9)):
-            step = 0.293 if other.lower() in RULES.boosters else -0.293 if other.lower() in RULES.dampeners else None
-            if step is not None:
-                value += (step + (0.733 if capitals and loud(other) else 0)) * side * damping
-        for other in near:
-            if other.lower() in RULES.negators:
-                value *= -0.74
+        value = word_by_rules(i, words, low, valence, capitals and loud(w), capitals, loud, rules)
         if turn is not None and i != turn:
             value *= 0.5 if i < turn else 1.5
         total += value
@@ -66,10 +98,19 @@ def score_by_hand(body: str | None) -> float:
     return total / math.sqrt(total * total + 15)
 
 
+@pytest.mark.parametrize("body, expected", [("very not good", -0.399), ("good no problem", 0.629), ("the least good", -0.341)])
+def test_order_of_rules(spark, body, expected):
+    """Modifier and negation alternate; "no" turns the next word; "least" turns what follows."""
+    df = spark.createDataFrame([(1, body)], "i int, t string")
+    got = score_sentiment(df, "t", ["i"]).first()["sentiment_score"]
+    assert got == pytest.approx(score_by_hand(body, Rules(), sentiment.LEXICON)) and got == pytest.approx(expected, abs=0.01)
+
+
 def random_texts(n: int) -> list[str]:
     rng = random.Random(4)
     vocabulary = ["good", "Good", "BAD", "great!", "(great)", "no", "not", "NEVER", "very", "VERY", "so", "slightly", "but",
-                  "but,", ":)", "the", "cat", "A", "x??", "???", "!!", "\n", "\t", "", "ÉTÉ"]
+                  "but,", ":)", "the", "cat", "A", "x??", "???", "!!", "\n", "\t", "", "ÉTÉ", "least", "at", "this", "without", "doubt", "or",
+                  "kind", "of", "sort", "isn't", "bus", "stop", "yeah", "right", "No"]
     return [" ".join(rng.choices(vocabulary, k=rng.randint(0, 14))) for _ in range(n)]
 
 

@@ -103,38 +103,61 @@ def _(spark, root):
 PUNCT = "[!-/:-@\\[-`{-~]"
 
 
-def sentiment_sql(source: str, key: str, body: str) -> str:
+def sentiment_sql(source: str, key: str, body: str, lexicon=roles.WORDS, rules=RULES) -> str:
     """CTEs ending in ``scored(key, score)``: the published rules, word by word."""
-    boost = sql_list(RULES.boosters)
-    damp = sql_list(RULES.dampeners)
-    negate = sql_list(RULES.negators)
+    boost = sql_list(rules.boosters)
+    damp = sql_list(rules.dampeners)
+    negate = sql_list(rules.negators)
     def shout(c):
         return f"({c} = upper({c}) AND {c} <> lower({c}))"
     def bare(c):
         stripped = f"regexp_replace({c}, '^{PUNCT}+|{PUNCT}+$', '', 'g')"
         return f"CASE WHEN length({stripped}) <= 2 THEN {c} ELSE {stripped} END"
-    def modifier(n, damping):
-        p = f"p{n}"
-        step = f"CASE WHEN lower({p}) IN {boost} THEN 0.293 WHEN lower({p}) IN {damp} THEN -0.293 END"
-        return f"coalesce(({step} + CASE WHEN capitals AND {shout(p)} THEN 0.733 ELSE 0 END) * sign(valence) * {damping}, 0)"
+    def step(n, damping):
+        """v after the n-th word before: first its modifier, then its negation."""
+        p, low = f"p{n}", [f"lower(p{k})" for k in (1, 2, 3)]
+        added = (f"coalesce(CASE WHEN lower({p}) IN {boost} THEN 0.293 WHEN lower({p}) IN {damp} THEN -0.293 END * CASE WHEN v < 0 THEN -1 ELSE 1 END"
+                 f" + CASE WHEN capitals AND {shout(p)} THEN CASE WHEN v > 0 THEN 0.733 ELSE -0.733 END ELSE 0 END, 0) * {damping}")
+        never = doubt = "false"
+        if n > 1:
+            never = f"({low[n - 1]} = 'never' AND {low[n - 2]} IN ('so', 'this'))" + (f" OR {low[0]} IN ('so', 'this')" if n == 3 else "")
+            doubt = f"({low[n - 1]} = 'without' AND {low[n - 2]} = 'doubt')" + (f" OR {low[0]} = 'doubt'" if n == 3 else "")
+        factor = f"CASE WHEN {never} THEN 1.25 WHEN {doubt} THEN 1 WHEN {low[n - 1]} IN {negate} OR contains({low[n - 1]}, 'n''t') THEN -0.74 ELSE 1 END"
+        return f"CASE WHEN i >= {n} AND NOT k{n} THEN (v + {added}) * {factor} ELSE v END"
+    idioms = " ".join(f"WHEN '{phrase}' THEN {value}" for phrase, value in rules.idioms)
+    def idiom(*places):
+        return "coalesce(" + ", ".join(f"CASE {place} {idioms} END" for place in places) + ", {rest})"
+    w, b1, b2, b3, n1, n2 = (f"lower({c})" for c in ("word", "p1", "p2", "p3", "n1", "n2"))
+    said = idiom(f"{b1} || ' ' || {w}", f"{b2} || ' ' || {b1} || ' ' || {w}", f"{b2} || ' ' || {b1}", f"{b3} || ' ' || {b2} || ' ' || {b1}", f"{b3} || ' ' || {b2}")
+    saying = idiom(f"{w} || ' ' || {n1} || ' ' || {n2}", f"{w} || ' ' || {n1}").format(rest=said.format(rest="v"))
+    phrases = " ".join(f"- CASE WHEN {place} IN {sql_list(rules.phrases)} THEN 0.293 ELSE 0 END" for place in (
+        f"{b3} || ' ' || {b2} || ' ' || {b1}", f"{b3} || ' ' || {b2}", f"{b2} || ' ' || {b1}"))
     return f"""
 body AS (SELECT {key} AS key, coalesce({body}, '') AS body FROM {source}),
 raw AS (SELECT key, body, unnest(w) AS raw, generate_subscripts(w, 1) - 1 AS i
         FROM (SELECT key, body, string_split(trim(regexp_replace(body, '\\s+', ' ', 'g')), ' ') AS w FROM body)),
 words AS (SELECT key, i, raw, {bare('raw')} AS word FROM raw),
 doc AS (SELECT key, bool_or({shout('raw')}) AND bool_or(NOT {shout('raw')}) AS capitals,
-               min(i) FILTER (lower(word) = '{RULES.contrast}') AS contrast FROM words GROUP BY 1),
+               min(i) FILTER (lower(word) = '{rules.contrast}') AS contrast FROM words GROUP BY 1),
 near AS (SELECT key, i, word, coalesce(lag(word, 1) OVER w, '') AS p1, coalesce(lag(word, 2) OVER w, '') AS p2,
-                coalesce(lag(word, 3) OVER w, '') AS p3 FROM words WINDOW w AS (PARTITION BY key ORDER BY i)),
-lex AS (SELECT term, max(valence) AS valence FROM (VALUES {sql_rows(roles.WORDS)}) AS t(term, valence) GROUP BY 1),
+                coalesce(lag(word, 3) OVER w, '') AS p3, coalesce(lead(word, 1) OVER w, '') AS n1, coalesce(lead(word, 2) OVER w, '') AS n2
+         FROM words WINDOW w AS (PARTITION BY key ORDER BY i)),
+lex AS (SELECT term, max(valence)::DOUBLE AS valence FROM (VALUES {sql_rows(lexicon)}) AS t(term, valence) GROUP BY 1),
+start AS (
+  SELECT near.*, capitals, contrast, lower(p1) IN (SELECT term FROM lex) AS k1, lower(p2) IN (SELECT term FROM lex) AS k2, lower(p3) IN (SELECT term FROM lex) AS k3,
+    CASE WHEN {b1} = 'no' OR {b2} = 'no' OR ({b3} = 'no' AND {b1} IN ('or', 'nor')) THEN valence * -0.74
+         WHEN {w} = 'no' AND {n1} IN (SELECT term FROM lex) THEN 0 ELSE valence END AS v
+  FROM near JOIN doc USING (key) JOIN lex ON {w} = term),
+loud AS (SELECT * REPLACE (v + CASE WHEN capitals AND {shout('word')} THEN CASE WHEN v > 0 THEN 0.733 ELSE -0.733 END ELSE 0 END AS v) FROM start),
+one AS (SELECT * REPLACE ({step(1, 1.0)} AS v) FROM loud),
+two AS (SELECT * REPLACE ({step(2, 0.95)} AS v) FROM one),
+three AS (SELECT * REPLACE ({step(3, 0.9)} AS v) FROM two),
+said AS (SELECT * REPLACE (CASE WHEN i >= 3 AND NOT k3 THEN {saying} {phrases} ELSE v END AS v) FROM three),
 hits AS (
-  SELECT key, CAST(
-      (valence + CASE WHEN capitals AND {shout('word')} THEN sign(valence) * 0.733 ELSE 0 END
-       + {modifier(1, 1.0)} + {modifier(2, 0.95)} + {modifier(3, 0.9)})
-      * CASE WHEN lower(p1) IN {negate} THEN -0.74 ELSE 1 END * CASE WHEN lower(p2) IN {negate} THEN -0.74 ELSE 1 END
-      * CASE WHEN lower(p3) IN {negate} THEN -0.74 ELSE 1 END
+  SELECT key, CAST(CASE WHEN {w} IN {boost} OR {w} IN {damp} OR ({w} = 'kind' AND {n1} = 'of') THEN 0
+      WHEN {b1} = 'least' AND NOT k1 AND (i = 1 OR {b2} NOT IN ('at', 'very')) THEN v * -0.74 ELSE v END
       * CASE WHEN contrast IS NULL OR i = contrast THEN 1 WHEN i < contrast THEN 0.5 ELSE 1.5 END AS DOUBLE) AS v
-  FROM near JOIN doc USING (key) JOIN lex ON lower(word) = term),
+  FROM said),
 sums AS (
   SELECT key, coalesce(total, 0) AS total,
          least(length(body) - length(replace(body, '!', '')), 4) * 0.292
@@ -153,15 +176,10 @@ def _(spark, root):
 
 
 @query("sentiment_default_rules", f"""
-WITH {CHAT}, lex AS (SELECT * FROM (VALUES {sql_rows(sentiment.LEXICON)}) AS t(term, valence)),
-words AS (SELECT id, unnest(string_split_regex(trim(regexp_replace(body, '\\s+', ' ', 'g')), ' ')) AS w FROM chat)
-SELECT c.id, count(term) > 0 AS has_word FROM chat c LEFT JOIN words USING (id)
-LEFT JOIN lex ON lower(CASE WHEN length(regexp_replace(w, '^{PUNCT}+|{PUNCT}+$', '', 'g')) <= 2 THEN w
-                            ELSE regexp_replace(w, '^{PUNCT}+|{PUNCT}+$', '', 'g') END) = term GROUP BY 1""")
+WITH {CHAT}, {sentiment_sql('chat', 'id', 'body', sentiment.LEXICON, sentiment.Rules())} SELECT key AS id, round(score, 6) AS sentiment_score FROM scored""")
 def _(spark, root):
-    """Texts score other than zero exactly where the built-in lexicon has one of their words."""
-    scored = sentiment.score_sentiment(roles.chat(spark, root), "body", ["id"])
-    return scored.select("id", (F.col("sentiment_score") != 0).alias("has_word"))
+    """The built-in lexicon and rules."""
+    return rounded(sentiment.score_sentiment(roles.chat(spark, root), "body", ["id"]), ["sentiment_score"])
 
 
 LEMMA_WORDS = f"""
