@@ -142,25 +142,18 @@ class Join:
                     sets = {_digest(x): x for x in shingle_sets(data, offsets, words)}
                     new = sets.keys() - sent
                     sent |= new
-                    yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array([sets[x].tobytes() for x in new], pa.binary())], ["digest", "tokens"])
-
-        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                good = []
-                for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
-                    x, y = np.frombuffer(left.as_buffer(), np.uint64), np.frombuffer(right.as_buffer(), np.uint64)
-                    union = len(np.union1d(x, y))
-                    good.append(100 * (len(x) + len(y) - union) >= percent * union)
-                yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), _lists([sets[x] for x in new], pa.int64())], ["digest", "tokens"])
 
         named = asked.select("node", "x")
         pairs = pairs.join(named.withColumnsRenamed({"node": "a", "x": "x"}), "a").withColumnRenamed("x", "xa").join(
             named.withColumnsRenamed({"node": "b", "x": "xb"}), "b")
-        sets = self.texts.mapInArrow(whole, "digest binary, tokens binary")
+        sets = self.texts.mapInArrow(whole, "digest binary, tokens array<bigint>")
+        common = F.size(F.array_intersect("left", "right"))
         return cut_lineage(
             pairs.join(sets.alias("l"), F.col("xa") == F.col("l.digest")).select("a", "b", "xb", F.col("l.tokens").alias("left"))
             .join(sets.alias("r"), F.col("xb") == F.col("r.digest")).select("a", "b", "left", F.col("r.tokens").alias("right"))
-            .mapInArrow(compare, "a bigint, b bigint")
+            .select("a", "b", common.alias("common"), F.size("left").alias("n_a"), F.size("right").alias("n_b"))
+            .filter(f"100 * common >= {percent} * (n_a + n_b - common)").select("a", "b")
         )
 
     def links(self) -> DataFrame:
