@@ -16,5 +16,5 @@ def written(df: DataFrame) -> DataFrame:
     cleaned, since results computed later still read them.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
