@@ -22,9 +22,14 @@ def epoch_timestamp(epoch: Column | str) -> Column:
     return F.timestamp_seconds(_col(epoch))
 
 
+def utc_clock(epoch: Column | str) -> Column:
+    """Date and time in UTC, without a zone."""
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=_col(epoch))
+
+
 def unix_time_text(epoch: Column | str) -> Column:
-    """``yyyy-MM-dd HH:mm:ss`` text in the session time zone."""
-    return F.from_unixtime(_col(epoch))
+    """``yyyy-MM-dd HH:mm:ss`` text in UTC."""
+    return utc_clock(_col(epoch).cast("bigint")).cast("string")
 
 
 def utc_date(epoch: Column | str) -> Column:

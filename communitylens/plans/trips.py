@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def daily(trips: DataFrame, year: int | None = 2021, pickup: str = "tpep_pickup_datetime") -> DataFrame:
+def daily(trips: DataFrame, year: int | None = 2021, pickup: str = "tpep_pickup_datetime", accuracy: int = 10_000) -> DataFrame:
     """dt_year, dt_month, dt_day, num_trips, mean_trip_distance, max_mta_tax, q95_fare_amount,
-    min_tip_amount, mean_passenger_count; latest day first."""
+    min_tip_amount, mean_passenger_count; latest day first. The quantile's rank is off by at most trips / accuracy."""
     if year is not None:
         # A range on the raw column, in its own type, so that parquet statistics can skip row groups.
         kind = trips.schema[pickup].dataType
@@ -25,7 +25,7 @@ def daily(trips: DataFrame, year: int | None = 2021, pickup: str = "tpep_pickup_
             F.count(F.lit(1)).alias("num_trips"),
             F.avg("trip_distance").alias("mean_trip_distance"),
             F.max("mta_tax").alias("max_mta_tax"),
-            F.percentile_approx("fare_amount", 0.95).alias("q95_fare_amount"),
+            F.percentile_approx("fare_amount", 0.95, accuracy).alias("q95_fare_amount"),
             F.min("tip_amount").alias("min_tip_amount"),
             F.ceil(F.avg("passenger_count")).alias("mean_passenger_count"),
         )

@@ -136,7 +136,7 @@ def _(spark, root):
 @query("agg_percentile", "SELECT CAST(o_orderdate AS DATE) AS day, quantile_disc(o_totalprice, 0.95) AS q95 FROM orders GROUP BY 1")
 def _(spark, root):
     return load(spark, root, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(
-        F.percentile_approx("o_totalprice", 0.95).alias("q95"))
+        F.percentile_approx("o_totalprice", 0.95, 10_000_000).alias("q95"))
 
 
 @query("agg_ceil_avg", f"WITH {TRIPS} SELECT CAST(pickup AS DATE) AS day, CAST(ceil(avg(passenger_count)) AS BIGINT) AS passengers FROM trips GROUP BY 1")
@@ -199,7 +199,7 @@ WITH {TRIPS}, days AS ({DAILY.format(where='')})
 SELECT count(*) AS days, min(dt_month) AS first_month, min(dt_day) AS first_day, max(dt_month) AS last_month, max(dt_day) AS last_day,
   CAST(sum(num_trips) AS BIGINT) AS total_trips, round(avg(num_trips), 6) AS mean_daily_trips FROM days""")
 def _(spark, root):
-    return rounded(trips.run_summary(trips.daily(roles.trips(spark, root), None)), ["mean_daily_trips"])
+    return rounded(trips.run_summary(trips.daily(roles.trips(spark, root), None, accuracy=10_000_000)), ["mean_daily_trips"])
 
 
 WORDS_SQL = "list_filter(string_split(trim(regexp_replace(regexp_replace(lower(body), 'http\\S+|www\\.\\S+', ' ', 'g'), '[^a-z]+', ' ', 'g')), ' '), lambda w: w <> '')"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from communitylens import constants as K
 from communitylens.functions import timeparts
-from communitylens.operators import counting
+from communitylens.operators.network import active_users
 from communitylens.plans import clusters, community, discussion, ingest, network, quality, sentiment, summary, topics, trips
 from communitylens.session import cut_lineage
 from communitylens.sources import sinks, tables
@@ -89,6 +89,32 @@ def _(spark, root):
     return totals.unionByName(top).unionByName(hours)
 
 
+@query("job_reports_written", f"""
+WITH {POSTS}, {COMMENTS}, {CHAT}, b AS (SELECT subreddit, date FROM comments UNION ALL SELECT subreddit, date FROM posts),
+top AS (SELECT author FROM chat GROUP BY 1 ORDER BY count(*) DESC, author LIMIT 500), g AS (SELECT DISTINCT author, subreddit FROM chat WHERE author IN (SELECT author FROM top))
+SELECT 'dataset_summary' AS report, 2 AS n UNION ALL SELECT 'subreddit_statistics', count(DISTINCT subreddit) FROM b
+UNION ALL SELECT 'temporal_distribution', count(DISTINCT strftime(date, '%Y-%m')) FROM b
+UNION ALL SELECT 'network_edges', count(*) FROM g
+UNION ALL SELECT 'network_nodes', count(DISTINCT author) + count(DISTINCT subreddit) FROM g
+UNION ALL SELECT 'network_messages', count(*) FROM chat WHERE author IN (SELECT author FROM top)
+UNION ALL SELECT 'user_activity', (SELECT count(*) FROM (SELECT DISTINCT subreddit, date_trunc('month', date) FROM b))""")
+def _(spark, root):
+    """Report tables written as CSV and JSON and read again, by their numbers of rows."""
+    folder = roles.scratch(spark, "reports")
+    comments, posts = roles.comments(spark, root), roles.posts(spark, root)
+    chosen = network.messages(roles.chat(spark, root), None, "2023-01-01", "2025-01-01")
+    nodes, edges = network.graph(chosen, K.NETWORK_USERS, roles.lexicon(spark), RULES)
+    made = summary.tables(comments, posts) | {
+        "network_nodes": nodes, "network_edges": edges, "user_activity": community.activity(comments, posts, PRIORITIES, START, END),
+    }
+    sinks.write_tables(made, folder)
+    scored = network.signed(active_users(chosen, K.NETWORK_USERS), roles.lexicon(spark), RULES)
+    sinks.write_json(scored, f"{folder}/network_messages")
+    parts = [tables.scan_csv(spark, f"{folder}/{name}.csv").agg(F.count("*").alias("n")).withColumn("report", F.lit(name)) for name in made]
+    parts.append(spark.read.schema("copies bigint").json(f"{folder}/network_messages").agg(F.sum("copies").alias("n")).withColumn("report", F.lit("network_messages")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
 # ------------------------------------------------------------------- community
 @query("job_activity_monthly", f"""
 WITH {POSTS}, {COMMENTS},
@@ -457,9 +483,9 @@ def _(spark, root):
 # ----------------------------------------------------------------------- trips
 @query("job_daily_trip_summary", f"WITH {TRIPS} {DAILY.format(where='WHERE year(pickup) = 1998')}")
 def _(spark, root):
-    return rounded(trips.daily(roles.trips(spark, root), 1998), ["mean_trip_distance"])
+    return rounded(trips.daily(roles.trips(spark, root), 1998, accuracy=10_000_000), ["mean_trip_distance"])
 
 
 @query("job_daily_trip_summary_all", f"WITH {TRIPS} {DAILY.format(where='')}")
 def _(spark, root):
-    return rounded(trips.daily(roles.trips(spark, root), None), ["mean_trip_distance"])
+    return rounded(trips.daily(roles.trips(spark, root), None, accuracy=10_000_000), ["mean_trip_distance"])

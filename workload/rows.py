@@ -139,15 +139,12 @@ def _(spark, root):
 # ------------------------------------------------------------------ time parts
 @query("fn_epoch_to_ts", P + "SELECT id, make_timestamp(created_utc * 1000000) AS created_ts FROM posts")
 def _(spark, root):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return roles.posts(spark, root).select(
-        "id", timeparts.epoch_timestamp("created_utc").cast("timestamp_ntz").alias("created_ts")
-    )
+    moment = F.unix_seconds(timeparts.epoch_timestamp("created_utc"))
+    return roles.posts(spark, root).select("id", timeparts.utc_clock(moment).alias("created_ts"))
 
 
 @query("fn_from_unixtime", D + "SELECT id, strftime(make_timestamp(created_utc * 1000000), '%Y-%m-%d %H:%M:%S') AS created FROM docs")
 def _(spark, root):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return roles.docs(spark, root).select("id", timeparts.unix_time_text("created_utc").alias("created"))
 
 
