@@ -28,9 +28,9 @@ SAMPLE = 20_000
 PARTS = 8
 CODES = 256
 #: Lists whose centroid is at most this angle (radians) farther than the nearest one are probed, however many.
-REACH = 0.30
+REACH = 0.15
 #: How far below the threshold the approximate cosine of a pair may lie that is compared exactly.
-SLACK = 0.12
+SLACK = 0.25
 #: Vectors in a block, on average at most.
 BLOCK = 512
 
