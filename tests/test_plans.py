@@ -58,3 +58,41 @@ def test_short_key_tables_are_broadcast(spark):
     df = spark.read.parquet(f"{ROOT}/lineitem.parquet").select("l_orderkey", "l_suppkey")
     text = plan(ranking.keep_keys(df, ranking.most_frequent(df, "l_suppkey", 500), "l_suppkey"))
     assert "BroadcastHashJoin" in text
+
+
+def test_reports_are_sums_over_stored_tables(spark):
+    """Texts and tables are read while the stored table is made, not again by each report."""
+    from communitylens.plans import clusters, discussion, quality, summary
+    from workload import roles
+
+    comments, posts, docs = roles.comments(spark, ROOT), roles.posts(spark, ROOT), roles.docs(spark, ROOT)
+    made = list(summary.tables(comments, posts).values())
+    contents = discussion.contents(roles.chat(spark, ROOT), docs, None, "2023-01-01", "2025-01-01")
+    made += [df for name, df in discussion.tables(contents).items() if name != "discussion_terms"]
+    made += quality.run(docs, threshold=1000, size=256, iterations=3)[2].values()
+    made += clusters.run(clusters.documents(docs), k=2, size=64)[1].values()
+    assert len(made) == 3 + 3 + 5 + 4
+    for df in made:
+        assert "FileScan" not in plan(df)
+
+
+def test_no_job_runs_while_types_are_planned(spark):
+    from communitylens.operators.discussion import discussion_type
+    from workload import roles
+
+    docs, lemmas = roles.docs(spark, ROOT), roles.lemmas(spark)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning types", "")
+    try:
+        discussion_type(docs, "body", lemmas=lemmas)
+        assert not tracker.getJobIdsForGroup("planning types")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_values_below_one_are_spread_over_ranges(spark):
+    from communitylens.operators.inequality import _histogram
+
+    df = spark.range(40_000).select(F.lit("g").alias("g"), (F.col("id") / 40_000_000).alias("v"))
+    sizes = _histogram(df, ["g"], "v").groupBy("_range").count().agg(F.max("count"), F.count("*")).first()
+    assert sizes[0] <= 40_000 / 20 and sizes[1] >= 32
