@@ -179,14 +179,17 @@ class Join:
         left = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "class")],
                            F.explode(F.array(*[F.col("block") + k for k in range(3)])).alias("block"))
         right = rows.select("token", "block", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "class")])
-        left_over = F.least(F.expr("n_a - place_a"), F.expr("n_b - place_b"))  # from the first common token on
+        left_over = F.least(F.expr("n_a - place_a"), F.expr("n_b - place_b"))  # from this token on
+        needed = F.expr(f"{percent} * (n_a + n_b)")
         rest = (
             left.join(right, ["token", "block"])
             .filter("class_a != class_b and (n_a < n_b or (n_a = n_b and node_a < node_b))")
             .filter(F.col("n_a") * 100 >= F.col("n_b") * percent)
+            # the first SHARED common tokens of a similar pair all leave enough behind them
+            .filter((left_over + (SHARED - 1)) * (100 + percent) >= needed)
             .groupBy(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "n_a", "n_b")
             .agg(F.count("*").alias("shared"), F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
-            .filter(enough).filter(left_over * (100 + percent) >= F.expr(f"{percent} * (n_a + n_b)")).select("a", "b")
+            .filter(enough).filter(left_over * (100 + percent) >= needed).select("a", "b")
         )
         return found.unionByName(self.verified(written(rest.join(near, ["a", "b"], "left_anti"))))
 
