@@ -2,7 +2,7 @@
 
 Unit vectors stand in inverted lists of coarse centroids; in a list each is a code of its residual's parts.
 A vector looks into every list whose centroid is almost as near as its own, adds up table
-entries for the codes there, and the exact cosine decides about what comes close to the threshold.
+entries for the codes there, and the exact cosine decides about all that its code's error could bring to the threshold.
 Equal vectors are one; lists are dealt out in blocks, and a pair of blocks gives counts and a spanning
 set of links, not pairs.
 """
@@ -29,8 +29,8 @@ PARTS = 8
 CODES = 256
 #: Lists whose centroid is at most this angle (radians) farther than the nearest one are probed, however many.
 REACH = 0.15
-#: How far below the threshold the approximate cosine of a pair may lie that is compared exactly.
-SLACK = 0.25
+#: Taken off the proven bounds of approximate cosines for rounding.
+ROUNDING = 1e-6
 #: Vectors in a block, on average at most.
 BLOCK = 512
 
@@ -58,6 +58,16 @@ class Index(NamedTuple):
             out += (queries[:, a:b] @ self.books[k].T)[:, codes[:, k]]
         return out
 
+    def floors(self, vectors: np.ndarray, home: np.ndarray, codes: np.ndarray, threshold: float) -> np.ndarray:
+        """Per coded vector, the least approximate cosine of any unit query whose true cosine reaches the threshold.
+
+        Such a query is at most arccos(threshold) away from the vector, so at most that much farther from what its code stands for.
+        """
+        coded = self.centroids[home] + np.concatenate([book[codes[:, k]] for k, book in enumerate(self.books)], axis=1)
+        length = np.linalg.norm(coded, axis=1)
+        angles = np.arccos(np.clip(np.einsum("ij,ij->i", vectors, coded) / np.maximum(length, 1e-12), -1, 1)) + math.acos(min(max(threshold, -1.0), 1.0))
+        return length * np.cos(np.minimum(angles, np.pi)) - ROUNDING
+
 
 def _nearest(points: np.ndarray, book: np.ndarray) -> np.ndarray:
     return np.argmin((book ** 2).sum(axis=1) - 2 * points @ book.T, axis=1)
@@ -132,11 +142,12 @@ def _links(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
                 codes = index.codes(unit, home)
                 yield pa.RecordBatch.from_arrays([
                     part.column("node"), part.column("label"), part.column("copies"), part.column("unit"), pa.array(home.astype(np.int32)),
-                    pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([p.tolist() for p in index.probes(unit)], pa.list_(pa.int32())),
-                ], ["node", "label", "copies", "unit", "home", "code", "probes"])
+                    pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(index.floors(unit, home, codes, threshold)),
+                    pa.array([p.tolist() for p in index.probes(unit)], pa.list_(pa.int32())),
+                ], ["node", "label", "copies", "unit", "home", "code", "floor", "probes"])
 
     coded = written(nodes.select("node", "label", "copies", "unit").mapInArrow(
-        placed, f"node bigint, label {label}, copies bigint, unit binary, home int, code binary, probes array<int>"))
+        placed, f"node bigint, label {label}, copies bigint, unit binary, home int, code binary, floor double, probes array<int>"))
 
     def blocks(rows: DataFrame, entry) -> DataFrame:
         counts = rows.groupBy("label", "list").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")).withColumnsRenamed({"label": "l", "list": "p"})
@@ -145,7 +156,7 @@ def _links(nodes: DataFrame, size: int, threshold: float) -> DataFrame:
             .groupBy("label", "list", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")).agg(F.collect_list(entry).alias("entries"))
         )
 
-    stored = blocks(coded.withColumn("list", F.col("home")), F.struct("node", "copies", "unit", "code", "probes"))
+    stored = blocks(coded.withColumn("list", F.col("home")), F.struct("node", "copies", "unit", "code", "floor", "probes"))
     asking = blocks(coded.withColumn("list", F.explode("probes")), F.struct("node", "copies", "unit", "home"))
     tiles = stored.select("label", "list", F.col("entries").alias("stored")).join(
         asking.select("label", "list", F.col("entries").alias("asking")), ["label", "list"]).select("list", "stored", "asking")
@@ -165,7 +176,7 @@ def _tile(index: Index, place: int, stored: pa.StructArray, asking: pa.StructArr
     copies_v, copies_q = field(stored, "copies").to_numpy(), field(asking, "copies").to_numpy()
     unit_v, unit_q = _units(field(stored, "unit"), size), _units(field(asking, "unit"), size)
     codes = np.frombuffer(b"".join(field(stored, "code").to_pylist()), np.uint8).reshape(len(node_v), -1)
-    q, v = np.nonzero(index.approximate(unit_q, place, codes) >= threshold - SLACK)
+    q, v = np.nonzero(index.approximate(unit_q, place, codes) >= field(stored, "floor").to_numpy())
     other = node_q[q] != node_v[v]
     q, v = q[other], v[other]
     good = np.concatenate([np.einsum("ij,ij->i", unit_q[q[k:k + 50_000]], unit_v[v[k:k + 50_000]]) >= threshold for k in range(0, len(q), 50_000)]) if len(q) else np.zeros(0, bool)
@@ -197,8 +208,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, key: str =
     Rows with equal, non-null labels (and equally many components) link when the cosine of their
     ``embedding`` columns, in doubles, is at least ``threshold``. A vector that is null, empty or zero, or holds a null or
     non-finite component, links with nothing. Repeated rows link with each other. A null
-    key names no component. Other columns are not used. Links are found for the probes' share of them
-    (measured: see the README), never a wrong one.
+    key names no component. Other columns are not used. In the lists that are probed every link is found; links to other
+    lists are not (measured: see the README). No link is wrong.
     """
     rows = written(_prepared(vectors, key, label).withColumn("mark", F.sha2("unit", 256)))
     nodes = written(

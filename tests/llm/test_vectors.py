@@ -97,3 +97,41 @@ def test_codes_approximate_cosines():
 def test_means_give_as_many_centres(unit):
     points = np.eye(6)
     assert vectors._means(points, 4, 3, np.random.default_rng(0), unit).shape == (4, 6)
+
+
+def planted(seed, n, sample, dimensions=64):
+    """Isotropic unit vectors, the first ``sample`` of them to fit on, and a partner at cosine 0.93 to 0.95 for each of the others."""
+    random = np.random.default_rng(seed)
+    units = random.normal(size=(n, dimensions))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    rest = units[sample:]
+    aside = random.normal(size=rest.shape)
+    aside -= np.einsum("ij,ij->i", aside, rest)[:, None] * rest
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosines = random.uniform(0.93, 0.95, len(rest))[:, None]
+    return units, cosines * rest + np.sqrt(1 - cosines ** 2) * aside
+
+
+def test_codes_of_vectors_outside_the_sample_lose_no_link():
+    units, partners = planted(4, 4000, 800)
+    index = vectors.fit(units[:800], 50)
+    rest = units[800:]
+    home = index.home(rest)
+    codes = index.codes(rest, home)
+    floors = index.floors(rest, home, codes, 0.93)
+    near = np.array([index.approximate(q[None], h, c[None])[0, 0] for q, h, c in zip(partners, home, codes, strict=True)])
+    assert (near < 0.93 - 0.25).any()  # a fixed distance below the threshold does not do
+    assert (near >= floors).all()
+    assert np.mean([index.approximate(rest, h, c[None])[:, 0] >= f for h, c, f in zip(home[:200], codes[:200], floors[:200], strict=True)]) < 0.2
+
+
+def test_planted_links_on_a_table_larger_than_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "SAMPLE", 500)
+    units, partners = planted(8, 2500, 500)
+    rows = [(i, u.tolist(), 1) for i, u in enumerate(np.concatenate([units, partners]))]
+    got = dict(vectors.near_duplicates(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).select("vec_id", "n_links").collect())
+    both = np.array([r[1] for r in rows])
+    both /= np.linalg.norm(both, axis=1, keepdims=True)
+    want = (both @ both.T >= 0.93).sum(axis=1) - 1
+    assert all(got[i] <= want[i] for i in range(len(rows)))
+    assert sum(got.values()) >= 0.995 * want.sum()
