@@ -67,7 +67,11 @@ def _open(tag: str, attributes: str) -> Node | None:
 
 
 def parse(page: str) -> Node:
-    """The tree of a page; text parts are strings with single spaces."""
+    """The tree of a page; text parts are strings with single spaces.
+
+    Of an inline element that is no content only what stands in it goes: its block stays open. Text is
+    held only where it is content, so what is held belongs to the innermost element with a node.
+    """
     root = Node("#root", "#root")
     stack: list[tuple[str, Node | None]] = [("#root", root)]
     held: list[str] = []
@@ -75,10 +79,9 @@ def parse(page: str) -> Node:
 
     def flush() -> None:
         if held:
-            node = stack[-1][1]
-            text = " ".join(html.unescape("".join(held)).split()) if node is not None else ""
+            text = " ".join(html.unescape("".join(held)).split())
             if text:
-                node.parts.append(text)
+                next(node for _, node in reversed(stack) if node is not None).parts.append(text)
             held.clear()
 
     while at < size:
@@ -86,7 +89,8 @@ def parse(page: str) -> Node:
         at = token.end()
         closing, tag, attributes, text = token.groups()
         if text is not None:
-            held.append(text)
+            if stack[-1][1] is not None:
+                held.append(text)
             continue
         if tag is None:
             continue
@@ -98,8 +102,16 @@ def parse(page: str) -> Node:
         if tag in INLINE:
             if tag in VOID:
                 held.append(" ")
-            if closing or tag in VOID or stack[-1][1] is None or "=" not in attributes or _open(tag, attributes) is not None:
-                continue
+            elif closing:
+                for depth in range(len(stack) - 1, 0, -1):
+                    if stack[depth][1] is not None:
+                        break
+                    if stack[depth][0] == tag:
+                        del stack[depth:]
+                        break
+            elif not attributes.endswith("/") and (stack[-1][1] is None or ("=" in attributes and _open(tag, attributes) is None)):
+                stack.append((tag, None))
+            continue
         flush()
         if closing:
             for depth in range(len(stack) - 1, 0, -1):
@@ -107,6 +119,11 @@ def parse(page: str) -> Node:
                     del stack[depth:]
                     break
             continue
+        block = len(stack) - 1
+        while stack[block][0] in INLINE:
+            block -= 1
+        if stack[block][0] == "p":  # the start of a block ends a paragraph and the inline elements in it
+            del stack[block + 1:]
         if stack[-1][0] == "p" or (tag in ("li", "dt", "dd", "tr", "td", "th", "option") and stack[-1][0] == tag):
             stack.pop()
         if tag in VOID:

@@ -69,3 +69,14 @@ def test_parts_that_match_nothing_join_the_wrapper():
     wrapper.add(wrappers.slots(wrappers.parse("<div><p>2</p><table><tr><td>x</td></tr></table></div>")))
     rows = {path: (pages, varies) for path, _, pages, _, varies, _ in wrapper.rows()}
     assert rows["/div[0]/p[0]"] == (2, True) and rows["/div[0]/table[0]/tr[0]"][0] == 1
+
+
+def texts(html):
+    return wrappers.main_text(html, None, set())
+
+
+def test_inline_noise_takes_only_its_own_text():
+    page = '<article><p>a <a class="social">x</a> b</p><p>c <span class="hidden">y <span>z</span> y</span>d<i id="comment-3">e</i>f</p><p>g</p></article>'
+    assert texts(page) == "a b\nc df\ng"
+    assert texts('<article><div>a <span class="share"><div>x</div> x</span> b</div><p>c</p></article>') == "a b\nc"
+    assert texts('<article><p>a <a class="social">never closed<p>b</p><p>c <b class="share">x</p><p>d</p></article>') == "a\nb\nc\nd"
