@@ -39,31 +39,69 @@ navigation breadcrumb breadcrumbs sidebar sidebars aside widget widgets header m
 comments commentlist respond reply replies disqus share sharing social related recommended pagination pager search toolbar
 skip hidden""".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Elements that no name makes noise.
+KEPT = {"html", "body"} | ARTICLE
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
-    """An element, or a slot of equal leaves: its kind, its parts in order, and the texts of a slot."""
+    """An element, or a slot of equal leaves: its kind, its parts in order, and the texts of a slot.
 
-    __slots__ = ("kind", "tag", "parts", "texts")
+    ``noise``: its names say that it is no content.
+    """
+
+    __slots__ = ("kind", "tag", "parts", "texts", "noise")
 
-    def __init__(self, kind: str, tag: str):
-        self.kind, self.tag, self.parts, self.texts = kind, tag, [], []
+    def __init__(self, kind: str, tag: str, noise: bool = False):
+        self.kind, self.tag, self.parts, self.texts, self.noise = kind, tag, [], [], noise
 
 
 def _open(tag: str, attributes: str) -> Node | None:
-    """The node of a start tag, or None for a part that is no content."""
-    names = ""
+    """The node of a start tag, or None for a part whose tag says that it is no content."""
     if tag in NO_CONTENT:
         return None
-    if "=" in attributes:
-        values = [a or b or c for a, b, c in _NAMES.findall(attributes)]
-        for value in values:
-            if any(w.lower() in NO_CONTENT_NAMES for w in _WORD.findall(value)):
-                return None
-        names = "".join(f".{v}" for value in values[:1] for v in re.sub(r"\d+", "", value).split()[:2])
-    return Node(tag + names, tag)
+    if "=" not in attributes:
+        return Node(tag, tag)
+    values = [a or b or c for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role")]
+    names = "".join(f".{v}" for value in values[:1] for v in re.sub(r"\d+", "", value).split()[:2])
+    return Node(tag + names, tag, tag not in KEPT and any(w.lower() in NO_CONTENT_NAMES for value in values for w in _WORD.findall(value)))
+
+
+def _without_noise(root: Node) -> Node:
+    """The tree without elements that are noise by name, but for those that hold most of the page's text.
+
+    Such a name on them is a remark about the page ("has-sidebar"). Where the page's one article or its main element
+    stands elsewhere, the text is known to be there, and no name is overruled.
+    """
+    def measure(node: Node) -> tuple[int, int, int]:
+        chars = articles = mains = 0
+        for part in node.parts:
+            if isinstance(part, str):
+                chars += len(part)
+            else:
+                found = measure(part)
+                chars, articles, mains = chars + found[0], articles + found[1] + (part.tag == "article"), mains + found[2] + (part.tag == "main")
+        sizes[id(node)] = chars, articles, mains
+        return chars, articles, mains
+
+    def prune(node: Node, inside: bool) -> None:
+        parts = []
+        for part in node.parts:
+            if isinstance(part, Node):
+                if part.noise:
+                    chars, articles, mains = sizes[id(part)]
+                    elsewhere = not inside and (total[2] > mains or total[1] - articles == 1)
+                    if elsewhere or 2 * chars <= total[0]:
+                        continue
+                prune(part, inside or part.tag in ARTICLE)
+            parts.append(part)
+        node.parts = parts
+
+    sizes: dict[int, tuple[int, int, int]] = {}
+    total = measure(root)
+    prune(root, False)
+    return root
 
 
 def parse(page: str) -> Node:
@@ -109,7 +147,7 @@ def parse(page: str) -> Node:
                     if stack[depth][0] == tag:
                         del stack[depth:]
                         break
-            elif not attributes.endswith("/") and (stack[-1][1] is None or ("=" in attributes and _open(tag, attributes) is None)):
+            elif not attributes.endswith("/") and (stack[-1][1] is None or ("=" in attributes and _open(tag, attributes).noise)):
                 stack.append((tag, None))
             continue
         flush()
@@ -133,11 +171,11 @@ def parse(page: str) -> Node:
         if node is not None and len(stack) < DEEPEST:
             parent.parts.append(node)
         elif node is not None:
-            node = parent
+            node = None if node.noise else parent
         if not attributes.endswith("/"):
             stack.append((tag, node))
     flush()
-    return root
+    return _without_noise(root)
 
 
 def slots(node: Node) -> Node:

@@ -80,3 +80,17 @@ def test_inline_noise_takes_only_its_own_text():
     assert texts(page) == "a b\nc df\ng"
     assert texts('<article><div>a <span class="share"><div>x</div> x</span> b</div><p>c</p></article>') == "a b\nc"
     assert texts('<article><p>a <a class="social">never closed<p>b</p><p>c <b class="share">x</p><p>d</p></article>') == "a\nb\nc\nd"
+
+
+def test_names_of_containers_do_not_drop_the_page():
+    story = "<h1>Head</h1><p>" + "long " * 30 + "</p><p>end</p>"
+    want = "Head\n" + " ".join(["long"] * 30) + "\nend"
+    aside = '<div class="sidebar"><p>side</p></div>'
+    for page in (
+        f'<body class="home has-sidebar"><div>{story}</div>{aside}</body>', f'<main class="with-comments">{story}{aside}</main>',
+        f'<article class="post share-enabled">{story}{aside}</article>', f'<div class="content no-sidebar">{story}</div>{aside}',
+        f'<main><div class="content no-sidebar">{story}{aside}</div></main>', f'<div data-id="menu" data-role="hidden">{story}</div>{aside}',
+        f'<article>{story}</article><section id="comments"><p>{"reply " * 200}</p></section>',
+    ):
+        assert texts(page) == want
+    assert texts('<article></article><div class="ad">Buy</div>') == ""
