@@ -2,12 +2,13 @@
 
 A page becomes a tree of its blocks, without the parts whose tags or names say that they are menus, adverts and
 the like; neighbouring leaves of one kind are one slot. Trees of one host are aligned by simple
-tree matching. Slots that read alike on all pages of a host are its template, slots that vary are
+tree matching. Slots that read alike wherever they occur, on most of a host's distinct pages, are its template; others are
 content, and the deepest element that holds most of the varying text is where the article stands.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -22,6 +23,8 @@ from communitylens.session import cut_lineage
 
 #: The article's element holds at least this share of the host's varying text.
 SHARE = 0.6
+#: A template's slot occurs on at least two, and on this share, of the host's distinct pages.
+OFTEN = 0.75
 #: Parts that a host's pages are dealt to when they meet its wrapper.
 SALTS = 32
 #: Elements below this depth count as parts of their parent.
@@ -243,47 +246,67 @@ def _chars(node: Node) -> int:
     return sum(map(len, node.texts)) + sum(map(_chars, node.parts))
 
 
+def _mark(node: Node) -> int:
+    return zlib.crc32("\n".join(node.texts).encode())
+
+
+def _whole(tree: Node) -> int:
+    """A checksum of all texts of a page with their places: copies have the same."""
+    texts = "\n".join(f"{path}\t{text}" for path, node in _paths(tree) for text in node.texts)
+    return int.from_bytes(hashlib.blake2b(texts.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 class Wrapper:
     """What the pages of one host in one batch have in common."""
 
     def __init__(self, first: Node):
         self.tree = first
-        self.seen: dict[int, list] = {}  # by node: pages, checksum of its text, whether it varies, characters
+        self.seen: dict[int, list] = {}  # by node: pages, checksum of its text, whether it varies, characters, checksums of its distinct pages
         self.add(first)
 
     def add(self, page: Node) -> None:
         """Align a page with the wrapper's tree; parts of the page that match nothing are added to it."""
         pairs = match(self.tree, page)[1] if page is not self.tree else [(node, node) for node in self._all(page)]
         matched = {id(b): a for a, b in pairs}
+        whole = _whole(page)
         for a, b in pairs:
-            self._count(a, b)
+            self._count(a, b, whole)
             if page is not self.tree:
                 for part in b.parts:
                     if id(part) not in matched:
                         a.parts.append(part)
                         for new in self._all(part):
-                            self._count(new, new)
+                            self._count(new, new, whole)
 
     def _all(self, node: Node) -> Iterator[Node]:
         yield node
         for part in node.parts:
             yield from self._all(part)
 
-    def _count(self, node: Node, page_node: Node) -> None:
-        mark = zlib.crc32("\n".join(page_node.texts).encode())
-        entry = self.seen.setdefault(id(node), [0, mark, False, 0])
+    def _count(self, node: Node, page_node: Node, whole: int) -> None:
+        mark = _mark(page_node)
+        entry = self.seen.setdefault(id(node), [0, mark, False, 0, set()])
         entry[0] += 1
         entry[2] = entry[2] or entry[1] != mark
         entry[3] += _chars(page_node)
+        entry[4].add(whole)
 
     def rows(self) -> Iterator[tuple[str, bool, int, int, bool, int]]:
         for path, node in _paths(self.tree):
-            pages, mark, varies, chars = self.seen[id(node)]
-            yield path, bool(node.texts), pages, mark, varies, chars
+            yield path, bool(node.texts), *self.seen[id(node)][:4]
+
+    def distinct(self) -> Iterator[tuple[str, list[int]]]:
+        """By path, checksums of the distinct pages that have it; the empty path is the page's own."""
+        yield "", list(self.seen[id(self.tree)][4])
+        for path, node in _paths(self.tree):
+            yield path, list(self.seen[id(node)][4])
 
 
 def learn(pages: DataFrame) -> DataFrame:
-    """(host, fixed, place): per host with varying slots, the paths of its template's slots and of its article's element."""
+    """(host, fixed, place): per host with varying slots, the its template's slots (checksum of the text, path) and the path of its article's element.
+
+    Distinct pages are counted by sketches of fixed size (approx_count_distinct), so that copies of a page, wherever they lie, are one.
+    """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             wrappers: dict[str, Wrapper] = {}
@@ -294,39 +317,46 @@ def learn(pages: DataFrame) -> DataFrame:
                         wrappers[name].add(tree)
                     else:
                         wrappers[name] = Wrapper(tree)
-            yield pd.DataFrame(
-                [(name, *row) for name, wrapper in wrappers.items() for row in wrapper.rows()],
-                columns=["host", "path", "slot", "pages", "mark", "varies", "chars"],
-            )
+            rows = []
+            for name, wrapper in wrappers.items():
+                found = {path: row for path, *row in wrapper.rows()}
+                rows += [(name, path, *found.get(path, (False, 0, 0, False, 0)), wholes) for path, wholes in wrapper.distinct()]
+            yield pd.DataFrame(rows, columns=["host", "path", "slot", "pages", "mark", "varies", "chars", "wholes"])
 
     rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(
-        run, "host string, path string, slot boolean, pages bigint, mark bigint, varies boolean, chars bigint")
-    nodes = cut_lineage(
+        run, "host string, path string, slot boolean, pages bigint, mark bigint, varies boolean, chars bigint, wholes array<bigint>")
+    rows = rows.select("host", "path", "slot", "mark", "varies", "chars", F.posexplode("wholes").alias("at", "whole"))
+    every = cut_lineage(
         rows.groupBy("host", "path").agg(
-            F.max("slot").alias("slot"), F.sum("pages").alias("pages"), F.sum("chars").alias("chars"),
-            (F.max("varies") | (F.min("mark") != F.max("mark"))).alias("varies"),
+            F.max("slot").alias("slot"), F.approx_count_distinct("whole").alias("pages"), F.sum(F.when(F.col("at") == 0, F.col("chars"))).alias("chars"),
+            (F.max("varies") | (F.min("mark") != F.max("mark"))).alias("varies"), F.min("mark").alias("mark"),
         )
     )
+    nodes = every.filter("path <> ''")
+    sizes = every.filter("path = ''").select("host", F.col("pages").alias("all_pages"))
     depth = F.size(F.split("path", "/"))
     total = nodes.filter("slot and varies").groupBy("host").agg(F.sum("chars").alias("total"))
     place = (
         nodes.filter(~F.col("slot")).join(total, "host").filter(F.col("chars") >= F.col("total") * SHARE)
         .groupBy("host").agg(F.max_by("path", F.struct(depth, "chars", "path")).alias("place"))
     )
-    fixed = nodes.filter("slot and not varies and pages > 1").groupBy("host").agg(F.collect_set("path").alias("fixed"))
+    fixed = (
+        nodes.filter("slot and not varies and pages > 1").join(sizes, "host").filter(F.col("pages") >= F.col("all_pages") * OFTEN)
+        .groupBy("host").agg(F.collect_set(F.concat_ws(" ", "mark", "path")).alias("fixed"))
+    )
     return total.select("host").join(place, "host", "left").join(fixed, "host", "left")
 
 
 def _blocks(node: Node, path: str, fixed: set[str]) -> list[str]:
     out = []
     for here, part in _paths(node, path):
-        if part.texts and here not in fixed:
+        if part.texts and (not fixed or f"{_mark(part)} {here}" not in fixed):
             out += part.texts
     return out
 
 
 def main_text(page: str, place: str | None, fixed: set[str]) -> str:
-    """The blocks of the page's article: of the element at ``place``, or of the article that it stands in.
+    """The blocks of the page's article that are not in ``fixed`` ("checksum path" of the template's slots): of the element at ``place``, or of the article that it stands in.
 
     Without such an element, of the largest article element, else of all that is content.
     """

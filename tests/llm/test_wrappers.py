@@ -94,3 +94,20 @@ def test_names_of_containers_do_not_drop_the_page():
     ):
         assert texts(page) == want
     assert texts('<article></article><div class="ad">Buy</div>') == ""
+
+
+def test_copies_are_one_page_of_their_host(spark):
+    rows = [(i, f"http://c.example/{i}", f"<div>frame</div><div id=story><h1>Head {i}</h1><p>text {i} " + "long " * 20 + "</p></div>") for i in range(8)]
+    copy = "<div>frame</div><div id=story><h1>Head c</h1><p>text c " + "more " * 20 + "</p><h2>Only here</h2><p>second</p></div>"
+    rows += [(100 + i, f"http://c.example/copy/{i}", copy) for i in range(30)]
+    got = dict(extracted(spark, rows))
+    assert got[100] == got[129] == "Head c\ntext c " + " ".join(["more"] * 20) + "\nOnly here\nsecond"
+    assert got[3] == "Head 3\ntext 3 " + " ".join(["long"] * 20)
+
+
+def test_a_template_is_what_reads_like_it():
+    page = wrappers.slots(wrappers.parse("<div><p>frame</p><h2>x</h2><p>frame</p></div>"))
+    mark = wrappers._mark(dict(wrappers._paths(page))["/div[0]/p[0]"])
+    fixed = {f"{mark} /div[0]/p[0]"}
+    assert wrappers.main_text("<div><p>frame</p><h2>x</h2></div>", None, fixed) == "x"
+    assert wrappers.main_text("<div><p>other</p><h2>x</h2></div>", None, fixed) == "other\nx"
