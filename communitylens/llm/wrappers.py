@@ -3,7 +3,7 @@
 A page becomes a tree of its blocks, without the parts whose tags or names say that they are menus, adverts and
 the like; neighbouring leaves of one kind are one slot. Trees of one host are aligned by simple
 tree matching. Slots that read alike wherever they occur, on most of a host's distinct pages, are its template; others are
-content, and the deepest element that holds most of the varying text is where the article stands.
+content. Where an article or main element holds most of the varying text, the content is what stands in it, else all of it.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from communitylens.session import cut_lineage
 
-#: The article's element holds at least this share of the host's varying text.
+#: An article or main element is a host's place of content when it holds at least this share of the host's varying text.
 SHARE = 0.6
 #: A template's slot occurs on at least two, and on this share, of the host's distinct pages.
 OFTEN = 0.75
@@ -67,7 +67,7 @@ def _open(tag: str, attributes: str) -> Node | None:
     if "=" not in attributes:
         return Node(tag, tag)
     values = [a or b or c for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role")]
-    names = "".join(f".{v}" for value in values[:1] for v in re.sub(r"\d+", "", value).split()[:2])
+    names = "".join(f".{v}" for value in values[:1] for v in re.sub(r"[\d/]+", "", value).split()[:2])
     return Node(tag + names, tag, tag not in KEPT and any(w.lower() in NO_CONTENT_NAMES for value in values for w in _WORD.findall(value)))
 
 
@@ -305,6 +305,8 @@ class Wrapper:
 def learn(pages: DataFrame) -> DataFrame:
     """(host, fixed, place): per host with varying slots, the its template's slots (checksum of the text, path) and the path of its article's element.
 
+    That is the outermost article or main element with most of the varying text; '' is the whole page.
+
     Distinct pages are counted by sketches of fixed size (approx_count_distinct), so that copies of a page, wherever they lie, are one.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -337,14 +339,15 @@ def learn(pages: DataFrame) -> DataFrame:
     depth = F.size(F.split("path", "/"))
     total = nodes.filter("slot and varies").groupBy("host").agg(F.sum("chars").alias("total"))
     place = (
-        nodes.filter(~F.col("slot")).join(total, "host").filter(F.col("chars") >= F.col("total") * SHARE)
-        .groupBy("host").agg(F.max_by("path", F.struct(depth, "chars", "path")).alias("place"))
+        nodes.filter(F.col("path").rlike(r"/(" + "|".join(sorted(ARTICLE)) + r")(\.[^/]*)?\[\d+\]$")).join(total, "host")
+        .filter(F.col("chars") >= F.col("total") * SHARE)
+        .groupBy("host").agg(F.min_by("path", F.struct(depth, -F.col("chars"), "path")).alias("place"))
     )
     fixed = (
         nodes.filter("slot and not varies and pages > 1").join(sizes, "host").filter(F.col("pages") >= F.col("all_pages") * OFTEN)
         .groupBy("host").agg(F.collect_set(F.concat_ws(" ", "mark", "path")).alias("fixed"))
     )
-    return total.select("host").join(place, "host", "left").join(fixed, "host", "left")
+    return total.select("host").join(place, "host", "left").join(fixed, "host", "left").withColumn("place", F.coalesce("place", F.lit("")))
 
 
 def _blocks(node: Node, path: str, fixed: set[str]) -> list[str]:
@@ -356,17 +359,15 @@ def _blocks(node: Node, path: str, fixed: set[str]) -> list[str]:
 
 
 def main_text(page: str, place: str | None, fixed: set[str]) -> str:
-    """The blocks of the page's article that are not in ``fixed`` ("checksum path" of the template's slots): of the element at ``place``, or of the article that it stands in.
+    """The blocks of the element at ``place`` ('': the page) that are not in ``fixed`` ("checksum path" of the template's slots).
 
     Without such an element, of the largest article element, else of all that is content.
     """
     tree = slots(parse(page))
     nodes = list(_paths(tree))
-    by_path = dict(nodes)
-    if place in by_path:
-        while (up := place.rpartition("/")[0]) and any(p.split(".")[0].split("[")[0] in ARTICLE for p in up.split("/")[1:]):
-            place = up
-        return "\n".join(_blocks(by_path[place], place, fixed))
+    found = tree if place == "" else dict(nodes).get(place)
+    if found is not None:
+        return "\n".join(found.texts if found.texts and f"{_mark(found)} {place}" not in fixed else _blocks(found, place, fixed))
     articles = [(path, node) for path, node in nodes if node.tag in ARTICLE and not node.texts]
     if articles:
         path, node = max(articles, key=lambda x: _chars(x[1]))

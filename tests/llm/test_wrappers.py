@@ -111,3 +111,10 @@ def test_a_template_is_what_reads_like_it():
     fixed = {f"{mark} /div[0]/p[0]"}
     assert wrappers.main_text("<div><p>frame</p><h2>x</h2></div>", None, fixed) == "x"
     assert wrappers.main_text("<div><p>other</p><h2>x</h2></div>", None, fixed) == "other\nx"
+
+
+def test_content_in_several_elements_is_kept_whole(spark):
+    html = "<div>frame</div><div id=story><div class=lead><h1>Head {0}</h1><p>lead {0} {1}</p></div><div class=text><p>text {0} {2}</p></div></div><div class=note><p>note {0}</p></div>"
+    rows = [(i, f"http://t.example/{i}", html.format(i, "some " * 35, "long " * 65)) for i in range(6)]
+    want = "Head {0}\nlead {0} " + " ".join(["some"] * 35) + "\ntext {0} " + " ".join(["long"] * 65) + "\nnote {0}"
+    assert extracted(spark, rows) == [(i, want.format(i)) for i in range(6)]
