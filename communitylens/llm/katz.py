@@ -44,19 +44,36 @@ class Discounts(NamedTuple):
 
 
 def good_turing(types: list[int]) -> Discounts:
-    """Discounts from the number of types that occur 1, 2, ... LARGE + 1 times.
+    """Good-Turing discounts from the number of types that occur 1, 2, ... LARGE + 1 times.
 
-    Where these give no factors between 0 and 1 (a small or odd corpus), half a count is taken off each.
+    Counts up to the largest cut-off k that gives k factors between 0 and 1 are discounted, others are not. Where no k from
+    2 on does, the counts of counts are replaced by a line through their logarithms. Where that does not fall
+    faster than 1 / r, or nothing occurs once (unseen types are then estimated at nothing), half a count is taken off each.
     """
     n = np.array([0, *types], float)
-    r = np.arange(1, LARGE + 1)
-    half = np.concatenate([[1.0], 1 - 0.5 / r])
-    if (n[1:] == 0).any():
-        return Discounts(half)
-    rest = (LARGE + 1) * n[LARGE + 1] / n[1]
-    factors = ((r + 1) * n[2:] / (r * n[1:-1]) - rest) / (1 - rest) if rest != 1 else np.full(LARGE, np.nan)
-    good = np.isfinite(factors).all() and (factors > 0).all() and (factors < 1).all()
-    return Discounts(np.concatenate([[1.0], factors])) if good else Discounts(half)
+    for k in range(LARGE, 1, -1):
+        found = _factors(n, k)
+        if found is not None:
+            return Discounts(np.concatenate([[1.0], found, np.ones(LARGE - k)]))
+    r = np.flatnonzero(n)
+    if n[1] and len(r) > 1:
+        slope = np.polyfit(np.log(r), np.log(n[r]), 1)[0]
+        found = _factors(np.concatenate([[0.0], np.arange(1, LARGE + 2) ** slope]), LARGE)
+        if slope < -1 and found is not None:
+            return Discounts(np.concatenate([[1.0], found]))
+    return Discounts(np.concatenate([[1.0], 1 - 0.5 / np.arange(1, LARGE + 1)]))
+
+
+def _factors(n: np.ndarray, k: int) -> np.ndarray | None:
+    """Katz's factors of the counts 1 to k, or None where one is not between 0 and 1."""
+    if (n[1:k + 2] == 0).any():
+        return None
+    rest = (k + 1) * n[k + 1] / n[1]
+    if rest == 1:
+        return None
+    r = np.arange(1, k + 1)
+    factors = ((r + 1) * n[2:k + 2] / (r * n[1:k + 1]) - rest) / (1 - rest)
+    return factors if (factors > 0).all() and (factors < 1).all() else None
 
 
 class Words(NamedTuple):

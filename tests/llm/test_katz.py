@@ -4,6 +4,7 @@ import collections
 import math
 import random
 import re
+import statistics
 import zlib
 
 from communitylens.llm import katz
@@ -91,3 +92,25 @@ def test_many_batches_and_ranges(documents, monkeypatch):
 def test_good_turing_is_used_where_it_holds():
     assert 0 < katz.good_turing([1000, 400, 220, 140, 95, 70]).factors[1] < 1
     assert list(katz.good_turing([0, 4, 2, 1, 1, 1]).factors[1:3]) == [0.5, 0.75]
+
+
+def katz_factors(n, k):
+    """Katz (1987): r* / r with r* = (r + 1) n[r + 1] / n[r], scaled so that what is taken off is n[1]."""
+    rest = (k + 1) * n[k + 1] / n[1]
+    return [((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest) for r in range(1, k + 1)]
+
+
+def test_one_bad_factor_lowers_the_cut_off():
+    n = [0, 1000, 400, 220, 140, 150, 70]  # 5 n5 > 4 n4: the factor of 4 is above 1
+    assert katz_factors(n, 5)[3] > 1
+    got = katz.good_turing(n[1:]).factors
+    assert all(math.isclose(a, b) for a, b in zip(got, [1, *katz_factors(n, 3), 1, 1], strict=True))
+
+
+def test_counts_of_counts_are_smoothed_where_no_cut_off_holds():
+    n = [1000, 600, 150, 0, 60, 20]  # the factor of 1 is above 1 at any cut-off
+    slope = statistics.linear_regression([math.log(r + 1) for r, x in enumerate(n) if x], [math.log(x) for x in n if x]).slope
+    want = katz_factors([0, *[r ** slope for r in range(1, 7)]], 5)
+    got = katz.good_turing(n).factors
+    assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, [1, *want], strict=True))
+    assert all(0 < x < 1 for x in got[1:])
