@@ -5,7 +5,9 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+sys.path[:0] = [str(Path(__file__).resolve().parent.parent), str(Path(__file__).resolve().parent)]
+
+from helpers import at  # noqa: E402
 
 from communitylens.session import local_session  # noqa: E402
 
@@ -13,12 +15,6 @@ COMMENT = "id string, subreddit string, author string, body string, score bigint
 POST = "id string, subreddit string, author string, title string, selftext string, score bigint, created_utc bigint"
 
 
-def at(day: str, clock: str = "12:00:00") -> int:
-    from datetime import datetime, timezone
-
-    return int(datetime.strptime(f"{day} {clock}", "%Y-%m-%d %H:%M:%S").replace(tzinfo=timezone.utc).timestamp())
-
-
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = local_session(str(tmp_path_factory.mktemp("shared")), "tests", cores="4", partitions=4)
@@ -58,11 +54,3 @@ def posts(spark):
         ("p5", "D", "fay", None, "x", 5, at("2023-09-02")),
     ]
     return spark.createDataFrame(rows, POST)
-
-
-def table(df, *columns) -> list[tuple]:
-    return in_order(tuple(r) for r in df.select(*columns).collect())
-
-
-def in_order(rows) -> list[tuple]:
-    return sorted(rows, key=lambda row: [str(v) for v in row])

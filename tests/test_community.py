@@ -13,7 +13,7 @@ from communitylens.operators.inequality import gini, positions
 from communitylens.operators.overlap import overlap, shared_audience
 from communitylens.operators.retention import retention
 from communitylens.plans import community, summary
-from conftest import in_order, table
+from helpers import in_order, table
 
 JUNE, AUGUST = date(2023, 6, 1), date(2023, 8, 1)
 

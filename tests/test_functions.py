@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from communitylens import constants as K
 from communitylens.functions import labels, text, timeparts
 from communitylens.operators import filters
-from conftest import at
+from helpers import at
 
 
 def one(spark, expression, **values):

@@ -13,7 +13,7 @@ from communitylens.operators import evaluation, features, models
 from communitylens.plans import clusters, quality, topics
 from communitylens.sources import sinks
 from communitylens.sources.sampling import hash_fraction, sample_adaptive, sample_n, split_by_hash, split_random
-from conftest import at
+from helpers import at
 
 
 def _scored(spark, n=400, levels=37):

@@ -7,7 +7,7 @@ from communitylens import constants as K
 from communitylens.plans import ingest, trips
 from communitylens.session import checkpoint_dir, cut_lineage, literal_table
 from communitylens.sources import profile, sinks, tables
-from conftest import table
+from helpers import table
 
 
 def test_named_csv_is_one_sorted_file(spark, tmp_path):

@@ -18,7 +18,7 @@ from communitylens.plans import discussion as discussion_plan
 from communitylens.plans import network as network_plan
 from communitylens.plans import sentiment as sentiment_plan
 from communitylens.session import literal_table
-from conftest import at, in_order, table
+from helpers import at, in_order, table
 
 LEXICON = (("good", 1.9), ("bad", -2.5), ("great", 3.1), (":)", 2.0), ("no", -1.2), ("kind", 2.4), ("stop", -1.2), ("right", 0.5))
 RULES = Rules(negators=("not", "never"), boosters=("very", "so"), dampeners=("slightly",), contrast="but")
