@@ -11,7 +11,10 @@ end of the last; then the offsets of these three parts and the numbers of docume
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +30,12 @@ MAGIC = b"packed\x00\x01"
 BLOCK = 1 << 14
 #: Ids that a reader unpacks at once, for many documents together.
 READ_IDS = 1 << 20
-#: Words that a task remembers at most; it starts anew beyond them.
-MEMORY = 300_000
-#: Letters that no normaliser composes and that lower-case one by one.
-PLAIN = "A-Za-zÀ-ÖØ-öø-ÿ"
+#: Pieces that a worker process remembers at most; beyond them it keeps those of at most SHORT characters.
+MEMORY, SHORT = 600_000, 7
+#: Characters of a piece that is remembered at most.
+LONG = 48
+#: Marks that are pre-tokens of their own behind a letter.
+MARKS = ".,;:!?"
 
 
 def width(vocabulary: int) -> int:
@@ -168,59 +173,65 @@ class Reader:
             first = last
 
 
-class Encoder:
-    """Ids of texts as the tokenizers library gives them, remembering words.
+class Encoder(dict):
+    """Ids of texts as the tokenizers library gives them, by piece of text, remembering pieces.
 
     Pre-tokens hold no blanks or line ends and pieces of text between these do not influence each other, so
-    each distinct piece is encoded once. Pieces of plain letters go to the library's merge model directly
-    (they are their own normal form but for case), all others through its whole chain.
+    each distinct piece is encoded once. Letters that are their own normal form but for case, alone or before
+    marks, go to the library's merge model directly, all other pieces through its whole chain.
     """
 
     def __init__(self, path: str):
-        import re
-
         import tokenizers
 
+        super().__init__()
         self.library = tokenizers.Tokenizer.from_file(path)
-        self.model = self.library.model
-        self.known: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
-        self.plain = re.compile(f"([{PLAIN}]+)([.,;:!?]*)")
+        self.merged = self.library.model.tokenize
+        self.plain = frozenset(chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x100)) if c not in (0xD7, 0xF7))
         printable = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in set(printable)]
-        self.signs = {b: chr(256 + k) for k, b in enumerate(others)}  # bytes as the characters that stand for them
+        signs = {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+        self.signs = {ord(c): "".join(signs[b] for b in c.encode()) for c in self.plain}  # letters as characters for their bytes
 
     @property
     def vocabulary(self) -> int:
         return self.library.get_vocab_size(with_added_tokens=True)
 
-    def _word(self, letters: str) -> bytes:
-        found = self.letters.get(letters)
-        if found is None:
-            signs = letters.encode().decode("latin-1").translate(self.signs)
-            found = self.letters[letters] = np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
-        return found
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.rstrip(MARKS)
+        if word and len(word) < len(piece):
+            coded = self[word] + self[piece[len(word):]] if word[-1] in self.plain else self._whole(piece)
+        elif word.isalpha() and (word.isascii() or self.plain.issuperset(word)):
+            low = word.lower()
+            if low != word:
+                coded = self[low]
+            else:
+                coded = array("I", [t.id for t in self.merged(word if word.isascii() else word.translate(self.signs))]).tobytes()
+        else:
+            coded = self._whole(piece)
+        if len(piece) <= LONG:
+            self[piece] = coded
+        return coded
+
+    def _whole(self, piece: str) -> bytes:
+        return array("I", self.library.encode_batch_fast([piece], add_special_tokens=False)[0].ids).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        if len(self.known) > MEMORY or len(self.letters) > MEMORY:
-            self.known.clear()
-            self.letters.clear()
-        rows = [text.replace("\n", " ").split(" ") for text in texts]
-        new = {piece for row in rows for piece in row} - self.known.keys()
-        whole = []
-        for piece in new:
-            match = self.plain.fullmatch(piece)
-            if match and (not match[2] or match[2] in self.known):
-                self.known[piece] = self._word(match[1].lower()) + self.known.get(match[2], b"")
-            else:
-                whole.append(piece)
-                if match:
-                    whole.append(match[2])
-        whole = list(dict.fromkeys(whole))
-        for piece, coded in zip(whole, self.library.encode_batch_fast(whole, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(coded.ids, "<u4").tobytes()
-        return [b"".join([self.known[piece] for piece in row]) for row in rows]
+        """The ids of each text as 32-bit numbers."""
+        if len(self) > MEMORY:  # short pieces are the ones that come again
+            short = {piece: coded for piece, coded in self.items() if len(piece) <= SHORT}
+            self.clear()
+            if len(short) <= MEMORY // 2:
+                self.update(short)
+        return [b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))) for text in texts]
+
+
+def _encoder(path: str) -> Encoder:
+    """The worker process's encoder of a file; it keeps its pieces from task to task."""
+    kept = sys.modules.setdefault("_packed_encoders", types.ModuleType("_packed_encoders"))
+    if path not in vars(kept):
+        vars(kept)[path] = Encoder(path)
+    return vars(kept)[path]
 
 
 def _one_thread() -> None:
@@ -247,7 +258,7 @@ def write(df: DataFrame, folder: str, path: str, key: str = "doc_id", end: int |
 
         _one_thread()
         writer = None
-        coder = Encoder(path)
+        coder = _encoder(path)
         bits, ending = width(max(coder.vocabulary, (end or 0) + 1)), b"" if end is None else np.array([end], "<u4").tobytes()
         for batch in batches:
             for first in range(0, batch.num_rows, rows):
