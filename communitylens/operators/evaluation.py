@@ -1,4 +1,4 @@
-"""Classifier evaluation from predictions, without collecting them."""
+"""Classifier evaluation from predictions, or from their stored histogram, without collecting them."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from communitylens.functions.labels import guarded_ratio
 from communitylens.operators.ordered import with_part
+from communitylens.session import cut_lineage
 
 
 def confusion(predictions: DataFrame, label: str = "label", prediction: str = "prediction") -> DataFrame:
@@ -40,12 +41,18 @@ def classification(counts: DataFrame) -> DataFrame:
     )
 
 
-def _histogram(predictions: DataFrame, label: str, score: str, digits: int | None) -> DataFrame:
-    """(threshold, positives, negatives, _bin) per distinct score; bins hold about equally many distinct scores."""
+def histogram(predictions: DataFrame, label: str = "label", score: str = "prob", digits: int | None = None) -> DataFrame:
+    """(threshold, positives, negatives, _bin) per distinct score; bins hold about equally many distinct scores.
+
+    Stored, so that the bins' bounds and every measure read the counts and not the predictions. All
+    measures of one table can share it: they take it in place of the predictions.
+    """
+    if "_bin" in predictions.columns:
+        return predictions
     y = F.col(label).cast("int")
     value = F.col(score) if digits is None else F.round(score, digits)
-    distinct = predictions.groupBy(value.cast("double").alias("threshold")).agg(
-        F.count(F.when(y == 1, 1)).alias("positives"), F.count(F.when(y == 0, 1)).alias("negatives"))
+    distinct = cut_lineage(predictions.groupBy(value.cast("double").alias("threshold")).agg(
+        F.count(F.when(y == 1, 1)).alias("positives"), F.count(F.when(y == 0, 1)).alias("negatives")))
     return with_part(distinct, "threshold", "_bin")
 
 
@@ -59,7 +66,7 @@ def auc(predictions: DataFrame, label: str = "label", score: str = "prob") -> Da
     pos, neg = F.col("positives"), F.col("negatives")
     lower = Window.partitionBy("_bin").orderBy("threshold").rowsBetween(Window.unboundedPreceding, -1)
     bins = (
-        _histogram(predictions, label, score, None)
+        histogram(predictions, label, score)
         .withColumn("_below", F.coalesce(F.sum("negatives").over(lower), F.lit(0)))
         .groupBy("_bin")
         .agg(
@@ -78,12 +85,12 @@ def auc(predictions: DataFrame, label: str = "label", score: str = "prob") -> Da
 
 def _cumulative(predictions: DataFrame, label: str, score: str, digits: int | None) -> DataFrame:
     """(threshold, positives, negatives, tp, fp, all_pos, all_neg): counts at or above each distinct score."""
-    histogram = _histogram(predictions, label, score, digits)
+    counts = histogram(predictions, label, score, digits)
     # At most one row per bin: a bounded table, and the only one ordered as a whole.
     higher_bins = Window.partitionBy().orderBy(F.desc("_bin")).rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     shifts = (
-        histogram.groupBy("_bin").agg(F.sum("positives").alias("_p"), F.sum("negatives").alias("_n"))
+        counts.groupBy("_bin").agg(F.sum("positives").alias("_p"), F.sum("negatives").alias("_n"))
         .select(
             "_bin",
             F.coalesce(F.sum("_p").over(higher_bins), F.lit(0)).alias("_shift_p"),
@@ -96,7 +103,7 @@ def _cumulative(predictions: DataFrame, label: str, score: str, digits: int | No
         Window.partitionBy("_bin").orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        histogram.withColumns({
+        counts.withColumns({
             "_tp": F.sum("positives").over(within_bin), "_fp": F.sum("negatives").over(within_bin),
         })
         .join(shifts, "_bin")

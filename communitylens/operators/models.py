@@ -8,14 +8,14 @@ from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, KMeans, KMeansModel, LDAModel
-from pyspark.ml.feature import IDF, PCA, CountVectorizerModel
+from pyspark.ml.feature import IDF, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from communitylens import constants as K
 from communitylens.functions.labels import argmax, class_probability
-from communitylens.operators import counting, features, terms
+from communitylens.operators import counting, features, passes, terms
 from communitylens.session import cut_lineage, literal_table
 from communitylens.sources.sampling import hash_fraction
 
@@ -102,21 +102,21 @@ def fit_clusters(vectors: DataFrame, k: int = K.CLUSTER_K, seed: int = K.SEED) -
 
 
 def elbow(vectors: DataFrame, ks: Iterable[int] = range(K.ELBOW_MIN_K, K.ELBOW_MAX_K + 1), seed: int = K.SEED) -> DataFrame:
-    """(k, wcss): within-cluster sum of squares per k. The vectors are kept between the fits."""
+    """(k, wcss): within-cluster sum of squares per k; every scan of the vectors serves all k."""
     kept = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        costs = [(k, float(fit_clusters(kept, k, seed).summary.trainingCost)) for k in ks]
+        curve = passes.cluster_curve(kept, ks, seed=seed)
     finally:
         kept.unpersist()
-    return literal_table(vectors.sparkSession, costs, "k int, wcss double")
+    return literal_table(vectors.sparkSession, curve.costs.items(), "k int, wcss double")
 
 
 def plane(vectors: DataFrame) -> DataFrame:
-    """Adds pca_features: the first two principal components.
+    """Adds pca_features: the places along the first two principal axes.
 
-    The covariance of the (2000) features is one bounded matrix, summed on the cluster.
+    The axes come from scans with a few columns, so the number of features is no matter of memory squared.
     """
-    return PCA(k=2, inputCol="features", outputCol="pca_features").fit(vectors).transform(vectors)
+    return passes.projected(vectors, passes.principal_axes(vectors).axes)
 
 
 def cluster_points(assigned: DataFrame, key: str, limit: int | None = None) -> DataFrame:

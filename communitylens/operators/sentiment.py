@@ -155,57 +155,65 @@ def compound(total: Column, emphasis: Column) -> Column:
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), score))
 
 
+#: Terms that a lexicon may have: they are tested inside the row, as one set in the plan.
+MOST_TERMS = 200_000
+
+
+def _terms(lexicon: DataFrame) -> list[str]:
+    """The lexicon's terms; a lexicon is a word list, and one beyond the bound is refused, not cut."""
+    rows = lexicon.select("term").where("term is not null").distinct().limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"a lexicon has at most {MOST_TERMS} terms")
+    return sorted(r[0] for r in rows)
+
+
 def score_sentiment(df: DataFrame, text: str, keys: Sequence[str], lexicon: DataFrame | None = None,
                     alias: str = "sentiment_score", copies: str | None = None, rules: Rules = Rules()) -> DataFrame:
     """(keys..., sentiment_score) per text; texts without lexicon words, and missing texts, score 0.0.
 
-    Every word travels with the three words before it and the two behind, so the rules need no window.
-    Words outside the lexicon are dropped by a join with the (small) lexicon before
-    anything is exchanged; one row per text remains to be shuffled.
+    A text is split, stripped and lower-cased once. Only positions of lexicon words leave its row, each with the
+    three words before and the two behind and whether these are in the lexicon, so the rules need no window and no
+    join but the one with the words' valences; one row per text remains to be shuffled.
 
     Rows equal in all keys and in text are one document; ``copies`` names a column
     for how many there were. With a unique key the result has one row per input row.
     """
     lexicon = default_lexicon(df.sparkSession) if lexicon is None else lexicon
     valences = lexicon.groupBy(F.col("term").alias("_term")).agg(F.max("valence").alias("_valence"))
+    terms = _terms(lexicon)
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     contrast_at = F.when(
-        F.contains(F.lower("_body"), F.lit(rules.contrast)),
-        F.array_position(F.transform("_words", lambda w: F.lower(_word(w))), rules.contrast) - 1,
+        F.contains(F.lower("_body"), F.lit(rules.contrast)), F.array_position("_low", rules.contrast) - 1,
     ).otherwise(-1)
-    capitals = F.exists("_words", _shouted) & F.exists("_words", lambda w: (w != "") & ~_shouted(w))
+    capitals = F.exists("_raw", _shouted) & F.exists("_raw", lambda w: (w != "") & ~_shouted(w))
 
     # Two independent hashes stand for the text from here on.
     document = [*keys, "_hash1", "_hash2"]
-    shifted = [F.concat(F.array_repeat(F.lit(""), n), F.col("_words")).alias(f"before{n}") for n in (1, 2, 3)]
-    shifted += [F.slice("_words", n + 1, F.size("_words")).alias(f"after{n}") for n in (1, 2)]
+    places = F.sequence(F.lit(0), F.size("_low") - 1)
+
+    def near(shift: int) -> Column:
+        return F.coalesce(F.get("_words", F.col("_at") + shift), F.lit(""))
+
+    def in_lexicon(word: Column) -> Column:
+        return word.isin(terms) if terms else F.lit(False)
+
     rows = (
-        df.select(
-            *keys, F.xxhash64(body).alias("_hash1"), F.hash(body).alias("_hash2"), body.alias("_body"),
-            F.split(F.trim(body), r"\s+").alias("_words"),
-        )
-        # Per text, before the words are laid out as rows.
+        df.select(*keys, F.xxhash64(body).alias("_hash1"), F.hash(body).alias("_hash2"), body.alias("_body"))
+        .withColumn("_raw", F.split(F.trim("_body"), r"\s+"))
+        .withColumn("_words", F.transform("_raw", _word))
+        .withColumn("_low", F.transform("_words", F.lower))
         .select(
-            *document, _emphasis(F.col("_body")).alias("_emphasis"), capitals.alias("_capitals"),
-            contrast_at.alias("_contrast"), F.arrays_zip(F.col("_words").alias("word"), *shifted).alias("_near"),
+            *document, _emphasis(F.col("_body")).alias("_emphasis"), capitals.alias("_capitals"), contrast_at.alias("_contrast"),
+            "_words", F.filter(places, lambda i: in_lexicon(F.get("_low", i))).alias("_hits"),
         )
-        .select(*document, "_emphasis", "_capitals", "_contrast", F.posexplode_outer("_near").alias("_at", "_w"))
-        .where(F.col("_w.word").isNotNull())
+        .select(*document, "_emphasis", "_capitals", "_contrast", "_words", F.posexplode_outer("_hits").alias("_nth", "_at"))
         .select(
-            *document, "_emphasis", "_capitals", "_contrast", "_at", _word(F.col("_w.word")).alias("_word"),
-            *[F.col(f"_w.before{n}").alias(f"_before{n}") for n in (1, 2, 3)],
-            *[F.coalesce(f"_w.after{n}", F.lit("")).alias(f"_after{n}") for n in (1, 2)],
+            *document, "_emphasis", "_capitals", "_contrast", "_at", (F.coalesce("_nth", F.lit(0)) == 0).alias("_first"),
+            near(0).alias("_word"), *[near(-n).alias(f"_before{n}") for n in (1, 2, 3)], *[near(n).alias(f"_after{n}") for n in (1, 2)],
         )
     )
-
-    found = (
-        rows.join(valences, F.lower("_word") == F.col("_term"), "left")
-        .where(F.col("_valence").isNotNull() | (F.col("_at") == 0))
-        .withColumns({c: _word(F.col(c)) for c in ("_before1", "_before2", "_before3", "_after1", "_after2")})
-    )
-    for c in ("_before1", "_before2", "_before3", "_after1"):  # is the neighbour in the lexicon?
-        known = valences.select(F.col("_term").alias(f"{c}_term"))
-        found = found.join(known, F.lower(c) == F.col(f"{c}_term"), "left").withColumn(f"{c}_known", F.col(f"{c}_term").isNotNull()).drop(f"{c}_term")
+    found = rows.join(valences, F.col("_at").isNotNull() & (F.lower("_word") == F.col("_term")), "left").withColumns({
+        f"{c}_known": in_lexicon(F.lower(c)) for c in ("_before1", "_before2", "_before3", "_after1")})
 
     low = [F.lower(f"_before{n}") for n in (1, 2, 3)]
     after = [F.lower("_after1"), F.lower("_after2")]
@@ -233,7 +241,7 @@ def score_sentiment(df: DataFrame, text: str, keys: Sequence[str], lexicon: Data
     scored = found.groupBy(*document).agg(
         F.coalesce(F.sum(value), F.lit(0.0)).alias("_total"),
         F.first("_emphasis").alias("_emphasis"),
-        F.count(F.when(at == 0, 1)).alias("_copies"),
+        F.count_if("_first").alias("_copies"),
     )
     # Equal rows were summed together; dividing by their number gives the score of one.
     result = [*keys, compound(F.col("_total") / F.col("_copies"), F.col("_emphasis")).alias(alias)]

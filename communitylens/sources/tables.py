@@ -14,15 +14,17 @@ from communitylens.session import literal_table
 _EMPTY = "\u0001empty\u0001"
 
 
-def scan_parquet(spark: SparkSession, *paths: str, requester_pays: bool = False) -> DataFrame:
+def scan_parquet(spark: SparkSession, *paths: str, requester_pays: bool = False, partitions: int | None = None) -> DataFrame:
     """One or several parquet files, folders or wildcard paths as one table.
 
-    How finely it is split follows ``spark.sql.files.maxPartitionBytes`` and the files' row groups.
+    How finely it is split follows ``spark.sql.files.maxPartitionBytes`` and the files' row groups. ``partitions`` deals
+    the rows anew, for files of few row groups whose rows cost much work each (texts); leave it out for large tables.
     """
     reader = spark.read
     if requester_pays:
         reader = reader.option("request-payer", "requester")
-    return reader.parquet(*paths)
+    df = reader.parquet(*paths)
+    return df if partitions is None else df.repartition(partitions)
 
 
 def monthly_paths(template: str, months: Iterable[int], **fields: object) -> list[str]:

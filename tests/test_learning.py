@@ -118,7 +118,7 @@ def test_saturated_scores_and_margins_are_spread(spark):
     saturated = spark.range(n).select((F.col("id") % 2).cast("int").alias("label"), (F.lit(1.0) / (1 + F.exp(14 + F.col("id") / n))).alias("prob"))
     margins = spark.range(n).select((F.col("id") % 2).cast("int").alias("label"), (F.col("id") * 37.5 - 4e5).alias("prob"))
     for df in (saturated, margins):
-        bins = evaluation._histogram(df, "label", "prob", None).groupBy("_bin").count().agg(F.max("count"), F.count("*")).first()
+        bins = evaluation.histogram(df).groupBy("_bin").count().agg(F.max("count"), F.count("*")).first()
         assert bins[0] <= n // 50 and bins[1] <= 256
         mllib = BinaryClassificationEvaluator(rawPredictionCol="prob", labelCol="label", numBins=0).evaluate(df)
         assert evaluation.auc(df).first()["auc"] == pytest.approx(mllib, abs=1e-9)
