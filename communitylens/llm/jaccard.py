@@ -4,9 +4,12 @@ Equal sets are one set. A set is indexed under the first tokens of an order that
 tokens last, as many as any similar set must share one of. First every set is compared with its
 neighbour in each index list (lists stand in order of size); what that links is one class, and no two
 sets of a class are compared again: a set takes over the answers of the similar set it is linked to.
-Then lists that still hold several classes are joined by blocks of sizes, skipping blocks whose sizes
-differ too much and positions that leave too few tokens. Similar sets share not one but SHARED tokens
-of slightly longer prefixes, so a pair is compared in full only if that many lists hold both.
+Then short lists that still hold several classes are joined, skipping positions that leave too few
+tokens. Similar sets share not one but SHARED tokens of slightly longer prefixes, so a pair is compared in
+full only if that many lists hold both. Sets that meet in a long list belong to one group; groups are dealt to
+blocks of bounded size, and a task gets two blocks: it derives every set's intersections from those of one
+reference set, the tokens that most sets of both blocks hold, by the tokens in which a set differs from
+it, and sends on a spanning set of links, never pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +37,14 @@ FREQUENT = 10
 #: Prefix tokens that similar sets have in common at least (fewer only where a set is that small).
 SHARED = 3
 FILTER_LOG2 = 25
+#: Sets in a list beyond which it is compared in blocks.
+LIST = 64
+#: Sets in a list beyond which it is ordered in parts.
+PART = 4096
+#: Tokens and sets in a block, on average at most.
+BLOCK_TOKENS, BLOCK_SETS = 1 << 18, 1024
+#: Meetings of two sets in a token that are counted at once.
+MEETINGS = 1 << 22
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
@@ -73,6 +84,80 @@ def _digest(tokens: np.ndarray) -> bytes:
     return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
+def _entries(tokens: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, token) of every entry of a column of lists."""
+    counts = np.diff(tokens.offsets.to_numpy())
+    return np.repeat(np.arange(len(counts)), counts), tokens.flatten().to_numpy()
+
+
+def common_counts(left: tuple[np.ndarray, np.ndarray, int], right: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """Sizes of all intersections of two blocks of sets; a block is its entries' rows and tokens, and its number of sets.
+
+    The reference set C holds the tokens of more than half of all sets. For sets X and Y,
+    |X and Y| = |C| - |C without X| - |C without Y| + |what both lack of C| + |what both have beside C|.
+    """
+    tokens, ids = np.unique(np.concatenate([left[1], right[1]]), return_inverse=True)
+    reference = np.bincount(ids, minlength=len(tokens)) * 2 > left[2] + right[2]
+    size = int(reference.sum())
+    place = np.cumsum(reference) - 1
+    lacking, differing = [], []
+    for (rows, _, n), mine in ((left, ids[:len(left[0])]), (right, ids[len(left[0]):])):
+        inside = reference[mine]
+        held = np.zeros((n, size), bool)
+        held[rows[inside], place[mine[inside]]] = True
+        lack_row, lack_place = np.nonzero(~held)
+        lacking.append(np.bincount(lack_row, minlength=n))
+        row = np.concatenate([rows[~inside], lack_row])
+        token = np.concatenate([mine[~inside], np.flatnonzero(reference)[lack_place]])
+        order = np.argsort(token, kind="stable")
+        differing.append((row[order], token[order]))
+    out = size - lacking[0][:, None] - lacking[1][None, :]
+    (row_a, token_a), (row_b, token_b) = differing
+    shared = np.intersect1d(token_a, token_b)
+    start_a, start_b = np.searchsorted(token_a, shared), np.searchsorted(token_b, shared)
+    count_a = np.searchsorted(token_a, shared, side="right") - start_a
+    count_b = np.searchsorted(token_b, shared, side="right") - start_b
+    # each entry of the left meets the right's entries of its token
+    entry = np.repeat(start_a - np.cumsum(count_a) + count_a, count_a) + np.arange(count_a.sum())
+    first, meets = np.repeat(start_b, count_a), np.repeat(count_b, count_a)
+    ends = np.cumsum(meets)
+    at = 0
+    while at < len(entry):
+        upto = max(at + 1, int(np.searchsorted(ends, ends[at] - meets[at] + MEETINGS, side="right")))
+        n = meets[at:upto]
+        other = np.repeat(first[at:upto] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cells = np.repeat(row_a[entry[at:upto]], n) * right[2] + row_b[other]
+        out += np.bincount(cells, minlength=out.size).reshape(out.shape)
+        at = upto
+    return out
+
+
+def _spanning(left: pa.StructArray, right: pa.StructArray, percent: int) -> pa.RecordBatch:
+    """(a, b): links that connect what the similar sets of two blocks connect; sets of one class are connected already."""
+    sides = []
+    for side in (left, right):
+        node, kind, tokens = (side.field(c) for c in ("node", "class", "tokens"))
+        rows, flat = _entries(tokens)
+        sides.append((node.to_numpy(), kind.to_numpy(), (rows, flat, len(node)), np.bincount(rows, minlength=len(node))))
+    (node_a, kind_a, block_a, n_a), (node_b, kind_b, block_b, n_b) = sides
+    common = common_counts(block_a, block_b)
+    similar = (100 * common >= percent * (n_a[:, None] + n_b[None, :] - common)) & (kind_a[:, None] != kind_b[None, :])
+    at_a, at_b = np.nonzero(similar)
+    kinds, ends = np.unique(np.concatenate([kind_a[at_a], kind_b[at_b]]), return_inverse=True)
+    a, b = ends[:len(at_a)], ends[len(at_a):]
+    roots = np.arange(len(kinds))
+    while True:
+        least = roots.copy()
+        np.minimum.at(least, a, roots[b])
+        np.minimum.at(least, b, roots[a])
+        least = least[least]
+        if (least == roots).all():
+            break
+        roots = least
+    # a class is named by one of its nodes, so classes can be linked in place of the sets that were similar
+    return pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(kinds[roots])], ["a", "b"])
+
+
 class Join:
     """The join of one table of documents: its sets, the index over them, and the links found."""
 
@@ -117,21 +202,26 @@ class Join:
         return written(self.texts.mapInArrow(run, f"row bigint, doc {self.kind}, n bigint, digest binary, tokens array<bigint>"))
 
     def index(self) -> DataFrame:
-        """(token, node, n, place) of one row per distinct set, where another set has the token; with the one before it in size."""
-        order = Window.partitionBy("token").orderBy("n", "node")
+        """(token, node, n, place, size) of one row per distinct set, where another set has the token; with the one before it in size.
+
+        ``size`` is the list's; a list beyond PART is ordered in parts by a hash of the set, and its size is its part's.
+        """
         rows = self.sets.join(self.first.select(F.col("node").alias("row")), "row", "left_semi")
+        rows = rows.select(F.col("row").alias("node"), "n", F.posexplode("tokens").alias("place", "token"))
+        long = rows.groupBy("token").agg(F.count("*").alias("size")).filter(F.col("size") > PART)
+        long = cut_lineage(long.select("token", F.ceil(F.col("size") / PART).alias("parts")))
+        rows = rows.join(long, "token", "left").withColumn("part", F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1))))
+        order = Window.partitionBy("token", "part").orderBy("n", "node")
+        whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
         return written(
-            rows.select(F.col("row").alias("node"), "n", F.posexplode("tokens").alias("place", "token"))
-            .withColumn("before", F.lag("node").over(order)).withColumn("before_n", F.lag("n").over(order))
-            .withColumn("after", F.lead("node").over(order))
-            .filter("before is not null or after is not null").drop("after")
+            rows.withColumn("before", F.lag("node").over(order)).withColumn("before_n", F.lag("n").over(order))
+            .withColumn("size", F.when(F.col("parts").isNull(), F.count("*").over(whole)).otherwise(PART + 1))
+            .filter("size > 1").drop("part", "parts")
         )
 
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of nodes whose whole sets are similar enough."""
-        words, percent = self.words, self.percent
-        asked = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-        asked = written(self.sets.join(asked, "row", "left_semi").select(F.col("row").alias("node"), F.xxhash64("doc").alias("ident"), F.col("digest").alias("x")))
+    def _whole(self, asked: DataFrame) -> DataFrame:
+        """(digest, tokens): the whole sets of documents asked for by ``ident``; others may come too, and a set more than once."""
+        words = self.words
         wanted = self.texts.sparkSession.sparkContext.broadcast(bitmap(asked, "ident", FILTER_LOG2))
 
         def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,10 +234,17 @@ class Join:
                     sent |= new
                     yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), _lists([sets[x] for x in new], pa.int64())], ["digest", "tokens"])
 
+        return self.texts.mapInArrow(whole, "digest binary, tokens array<bigint>")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes whose whole sets are similar enough."""
+        percent = self.percent
+        asked = pairs.select(F.col("a").alias("row")).union(pairs.select("b")).distinct()
+        asked = written(self.sets.join(asked, "row", "left_semi").select(F.col("row").alias("node"), F.xxhash64("doc").alias("ident"), F.col("digest").alias("x")))
         named = asked.select("node", "x")
         pairs = pairs.join(named.withColumnsRenamed({"node": "a", "x": "x"}), "a").withColumnRenamed("x", "xa").join(
             named.withColumnsRenamed({"node": "b", "x": "xb"}), "b")
-        sets = self.texts.mapInArrow(whole, "digest binary, tokens array<bigint>")
+        sets = self._whole(asked)
         common = F.size(F.array_intersect("left", "right"))
         return cut_lineage(
             pairs.join(sets.alias("l"), F.col("xa") == F.col("l.digest")).select("a", "b", "xb", F.col("l.tokens").alias("left"))
@@ -169,20 +266,18 @@ class Join:
         )
         found = self.verified(near)
         classes = components(found)
-        block = F.floor(F.log("n") / math.log(100 / percent))
         rows = (
             index.join(classes, "node", "left").withColumn("class", F.coalesce("component", "node"))
-            .select("token", "node", "n", "place", "class", block.alias("block"))
+            .select("token", "node", "n", "place", "class", "size")
         )
-        mixed = rows.groupBy("token").agg(F.min("class").alias("one"), F.max("class").alias("other")).filter("one != other").select("token")
-        rows = written(rows.join(mixed, "token", "left_semi"))
-        left = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "place", "class")],
-                           F.explode(F.array(*[F.col("block") + k for k in range(3)])).alias("block"))
-        right = rows.select("token", "block", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "place", "class")])
+        mixed = rows.groupBy("token").agg(F.min("class").alias("one"), F.max("class").alias("other"), F.min("node").alias("least")).filter("one != other")
+        rows = written(rows.join(mixed.select("token", "least"), "token"))
+        short = rows.filter(F.col("size") <= LIST)
+        left, right = (short.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("node", "n", "place", "class")]) for side in "ab")
         left_over = F.least(F.expr("n_a - place_a"), F.expr("n_b - place_b"))  # from this token on
         needed = F.expr(f"{percent} * (n_a + n_b)")
         rest = (
-            left.join(right, ["token", "block"])
+            left.join(right, "token")
             .filter("class_a != class_b and (n_a < n_b or (n_a = n_b and node_a < node_b))")
             .filter(F.col("n_a") * 100 >= F.col("n_b") * percent)
             # the first SHARED common tokens of a similar pair all leave enough behind them
@@ -191,7 +286,50 @@ class Join:
             .agg(F.count("*").alias("shared"), F.min("place_a").alias("place_a"), F.min("place_b").alias("place_b"))
             .filter(enough).filter(left_over * (100 + percent) >= needed).select("a", "b")
         )
-        return found.unionByName(self.verified(written(rest.join(near, ["a", "b"], "left_anti"))))
+        found = found.unionByName(self.verified(written(rest.join(near, ["a", "b"], "left_anti"))))
+        return found.unionByName(self._blocks(rows.filter(F.col("size") > LIST)))
+
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        """Links (a, b) of sets that meet in long lists: ``rows`` (token, node, n, class, least), ``least`` a list's first node.
+
+        Similar sets that share a token of a long list are in one group, so all sets of a group are compared, but for those of
+        one class and of sizes too far apart. In a short list's count such a pair may fall short; here it cannot.
+        """
+        percent = self.percent
+        groups = components(rows.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+        kinds = rows.select("node", "class").distinct()
+        # sets of one size or the next are similar at most; the factor keeps rounding from making it two
+        step = F.floor(F.log("n") / (math.log(100 / percent) * (1 + 1e-6))).cast("int") if percent < 100 else F.col("n")
+        members = written(
+            groups.join(kinds, "node").join(self.sets.select(F.col("row").alias("node"), "n", "doc", "digest"), "node")
+            .select("node", "class", "n", F.col("component").alias("group"), step.alias("step"), F.xxhash64("doc").alias("ident"), F.col("digest").alias("x"))
+        )
+        counts = members.groupBy(F.col("group").alias("g"), F.col("step").alias("s")).agg(
+            F.ceil(F.greatest(F.sum("n") / BLOCK_TOKENS, F.count("*") / BLOCK_SETS)).alias("blocks"))
+        placed = members.join(counts, (F.col("group") == F.col("g")) & (F.col("step") == F.col("s"))).withColumn(
+            "block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+        sets = self._whole(members)
+        blocks = written(
+            placed.join(sets, F.col("x") == F.col("digest"))
+            .groupBy("group", "step", "block").agg(
+                F.collect_list(F.struct("node", "class", "tokens")).alias("sets"), F.min("class").alias("one"), F.max("class").alias("other"))
+            .withColumn("name", F.monotonically_increasing_id())
+        )
+        names = blocks.drop("sets", "block")
+        mine, theirs = (names.select("group", *[F.col(c).alias(f"{c}_{side}") for c in ("name", "step", "one", "other")]) for side in "ab")
+        pairs = (
+            mine.join(theirs, "group").filter("name_a <= name_b and abs(step_a - step_b) <= 1")
+            .filter("one_a != other_a or one_b != other_b or one_a != one_b").select("name_a", "name_b")
+        )
+        tiles = pairs.join(blocks.select(F.col("name").alias("name_a"), F.col("sets").alias("left")), "name_a").join(
+            blocks.select(F.col("name").alias("name_b"), F.col("sets").alias("right")), "name_b").select("left", "right")
+
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for left, right in zip(batch.column("left"), batch.column("right"), strict=True):
+                    yield _spanning(left.values, right.values, percent)
+
+        return cut_lineage(tiles.mapInArrow(compared, "a bigint, b bigint").filter("a != b").distinct())
 
     def classes(self) -> DataFrame:
         """key, n_shingles and component_id of every document row."""

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 from conftest_llm import rows_of
 
 from communitylens.llm import jaccard
@@ -86,3 +87,37 @@ def test_components_of_chains_stars_and_loops(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_blocks_equal_brute_force(documents, monkeypatch):
+    """Nearly all comparisons in blocks, of a few sets each."""
+    for name, value in (("LIST", 2), ("BLOCK_SETS", 7), ("BLOCK_TOKENS", 300), ("PART", 9), ("MEETINGS", 50)):
+        monkeypatch.setattr(jaccard, name, value)
+    for seed, k, percent in ((4, 4, 85), (6, 5, 80), (7, 2, 50)):
+        rows = near_copies(seed, 200) + EDGES
+        assert rows_of(jaccard.classes(documents(rows), k, percent), "doc_id", "n_shingles", "component_id") == brute(rows, k, percent)
+
+
+def test_group_just_below_the_threshold(documents):
+    """Copies of one text that differ from each other by a little more, or a little less, than the threshold."""
+    pick = random.Random(11)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(260):
+        words = list(base)
+        for at in pick.sample(range(100), 2):
+            words[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(words)))
+    assert rows_of(jaccard.classes(documents(rows)), "doc_id", "n_shingles", "component_id") == brute(rows)
+
+
+def test_intersections_from_a_reference_set():
+    random_ = np.random.default_rng(3)
+    for size, spread in ((1, 5), (40, 60), (90, 300)):
+        sides = []
+        for n in (17, 23):
+            base = random_.choice(spread, min(spread, 30), replace=False)
+            sets = [np.unique(np.concatenate([base[random_.random(len(base)) < 0.9], random_.integers(0, spread, random_.integers(0, size + 1))])) for _ in range(n)]
+            sides.append((np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets), n, sets))
+        got = jaccard.common_counts(sides[0][:3], sides[1][:3])
+        assert got.tolist() == [[len(np.intersect1d(a, b)) for b in sides[1][3]] for a in sides[0][3]]
