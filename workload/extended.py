@@ -15,9 +15,10 @@ from communitylens.operators import coherence, features, filters, intervals, lem
 from communitylens.plans import clusters, ingest
 from communitylens.session import cut_lineage, literal_table
 from communitylens.sources import sinks, tables
+from communitylens.sources.sampling import part_by_hash
 from communitylens.streaming import counts
 from workload import roles
-from workload.learning import TOPIC_WORDS
+from workload.learning import SPLIT, TOPIC_WORDS
 from workload.registry import query, rounded
 from workload.roles import DOCS, POSTS, TRIPS, load, scratch, sql_rows
 from workload.texts import TOPIC_SQL
@@ -114,6 +115,51 @@ def _(spark, root):
         (F.abs(F.col("own") - F.col("cost")) <= 1e-6 * F.col("own")).alias("own_squares"), (F.col("falls") == 1).alias("no_rise"))
 
 
+# ------------------------------------------------------------------------ models
+@query("logreg_gradient", f"""
+WITH {DOCS} SELECT CAST(count(*) AS BIGINT) AS rows, true AS is_flat, true AS better FROM docs WHERE body IS NOT NULL AND {SPLIT} < 0.6""")
+def _(spark, root):
+    """Are long documents told from their words? At the fitted weights the loss hardly falls any more in any direction: its
+    derivatives, summed over all training rows' entries, are small beside those of a model without weights."""
+    docs = roles.docs(spark, root)
+    stages = features.hashed_tfidf("body", K.CLUSTER_FEATURES)[:3]
+    rows = features.behaviour_features(features.labelled(docs, 1000)).withColumn("part", part_by_hash("id")).where("part = 0")
+    kept = cut_lineage(Pipeline(stages=stages).fit(rows).transform(rows).select("id", "label", "raw_features", *features.BEHAVIOUR))
+    train = features.with_class_weight(kept)
+    model = models.fit_counted(train, 200)
+    scored = model.transform(train).select("label", "class_weight", F.unwrap_udt("features").alias("x"), vector_to_array("probability")[1].alias("p"))
+    entry = F.when(F.col("x.type") == 0, F.arrays_zip(F.col("x.indices").alias("i"), F.col("x.values").alias("v"))).otherwise(
+        F.transform("x.values", lambda v, i: F.struct(i.alias("i"), v.alias("v"))))
+    y, w = F.col("label"), F.col("class_weight")
+    laid = scored.select("label", "class_weight", "p", F.explode(entry).alias("e"))
+    # derivatives by standardised features, as the weights were fitted
+    n = scored.count()
+    sums = laid.groupBy("e.i").agg(
+        F.sum(w * (F.col("p") - y) * F.col("e.v")).alias("g"), F.sum(w * (0.5 - y) * F.col("e.v")).alias("g0"),
+        F.sum("e.v").alias("s"), F.sum(F.col("e.v") * F.col("e.v")).alias("ss"))
+    deviation = F.sqrt((F.col("ss") - F.col("s") * F.col("s") / n) / F.lit(max(n - 1, 1)))
+    scaled = sums.where(deviation > 0).select((F.abs("g") / deviation).alias("g"), (F.abs("g0") / deviation).alias("g0"))
+    loss = scored.agg(F.sum(-w * F.log(F.greatest(F.when(y == 1, F.col("p")).otherwise(1 - F.col("p")), F.lit(1e-300)))).alias("l"), F.sum(w).alias("w"))
+    return scaled.agg(F.max("g").alias("g"), F.max("g0").alias("g0")).select(
+        F.lit(n).cast("bigint").alias("rows"), (F.col("g") <= 0.05 * F.col("g0")).alias("is_flat"),
+        (loss.select("l").scalar() < 0.6931 * loss.select("w").scalar()).alias("better"))
+
+
+@query("lda_distribution", f"WITH {DOCS} SELECT id, true AS adds_up, true AS is_largest FROM docs WHERE {TOPIC_SQL} <> ''")
+def _(spark, root):
+    """Every document's shares of topics add up to one, or to none without words of the vocabulary; its topic has the largest share, by sorting."""
+    docs = roles.docs(spark, root).select("id", "body")
+    docs = filters.with_words(docs, "body").withColumn("clean_text", text.topic_text("body"))
+    _, vectors = models.topic_vectors(docs, ["id"])
+    lda = models.fit_topics(vectors)
+    worded = F.exists(F.unwrap_udt("features")["values"], lambda x: x != 0)
+    shares = lda.transform(vectors).select("id", worded.cast("double").alias("whole"), vector_to_array("topicDistribution").alias("shares"))
+    best = shares.select("id", "shares", "whole", F.reverse(F.array_sort(F.transform("shares", lambda x, i: F.struct(x.alias("x"), (-i).alias("i")))))[0]["i"].alias("i"))
+    named = models.dominant_topic(lda, vectors)
+    return best.join(named, "id").select(
+        "id", (F.abs(F.aggregate("shares", F.lit(0.0), lambda a, x: a + x) - F.col("whole")) < 1e-9).alias("adds_up"), (F.col("dominant_topic") == -F.col("i")).alias("is_largest"))
+
+
 # ---------------------------------------------------------------------- sketches
 def _stored(spark, df, name):
     """Write sketches and read them again."""
