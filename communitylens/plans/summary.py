@@ -45,7 +45,10 @@ def dataset_summary(comments: DataFrame, submissions: DataFrame) -> DataFrame:
 
 def community_statistics(comments: DataFrame, submissions: DataFrame) -> DataFrame:
     """subreddit, num_comments, avg_comment_score, num_submissions, avg_submission_score, total_rows"""
-    return _community(cells(comments), cells(submissions))
+    def counted(df: DataFrame) -> DataFrame:
+        return df.groupBy("subreddit").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score_sum"), F.count("score").alias("scored"))
+
+    return _community(counted(comments), counted(submissions))
 
 
 def _community(comments: DataFrame, submissions: DataFrame) -> DataFrame:
