@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from communitylens import constants as K
 from communitylens.functions.labels import argmax, class_probability
 from communitylens.operators import counting, features, passes, terms
-from communitylens.session import cut_lineage, literal_table
+from communitylens.session import cut_lineage, in_parts, literal_table
 from communitylens.sources.sampling import hash_fraction
 
 
@@ -63,9 +63,10 @@ def topic_vectors(df: DataFrame, keep: Sequence[str], text: str = "clean_text",
     return chosen, weighted.select(*keep, "features")
 
 
-def fit_topics(vectors: DataFrame, k: int = K.TOPIC_COUNT, iterations: int = K.TOPIC_ITERATIONS, seed: int = K.SEED) -> LDAModel:
-    """Online LDA; each iteration looks at a sample of the vectors, which are kept meanwhile."""
-    kept = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
+def fit_topics(vectors: DataFrame, k: int = K.TOPIC_COUNT, iterations: int = K.TOPIC_ITERATIONS, seed: int = K.SEED,
+               parts: int | None = None) -> LDAModel:
+    """Online LDA; each iteration looks at a sample of the vectors, which are kept meanwhile. ``parts``: see ``in_parts``."""
+    kept = in_parts(vectors.select("features"), parts).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         return LDA(k=k, maxIter=iterations, optimizer="online", seed=seed, featuresCol="features").fit(kept)
     finally:
@@ -111,12 +112,18 @@ def elbow(vectors: DataFrame, ks: Iterable[int] = range(K.ELBOW_MIN_K, K.ELBOW_M
     return literal_table(vectors.sparkSession, curve.costs.items(), "k int, wcss double")
 
 
-def plane(vectors: DataFrame) -> DataFrame:
-    """Adds pca_features: the places along the first two principal axes.
+def plane(vectors: DataFrame, fitting: DataFrame | None = None) -> DataFrame:
+    """Adds pca_features: the places along the first two principal axes of ``fitting`` (by default of the same vectors).
 
-    The axes come from scans with a few columns, so the number of features is no matter of memory squared.
+    The axes come from scans with a few columns, so the number of features is no matter of memory squared. The
+    vectors are kept between the scans.
     """
-    return passes.projected(vectors, passes.principal_axes(vectors).axes)
+    kept = (vectors if fitting is None else fitting).select("features").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        axes = passes.principal_axes(kept, oversample=14, tolerance=1e-6).axes
+    finally:
+        kept.unpersist()
+    return passes.projected(vectors, axes)
 
 
 def cluster_points(assigned: DataFrame, key: str, limit: int | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from communitylens import constants as K
 from communitylens.functions import text
 from communitylens.operators import features, filters, models
 from communitylens.operators.sentiment import Rules, score_sentiment
-from communitylens.session import cut_lineage
+from communitylens.session import cut_lineage, in_parts
 from communitylens.sources.sampling import sample_n
 
 
@@ -36,21 +36,22 @@ def elbow(docs: DataFrame, low: int = K.ELBOW_MIN_K, high: int = K.ELBOW_MAX_K,
 
 
 def run(docs: DataFrame, key: str = "id", k: int = K.CLUSTER_K, size: int = K.CLUSTER_FEATURES,
-        lexicon: DataFrame | None = None, rules: Rules = Rules(), points: bool = True) -> tuple:
+        lexicon: DataFrame | None = None, rules: Rules = Rules(), points: bool = True, parts: int | None = None) -> tuple:
     """(model, {assignments, profile, points, sentiment}).
 
     Texts are cleaned once: text, words and counts are stored, and fits and tables work on
-    those. ``points`` fits the plane too, which the other tables do not need.
+    those. ``points`` fits the plane too, which the other tables do not need. ``parts``: see ``in_parts``.
     """
     stages = features.hashed_tfidf("text", size)
     words = Pipeline(stages=stages[:3]).fit(docs).transform(docs)
     stored = cut_lineage(words.select(key, "raw_text", "filtered_words", "raw_features"))
     vectors = stages[3].fit(stored).transform(stored)
-    model = models.fit_clusters(vectors, k)
+    fitting = in_parts(vectors.select("features"), parts)
+    model = models.fit_clusters(fitting, k)
     assigned = model.transform(vectors)
     made = {
         "assignments": assigned.select(key, "cluster"),
         "profile": models.cluster_profile(assigned),
         "sentiment": cluster_sentiment(assigned, "raw_text", key, lexicon, rules),
     }
-    return model, made | ({"points": models.cluster_points(models.plane(assigned), key)} if points else {})
+    return model, made | ({"points": models.cluster_points(models.plane(assigned, fitting), key)} if points else {})

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from communitylens import constants as K
 from communitylens.operators import evaluation, features, models
-from communitylens.session import cut_lineage
+from communitylens.session import cut_lineage, in_parts
 from communitylens.sources.sampling import part_by_hash
 
 
@@ -46,12 +46,13 @@ def counted(comments: DataFrame, key: str = "id", size: int = K.HASH_FEATURES, k
     return counter, cut_lineage(counter.transform(rows).select(key, "part", *keep, "raw_features", *features.BEHAVIOUR))
 
 
-def fit_and_evaluate(counter: PipelineModel, kept: DataFrame, key: str = "id", iterations: int = K.CLASSIFIER_ITERATIONS) -> tuple:
+def fit_and_evaluate(counter: PipelineModel, kept: DataFrame, key: str = "id", iterations: int = K.CLASSIFIER_ITERATIONS,
+                     parts: int | None = None) -> tuple:
     """(model, predictions on the test part, evaluation tables) from counted rows with a label.
 
     The model is trained on 60 % of the rows, chosen by hash of ``key``; its weights are fitted on the stored counts.
     """
-    train = features.with_class_weight(kept.where("part = 0"))
+    train = features.with_class_weight(in_parts(kept.where("part = 0"), parts))
     fitted = models.fit_counted(train, iterations)
     predictions = cut_lineage(models.predict(fitted, kept.where("part = 2"), [key]))
     return PipelineModel([*counter.stages, *fitted.stages]), predictions, evaluate(predictions)
@@ -64,10 +65,10 @@ def run(comments: DataFrame, key: str = "id", threshold: float = K.QUALITY_THRES
 
 
 def run_labels(comments: DataFrame, labels: dict[str, tuple[float, str]], key: str = "id", size: int = K.HASH_FEATURES,
-               iterations: int = K.CLASSIFIER_ITERATIONS) -> dict[str, tuple]:
-    """For each named (threshold, side) what ``run`` gives; texts are counted once for all of them."""
+               iterations: int = K.CLASSIFIER_ITERATIONS, parts: int | None = None) -> dict[str, tuple]:
+    """For each named (threshold, side) what ``run`` gives; texts are counted once for all of them. ``parts``: see ``in_parts``."""
     counter, kept = counted(comments, key, size)
     return {
-        name: fit_and_evaluate(counter, features.labelled(kept, threshold, side), key, iterations)
+        name: fit_and_evaluate(counter, features.labelled(kept, threshold, side), key, iterations, parts)
         for name, (threshold, side) in labels.items()
     }

@@ -47,14 +47,14 @@ def around_events(assigned: DataFrame, days: int = 30, events: Mapping[str, str]
 
 
 def run(docs: DataFrame, k: int = K.TOPIC_COUNT, vocabulary: int = K.TOPIC_VOCABULARY, min_df: int = K.TOPIC_MIN_DF,
-        iterations: int = K.TOPIC_ITERATIONS, words: int = K.TOPIC_WORDS) -> dict[str, DataFrame]:
+        iterations: int = K.TOPIC_ITERATIONS, words: int = K.TOPIC_WORDS, parts: int | None = None) -> dict[str, DataFrame]:
     """topics, topic_trends, topic_by_subreddit and topic_shares.
 
     Documents per (subreddit, date, topic) are counted once and stored; the tables
-    are sums over that.
+    are sums over that. ``parts``: see ``in_parts``.
     """
     names, vectors = models.topic_vectors(docs, ["subreddit", "date"], vocabulary=vocabulary, min_df=min_df)
-    lda = models.fit_topics(vectors, k, iterations)
+    lda = models.fit_topics(vectors, k, iterations, parts=parts)
     assigned = models.dominant_topic(lda, vectors)
     monthly = assigned.withColumn("year_month", timeparts.year_month_unpadded("date"))
     cells = cut_lineage(counting.rows_per_group(monthly, "subreddit", "year_month", "dominant_topic"))

@@ -39,6 +39,12 @@ def literal_table(spark: SparkSession, rows: Iterable[Sequence], schema: str) ->
     return spark.createDataFrame(pa.table(columns))
 
 
+def in_parts(df: DataFrame, parts: int | None) -> DataFrame:
+    """``df`` read in at most so many parts. For iterative fits over small stored tables, where every part costs a sum of the
+    model's size in each iteration; leave ``parts`` out for large tables."""
+    return df if parts is None else df.coalesce(parts)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``, or set before by ``setCheckpointDir``.
 

@@ -388,7 +388,7 @@ vocabulary AS (SELECT least(count(*), {K.TOPIC_VOCABULARY}) AS n FROM (SELECT te
 
 
 def _topics(spark, root):
-    return topics.run(topics.documents(roles.chat(spark, root), roles.docs(spark, root)))
+    return topics.run(topics.documents(roles.chat(spark, root), roles.docs(spark, root)), parts=roles.FIT_PARTS)
 
 
 @query("job_topics", f"""
@@ -447,7 +447,7 @@ UNION ALL SELECT DISTINCT model, part, 1, true FROM l, (VALUES ('metrics'), ('ro
 def _(spark, root):
     """Are long and short documents recognised by their words and behaviour features? All five tables of three labels."""
     parts = []
-    runs = quality.run_labels(roles.docs(spark, root), {name: (threshold, side) for name, threshold, side in LABELS})
+    runs = quality.run_labels(roles.docs(spark, root), {name: (threshold, side) for name, threshold, side in LABELS}, parts=roles.FIT_PARTS)
     for name, (_, _, made) in runs.items():
         unit = lambda c: F.col(c).between(0, 1)
         confusion = made["confusion_matrix"].select(F.col("truth").alias("part"), (F.col("pred_0") + F.col("pred_1")).alias("n"), F.lit(True).alias("in_range"))
@@ -468,7 +468,7 @@ SELECT report, n, true AS in_range FROM n, (VALUES ('assignments'), ('profile'),
 def _(spark, root):
     """All four tables, by their exact totals."""
     docs = clusters.documents(roles.docs(spark, root))
-    _, made = clusters.run(docs, lexicon=roles.lexicon(spark), rules=RULES)
+    _, made = clusters.run(docs, lexicon=roles.lexicon(spark), rules=RULES, parts=roles.FIT_PARTS)
     known = F.min(F.col("cluster").between(0, K.CLUSTER_K - 1))
     def total(report, n, good=known):
         return made[report].agg(n.alias("n"), good.alias("in_range")).select(F.lit(report).alias("report"), "n", "in_range")

@@ -42,6 +42,9 @@ RULES = Rules(
 #: Parts for tables that are one row group each and whose rows are texts or are joined before they are reduced.
 PARTS = {"documents": 16, "conversations": 16, "lineitem": 16}
 
+#: Parts that iterative fits over these small tables' stored vectors read.
+FIT_PARTS = 2
+
 
 def load(spark: SparkSession, root: str, name: str) -> DataFrame:
     return scan_parquet(spark, f"{root}/{name}.parquet", partitions=PARTS.get(name))
