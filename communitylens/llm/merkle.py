@@ -48,7 +48,8 @@ def _ranked(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     ``order`` sorts by tree first. Rows are dealt to ranges and numbered; each range's first number and
     count per tree (as many rows as ranges and trees) turn these numbers into ranks.
     """
-    placed = written(rows.orderBy(*order).withColumn("place", F.monotonically_increasing_id()))
+    # stored first: the bounds of the ranges are sampled from the rows, and the digests in them are made once
+    placed = written(written(rows).orderBy(*order).withColumn("place", F.monotonically_increasing_id()))
     placed = placed.withColumn("part", F.shiftright("place", 33))
     runs = placed.groupBy("part", "tree").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     before = Window.partitionBy("tree").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
