@@ -2,8 +2,10 @@
 
 A page becomes a tree of its blocks, without the parts whose tags or names say that they are menus, adverts and
 the like; neighbouring leaves of one kind are one slot. Trees of one host are aligned by simple
-tree matching. Slots that read alike wherever they occur, on most of a host's distinct pages, are its template; others are
-content. Where an article or main element holds most of the varying text, the content is what stands in it, else all of it.
+tree matching. Slots that read alike wherever they occur, on most of a host's distinct pages, are its template, and so are
+single leaves of varying slots that most distinct pages repeat outside article and main elements; others are content. Template is known by the kinds of the elements
+around it and its text, wherever a page has it. Where an article or main element holds most of the varying text, the content is what
+stands in it, else all of it.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from communitylens.llm.store import written
 from communitylens.session import cut_lineage
 
 #: An article or main element is a host's place of content when it holds at least this share of the host's varying text.
@@ -43,21 +46,27 @@ comments commentlist respond reply replies disqus share sharing social related r
 skip hidden""".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=/]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+#: Words that leave the meaning of the noise words beside them in a name ("comment-list", "post-share-buttons").
+NEUTRAL = set("""article post posts page site user users reader readers entry story blog list lists item items box block container wrapper wrap
+section area region group row bar buttons button links link icons icon form panel unit module holder zone inner outer main top bottom left
+right inline small large js text title heading label""".split())
 #: Elements that no name makes noise.
 KEPT = {"html", "body"} | ARTICLE
+_NUMBER = re.compile(r"\[\d+\]")
+_IN_ARTICLE = re.compile(r"/(?:" + "|".join(sorted(ARTICLE)) + r")[.\[]")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class Node:
     """An element, or a slot of equal leaves: its kind, its parts in order, and the texts of a slot.
 
-    ``noise``: its names say that it is no content.
+    ``noise``: its names say that it is no content; ``plain``: one of them says nothing else.
     """
 
-    __slots__ = ("kind", "tag", "parts", "texts", "noise")
+    __slots__ = ("kind", "tag", "parts", "texts", "noise", "plain")
 
-    def __init__(self, kind: str, tag: str, noise: bool = False):
-        self.kind, self.tag, self.parts, self.texts, self.noise = kind, tag, [], [], noise
+    def __init__(self, kind: str, tag: str, noise: bool = False, plain: bool = False):
+        self.kind, self.tag, self.parts, self.texts, self.noise, self.plain = kind, tag, [], [], noise, plain
 
 
 def _open(tag: str, attributes: str) -> Node | None:
@@ -68,14 +77,19 @@ def _open(tag: str, attributes: str) -> Node | None:
         return Node(tag, tag)
     values = [a or b or c for name, a, b, c in _ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id", "role")]
     names = "".join(f".{v}" for value in values[:1] for v in re.sub(r"[\d/]+", "", value).split()[:2])
-    return Node(tag + names, tag, tag not in KEPT and any(w.lower() in NO_CONTENT_NAMES for value in values for w in _WORD.findall(value)))
+    if tag in KEPT:
+        return Node(tag + names, tag)
+    words = [[w.lower() for w in _WORD.findall(name)] for value in values for name in value.split()]
+    noise = [name for name in words if not NO_CONTENT_NAMES.isdisjoint(name)]
+    return Node(tag + names, tag, bool(noise), any(NO_CONTENT_NAMES.union(NEUTRAL).issuperset(name) for name in noise))
 
 
 def _without_noise(root: Node) -> Node:
     """The tree without elements that are noise by name, but for those that hold most of the page's text.
 
     Such a name on them is a remark about the page ("has-sidebar"). Where the page's one article or its main element
-    stands elsewhere, the text is known to be there, and no name is overruled.
+    stands elsewhere, the text is known to be there, and no name is overruled. Inside an article or main element
+    a name counts only where it says nothing else ("comment-list", not "share-price").
     """
     def measure(node: Node) -> tuple[int, int, int]:
         chars = articles = mains = 0
@@ -92,7 +106,7 @@ def _without_noise(root: Node) -> Node:
         parts = []
         for part in node.parts:
             if isinstance(part, Node):
-                if part.noise:
+                if part.noise and (part.plain or not inside):
                     chars, articles, mains = sizes[id(part)]
                     elsewhere = not inside and (total[2] > mains or total[1] - articles == 1)
                     if elsewhere or 2 * chars <= total[0]:
@@ -150,8 +164,10 @@ def parse(page: str) -> Node:
                     if stack[depth][0] == tag:
                         del stack[depth:]
                         break
-            elif not attributes.endswith("/") and (stack[-1][1] is None or ("=" in attributes and _open(tag, attributes).noise)):
-                stack.append((tag, None))
+            elif not attributes.endswith("/"):
+                named = _open(tag, attributes) if stack[-1][1] is not None and "=" in attributes else None
+                if stack[-1][1] is None or (named and named.noise and (named.plain or not any(t in ARTICLE for t, _ in stack))):
+                    stack.append((tag, None))
             continue
         flush()
         if closing:
@@ -204,9 +220,14 @@ def slots(node: Node) -> Node:
 
 
 def match(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the size of the best order-keeping match of two trees, and its pairs."""
+    """Simple tree matching: the size of the best order-keeping match of two trees, and its pairs.
+
+    Slots that read alike count twice, so a template meets itself where other parts of its kind stand beside it.
+    """
     if a.kind != b.kind or bool(a.texts) != bool(b.texts):
         return 0, []
+    if a.texts:
+        return 1 + (a.texts == b.texts), [(a, b)]
     n, m = len(a.parts), len(b.parts)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     found = {}
@@ -242,6 +263,15 @@ def _paths(node: Node, path: str = "") -> Iterator[tuple[str, Node]]:
         yield from _paths(part, here)
 
 
+def _chain(path: str) -> str:
+    """The kinds of a path without its numbers, which differ where a page has one part more."""
+    return _NUMBER.sub("", path)
+
+
+def _leaf(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def _chars(node: Node) -> int:
     return sum(map(len, node.texts)) + sum(map(_chars, node.parts))
 
@@ -303,15 +333,19 @@ class Wrapper:
 
 
 def learn(pages: DataFrame) -> DataFrame:
-    """(host, fixed, place): per host with varying slots, the its template's slots (checksum of the text, path) and the path of its article's element.
+    """(host, fixed, place): per host with varying slots, its template and the path of its article's element.
 
-    That is the outermost article or main element with most of the varying text; '' is the whole page.
+    ``fixed`` lists "checksum chain" of template slots and "=checksum chain" of template leaves in varying slots; a chain is a path
+    without numbers. The place is the outermost article or main element with most of the varying text; '' is the whole page.
 
     Distinct pages are counted by sketches of fixed size (approx_count_distinct), so that copies of a page, wherever they lie, are one.
+    Leaves that would make up more than half of what a page has in their chain are no template: such pages are versions of each other.
+    What an article or main element repeats is part of the articles.
     """
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             wrappers: dict[str, Wrapper] = {}
+            leaves: dict[tuple[str, str, int], tuple[int, set[int]]] = {}
             for url, page in zip(frame["url"], frame["html"], strict=True):
                 if page:
                     name, tree = host(url), slots(parse(page))
@@ -319,23 +353,32 @@ def learn(pages: DataFrame) -> DataFrame:
                         wrappers[name].add(tree)
                     else:
                         wrappers[name] = Wrapper(tree)
+                    whole = _whole(tree)
+                    for path, node in _paths(tree):
+                        for text in node.texts if not _IN_ARTICLE.search(path) else ():
+                            leaves.setdefault((name, _chain(path), _leaf(text)), (len(text), set()))[1].add(whole)
             rows = []
             for name, wrapper in wrappers.items():
                 found = {path: row for path, *row in wrapper.rows()}
-                rows += [(name, path, *found.get(path, (False, 0, 0, False, 0)), wholes) for path, wholes in wrapper.distinct()]
-            yield pd.DataFrame(rows, columns=["host", "path", "slot", "pages", "mark", "varies", "chars", "wholes"])
-
-    rows = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(
-        run, "host string, path string, slot boolean, pages bigint, mark bigint, varies boolean, chars bigint, wholes array<bigint>")
-    rows = rows.select("host", "path", "slot", "mark", "varies", "chars", F.posexplode("wholes").alias("at", "whole"))
+                pages = wrapper.seen[id(wrapper.tree)][0]
+                rows += [(name, path, *found.get(path, (False, pages, 0, False, 0)), wholes) for path, wholes in wrapper.distinct()]
+            rows += [(name, chain, None, None, mark, None, chars, list(wholes)) for (name, chain, mark), (chars, wholes) in leaves.items()]
+            made = pd.DataFrame(rows, columns=["host", "path", "slot", "pages", "mark", "varies", "chars", "wholes"])
+            yield made.astype({"slot": "boolean", "pages": "Int64", "varies": "boolean"})
+
+    rows = written(pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInPandas(
+        run, "host string, path string, slot boolean, pages bigint, mark bigint, varies boolean, chars bigint, wholes array<bigint>"))
+    parts = rows.filter("slot is not null").select("host", "path", "slot", "pages", "mark", "varies", "chars", F.posexplode("wholes").alias("at", "whole"))
+    once = F.col("at") == 0
     every = cut_lineage(
-        rows.groupBy("host", "path").agg(
-            F.max("slot").alias("slot"), F.approx_count_distinct("whole").alias("pages"), F.sum(F.when(F.col("at") == 0, F.col("chars"))).alias("chars"),
+        parts.groupBy("host", "path").agg(
+            F.max("slot").alias("slot"), F.approx_count_distinct("whole").alias("pages"), F.sum(F.when(once, F.col("chars"))).alias("chars"),
+            F.sum(F.when(once, F.col("pages"))).alias("seen"),
             (F.max("varies") | (F.min("mark") != F.max("mark"))).alias("varies"), F.min("mark").alias("mark"),
         )
     )
-    nodes = every.filter("path <> ''")
-    sizes = every.filter("path = ''").select("host", F.col("pages").alias("all_pages"))
+    nodes = every.filter("path <> ''").withColumn("chain", F.regexp_replace("path", r"\[\d+\]", ""))
+    sizes = every.filter("path = ''").select("host", F.col("pages").alias("all_pages"), F.col("seen").alias("all_seen"))
     depth = F.size(F.split("path", "/"))
     total = nodes.filter("slot and varies").groupBy("host").agg(F.sum("chars").alias("total"))
     place = (
@@ -343,23 +386,42 @@ def learn(pages: DataFrame) -> DataFrame:
         .filter(F.col("chars") >= F.col("total") * SHARE)
         .groupBy("host").agg(F.min_by("path", F.struct(depth, -F.col("chars"), "path")).alias("place"))
     )
-    fixed = (
-        nodes.filter("slot and not varies and pages > 1").join(sizes, "host").filter(F.col("pages") >= F.col("all_pages") * OFTEN)
-        .groupBy("host").agg(F.collect_set(F.concat_ws(" ", "mark", "path")).alias("fixed"))
+    often = (F.col("pages") > 1) & (F.col("pages") >= F.col("all_pages") * OFTEN)
+    # a slot that reads alike on all pages of a batch, whatever its number there, stands for these pages
+    slot = (
+        parts.filter("slot and not varies").groupBy("host", F.regexp_replace("path", r"\[\d+\]", "").alias("chain"), "mark")
+        .agg(F.approx_count_distinct("whole").alias("pages")).join(sizes, "host").filter(often)
+        .select("host", F.concat_ws(" ", "mark", "chain").alias("rule"))
+    )
+    leaves = rows.filter("slot is null").select("host", F.col("path").alias("chain"), "mark", "chars", F.explode("wholes").alias("whole"))
+    # counted with copies first, which is never less: only what may be template is counted as distinct pages
+    maybe = leaves.groupBy("host", "chain", "mark").agg(F.count("*").alias("pages")).join(sizes, "host").filter(often).select("host", "chain", "mark", "all_pages")
+    shared = (
+        leaves.join(maybe, ["host", "chain", "mark"]).groupBy("host", "chain", "mark", "all_pages")
+        .agg(F.approx_count_distinct("whole").alias("pages"), F.max("chars").alias("chars")).filter(often)
     )
+    around = nodes.filter("slot").groupBy("host", "chain").agg(F.sum("chars").alias("held")).join(sizes, "host").select(
+        "host", "chain", (F.col("held") / F.col("all_seen")).alias("held"))
+    small = shared.groupBy("host", "chain").agg(F.sum("chars").alias("shared")).join(around, ["host", "chain"]).filter("2 * shared <= held")
+    leaf = shared.join(small.select("host", "chain"), ["host", "chain"]).select("host", F.concat(F.lit("="), F.concat_ws(" ", "mark", "chain")).alias("rule"))
+    fixed = slot.unionByName(leaf).groupBy("host").agg(F.collect_set("rule").alias("fixed"))
     return total.select("host").join(place, "host", "left").join(fixed, "host", "left").withColumn("place", F.coalesce("place", F.lit("")))
 
 
+def _own(node: Node, path: str, fixed: set[str]) -> list[str]:
+    """A slot's texts that are no template."""
+    if not fixed:
+        return node.texts
+    chain = _chain(path)
+    return [] if f"{_mark(node)} {chain}" in fixed else [t for t in node.texts if f"={_leaf(t)} {chain}" not in fixed]
+
+
 def _blocks(node: Node, path: str, fixed: set[str]) -> list[str]:
-    out = []
-    for here, part in _paths(node, path):
-        if part.texts and (not fixed or f"{_mark(part)} {here}" not in fixed):
-            out += part.texts
-    return out
+    return [text for here, part in _paths(node, path) for text in _own(part, here, fixed)]
 
 
 def main_text(page: str, place: str | None, fixed: set[str]) -> str:
-    """The blocks of the element at ``place`` ('': the page) that are not in ``fixed`` ("checksum path" of the template's slots).
+    """The blocks of the element at ``place`` ('': the page) that are not in ``fixed`` (rules of ``learn``).
 
     Without such an element, of the largest article element, else of all that is content.
     """
@@ -367,7 +429,7 @@ def main_text(page: str, place: str | None, fixed: set[str]) -> str:
     nodes = list(_paths(tree))
     found = tree if place == "" else dict(nodes).get(place)
     if found is not None:
-        return "\n".join(found.texts if found.texts and f"{_mark(found)} {place}" not in fixed else _blocks(found, place, fixed))
+        return "\n".join(_own(found, place, fixed) if found.texts else _blocks(found, place, fixed))
     articles = [(path, node) for path, node in nodes if node.tag in ARTICLE and not node.texts]
     if articles:
         path, node = max(articles, key=lambda x: _chars(x[1]))
