@@ -170,6 +170,7 @@ def _batches(documents: DataFrame, key: str) -> tuple[DataFrame, int]:
     (dealt.write.format("parquet").bucketBy(buckets, "batch").sortBy("batch").option("compression", "zstd")
      .option("path", f"{checkpoint_dir(session)}/{name}").saveAsTable(name))
     table = session.table(name)
+    session.sql(f"DROP TABLE {name}")  # from the catalog only: the files are read by what was looked up
     size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     return table, max(1, -(-size // RANGE_BYTES))
 
