@@ -7,6 +7,9 @@ import re
 import statistics
 import zlib
 
+import numpy as np
+import pytest
+
 from communitylens.llm import katz
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -20,45 +23,54 @@ def held(doc):
     return doc is not None and zlib.crc32(str(doc).encode()) % 7 == 2
 
 
-def brute(rows):
-    """The model from its definition, over dictionaries; checks that each history's probabilities add up to one."""
-    words, pairs = collections.Counter(), collections.Counter()
+def brute(rows, order):
+    """The model from its definition, over dictionaries; checks that each context's probabilities add up to one."""
+    grams = [collections.Counter() for _ in range(order)]
+    runs = lambda t, k: [tuple(([("begin",)] * (k - 1) + t)[i:i + k]) for i in range(len(t))]
     for doc, text in rows:
         if not held(doc):
-            t = tokens(text)
-            words.update(t)
-            pairs.update(zip([("begin",), *t[:-1]], t, strict=True))
+            for k in range(order):
+                grams[k].update(runs(tokens(text), k + 1))
+    words = {w: c for (w,), c in grams[0].items()}
     total, types = sum(words.values()), len(words)
-    factors = [katz.good_turing([sum(x == r for x in c.values()) for r in range(1, 7)]).factors for c in (words, pairs)]
+    factors = [katz.good_turing([sum(x == r for x in c.values()) for r in range(1, 7)]).factors for c in grams]
     cut = lambda k, c: c * (factors[k][c] if c <= 5 else 1)
     whole, left = total, total - sum(cut(0, c) for c in words.values())
     if left <= 1e-9:
         whole, left = total + 1, left + 1
-    one = lambda w: (cut(0, words[w]) if words[w] else left) / whole
-    after = collections.defaultdict(dict)
-    for (a, b), c in pairs.items():
-        after[a][b] = c
+    after = [collections.defaultdict(dict) for _ in range(order)]
+    for k in range(1, order):
+        for g, c in grams[k].items():
+            after[k][g[:-1]][g[-1]] = c
+
+    def probability(context, w):
+        k = len(context)
+        if k == 0:
+            return (cut(0, words[w]) if w in words else left) / whole
+        if w in after[k].get(context, ()):
+            return cut(k, after[k][context][w]) / weights[context][0]
+        return (weights[context][1] if context in weights else 1) * probability(context[1:], w)
+
     weights = {}
-    for a, seen in after.items():
-        n, mass = sum(seen.values()), sum(cut(1, c) for c in seen.values())
-        n += n - mass <= 1e-9
-        weights[a] = n, (n - mass) / n / (1 - sum(map(one, seen)))
-        everything = mass / n + weights[a][1] * (sum(one(w) for w in words if w not in seen) + left / whole)
-        assert abs(everything - 1) < 1e-9
+    for k in range(1, order):
+        for context, seen in after[k].items():
+            n, mass = sum(seen.values()), sum(cut(k, c) for c in seen.values())
+            n += n - mass <= 1e-9
+            weights[context] = n, (n - mass) / n / (1 - sum(probability(context[1:], w) for w in seen))
+            everything = sum(probability(context, w) for w in words) + probability(context, ("never",))
+            assert abs(everything - 1) < 1e-9
     out = []
     for doc, text in rows:
-        t, score = tokens(text), 0.0
-        for a, b in zip([("begin",), *t[:-1]], t, strict=True):
-            c = pairs.get((a, b), 0)
-            score += math.log10(cut(1, c) / weights[a][0] if c else (weights[a][1] if a in weights else 1) * one(b))
-        base = sum(math.log10((words[w] + 1) / (total + types + 1)) for w in t)
-        out.append((doc, held(doc), len(t), sum(words[w] > 0 for w in t), total, base, score))
+        t = tokens(text)
+        score = sum(math.log10(probability(g[:-1], g[-1])) for g in runs(t, order))
+        base = sum(math.log10((words.get(w, 0) + 1) / (total + types + 1)) for w in t)
+        out.append((doc, held(doc), len(t), sum(w in words for w in t), total, base, score))
     return sorted(out, key=lambda r: (str(r[0]), r[2]))
 
 
-def check(df, rows):
-    got = sorted((tuple(r) for r in katz.score(df).collect()), key=lambda r: (str(r[0]), r[2]))
-    want = brute(rows)
+def check(df, rows, order=3):
+    got = sorted((tuple(r) for r in katz.score(df, order=order).collect()), key=lambda r: (str(r[0]), r[2]))
+    want = brute(rows, order)
     assert [r[:5] for r in got] == [r[:5] for r in want]
     for a, b in zip(got, want, strict=True):
         assert math.isclose(a[5], b[5], rel_tol=1e-9, abs_tol=1e-9)
@@ -81,12 +93,23 @@ def test_no_training_rows(documents):
     assert katz.score(documents([])).count() == 0
 
 
-def test_many_batches_and_ranges(documents, monkeypatch):
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_many_batches_and_ranges(documents, monkeypatch, order):
     monkeypatch.setattr(katz, "BATCH_BYTES", 3000)
     monkeypatch.setattr(katz, "RANGE_BYTES", 3000)
     pick = random.Random(2)
     rows = [(i, " ".join(f"w{int(pick.paretovariate(0.7)) % 400}" for _ in range(pick.randint(0, 120)))) for i in range(300)]
-    check(documents(rows), rows)
+    rows += [(1000 + i, rows[i % 40][1]) for i in range(80)]  # copies in other batches, some of them held out
+    check(documents(rows), rows, order)
+
+
+def test_packed_numbers_come_back():
+    pick = random.Random(4)
+    keys = np.unique(np.array([pick.getrandbits(64) for _ in range(1000)], np.uint64))
+    for found in (keys, keys[:1], keys[:0], np.array([0, 2 ** 64 - 1], np.uint64)):
+        assert katz.unpacked(katz.packed(found)).tolist() == found.tolist()
+    for found in ([], [0], [255, 3, 254, 10 ** 12], [7] * 5000):
+        assert katz.small(katz.shrunk(np.array(found, np.int64))).tolist() == found
 
 
 def test_good_turing_is_used_where_it_holds():
