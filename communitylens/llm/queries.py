@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +24,7 @@ from communitylens.llm import (
     vectors,
     wrappers,
 )
+from communitylens.session import checkpoint_dir, cut_lineage
 from workload.registry import query
 
 
@@ -85,6 +88,25 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
     return secret_scan.report(table(spark, root, "documents"))
 
 
+@query("secret_ledger_growth", """
+SELECT r.run, r.kind, CAST(1 AS INT) AS version, count(DISTINCT coalesce(text, '')) AS n_blobs
+FROM documents, (VALUES (1, 'assign'), (1, 'access'), (2, 'hex'), (2, 'pem'), (2, 'jwt'), (2, 'forge')) r(run, kind)
+GROUP BY r.run, r.kind""")
+def secret_ledger_growth(spark: SparkSession, root: str) -> DataFrame:
+    """What each run of a growing rule set adds to a stored ledger: two rules, then all, then all again (nothing)."""
+    folder = f"{checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    # stored at once: Spark takes scans of one folder for equal, also where it has grown between them
+    count = lambda ledger: cut_lineage(ledger.groupBy("kind", "version").agg(F.count("*").alias("n")))
+    added = None
+    for run, rules in enumerate((secret_scan.BASE[:2], secret_scan.RULES, secret_scan.RULES), 1):
+        before = count(secret_scan.stored_ledger(spark, folder))
+        after = count(secret_scan.scan_stored(table(spark, root, "documents"), "doc_id", folder, rules)[1])
+        new = after.join(before.withColumnRenamed("n", "old"), ["kind", "version"], "left").select(
+            F.lit(run).alias("run"), "kind", "version", (F.col("n") - F.coalesce("old", F.lit(0))).alias("n_blobs")).filter("n_blobs > 0")
+        added = new if added is None else added.unionByName(new)
+    return added
+
+
 @query("op5_sentencepiece_encoding")
 def op5(spark: SparkSession, root: str) -> DataFrame:
     coded = pieces.encode(table(spark, root, "documents"), "doc_id", public_tokenizers.path("piece_bpe_32k.model"))

@@ -61,14 +61,8 @@ def _unseen(named: DataFrame, ledger: DataFrame | None, rules: tuple[Rule, ...])
     )
 
 
-def scan(versions: DataFrame, path: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES):
-    """(paths, ledger): the address of every version, and the ledger with the new findings added.
-
-    Spans count code points from 0 and exclude their end. Matches of one rule are leftmost and
-    do not overlap; those with too short a group are dropped afterwards, so they still use up
-    their text. Null and empty texts have no spans; a null path is a path like any other;
-    repeated versions are scanned once; an empty table leaves the ledger as it is.
-    """
+def fresh(versions: DataFrame, path: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """(paths, new): the address of every version, and the ledger rows of the (blob, rule, version) not yet in ``ledger``."""
     named = cut_lineage(paths(versions, path))
     todo = _unseen(named, ledger, rules).withColumnsRenamed({"path": "p", "blob": "b"})
     texts = versions.select(F.col(path).alias("path"), _blob().alias("blob"), "text")
@@ -108,9 +102,42 @@ def scan(versions: DataFrame, path: str, ledger: DataFrame | None = None, rules:
         .select("blob", "kind", versions_of[F.col("kind")].alias("version"),
                 F.coalesce("spans", F.expr("cast(array() as array<struct<start:int,end:int>>)")).alias("spans"))
     )
+    return named, new
+
+
+def scan(versions: DataFrame, path: str, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES):
+    """(paths, ledger): the address of every version, and the ledger with the new findings added.
+
+    Spans count code points from 0 and exclude their end. Matches of one rule are leftmost and
+    do not overlap; those with too short a group are dropped afterwards, so they still use up
+    their text. Null and empty texts have no spans; a null path is a path like any other;
+    repeated versions are scanned once; an empty table leaves the ledger as it is.
+    """
+    named, new = fresh(versions, path, ledger, rules)
     return named, new if ledger is None else ledger.unionByName(new)
 
 
+def stored_ledger(spark: SparkSession, folder: str) -> DataFrame:
+    """The ledger table kept in ``folder``; without rows where the folder is empty or not there."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return spark.read.schema(LEDGER).parquet(folder) if system.exists(place) else spark.createDataFrame([], LEDGER)
+
+
+def scan_stored(versions: DataFrame, path: str, folder: str, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
+    """``scan`` with the ledger table in ``folder``: read, only what it lacks is scanned, and that is appended.
+
+    A ledger row is complete in itself, so a run that broke off while it appended leaves a valid ledger and the
+    next run scans the rest. Two runs at a time may both append a row; ``findings`` takes equal spans once. Don't
+    use ledgers read before and after an append in one plan: Spark takes scans of one folder for equal.
+    An empty table of versions appends nothing.
+    """
+    spark = versions.sparkSession
+    named, new = fresh(versions, path, stored_ledger(spark, folder), rules)
+    new.write.mode("append").option("compression", "zstd").parquet(folder)
+    return named, stored_ledger(spark, folder)
+
+
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per blob with findings: all spans of the given rule versions as (start, rank, kind, end), in order."""
     order = literal_table(ledger.sparkSession, [(r.kind, r.version, k) for k, r in enumerate(rules)], "kind string, version int, rank int")
@@ -145,6 +172,7 @@ def redact(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     n_chars, where it exists, is counted anew for changed texts.
     """
+    quoted = mark.replace("\\", "\\\\").replace("'", "\\'")
     named, ledger = scan(documents, "doc_id")
     found = named.join(findings(ledger), "blob").select(
         F.col("path").alias("secret_id"), F.col("blob").alias("secret_blob"), "spans").distinct()
@@ -152,7 +180,7 @@ def redact(documents: DataFrame, mark: str = "[secret]") -> DataFrame:
     joined = packed.join(found, F.col("doc_id").eqNullSafe(F.col("secret_id")) & (F.col("blob") == F.col("secret_blob")), "left")
     pieces = F.expr(f"""aggregate(spans, struct(0 AS upto, cast(array() AS array<string>) AS out),
         (a, s) -> if(s.start >= a.upto,
-            struct(s.end AS upto, concat(a.out, array(substring(text, a.upto + 1, s.start - a.upto), '{mark}')) AS out),
+            struct(s.end AS upto, concat(a.out, array(substring(text, a.upto + 1, s.start - a.upto), '{quoted}')) AS out),
             struct(greatest(a.upto, s.end) AS upto, a.out AS out)),
         a -> concat_ws('', concat(a.out, array(substring(text, a.upto + 1)))))""")
     new = {"text": pieces, "n_chars": F.length(pieces)}

@@ -62,6 +62,30 @@ def test_ledger_scans_only_what_is_new(spark, documents):
     assert both.groupBy("blob", "kind", "version").count().filter("count > 1").count() == 0
 
 
+def test_stored_ledger_grows(spark, documents, tmp_path):
+    folder = str(tmp_path / "ledger")
+    size = lambda: secret_scan.stored_ledger(spark, folder).count()
+    blobs = len({t or "" for _, t in ROWS})
+    assert size() == 0
+    secret_scan.scan_stored(documents(ROWS[:6]), "doc_id", folder, secret_scan.BASE)
+    assert size() == 3 * len({t or "" for _, t in ROWS[:6]})
+    secret_scan.scan_stored(documents(ROWS), "doc_id", folder, secret_scan.BASE)
+    assert size() == 3 * blobs
+    secret_scan.scan_stored(documents([]), "doc_id", folder)
+    assert size() == 3 * blobs
+    named, ledger = secret_scan.scan_stored(documents(ROWS), "doc_id", folder)
+    assert size() == ledger.count() == 6 * blobs
+    secret_scan.scan_stored(documents(ROWS), "doc_id", folder)
+    assert size() == 6 * blobs
+    found = named.join(secret_scan.findings(ledger), "blob").select("path", "spans").distinct().collect()
+    assert {r.path: ",".join(f"{s.kind}:{s.start}:{s.end}" for s in r.spans) for r in found} == {r[0]: r[5] for r in brute(ROWS) if r[5]}
+
+
+def test_any_mark(documents):
+    mark = "it's a \\ 'secret'"
+    assert secret_scan.redact(documents([(1, "token=abcdefgh")]), mark).first().text == mark
+
+
 def test_redact(documents):
     df = documents(ROWS, n_chars=7)
     got = secret_scan.redact(df)
