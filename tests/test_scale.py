@@ -39,3 +39,11 @@ def test_fits_read_parts_of_bounded_size(spark, monkeypatch):
     monkeypatch.setattr(quality, "in_parts", lambda df, parts: seen.append(parts) or df.coalesce(parts))
     quality.run_labels(roles.docs(spark, ROOT), {"high": (1000, "at_least")}, size=64, iterations=2, part_rows=50)
     assert seen == [4]  # 200 documents
+
+
+# ----------------------------------------------------------------------- overlap
+def test_pairs_of_communities_are_not_exchanged(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y")], "subreddit string, author string")
+    made = overlap.shared_by_index(df)
+    assert "Exchange" not in _plan(made).split("Generate explode(_left")[0]
+    assert {tuple(r) for r in made.collect()} == {("a", "a", 2), ("b", "b", 1), ("a", "b", 1), ("b", "a", 1)}
