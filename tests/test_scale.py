@@ -32,6 +32,27 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+# --------------------------------------------------------------------- sentiment
+@pytest.mark.parametrize("rules", [Rules(), roles.RULES])
+def test_scoring_is_compiled(spark, rules):
+    """The virtual machine leaves methods of more than 8,000 bytes uncompiled, which costs most of the time."""
+    df = spark.createDataFrame([(1, "a good day")], "i int, t string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # else code is generated stage by stage
+    try:
+        code = score_sentiment(df, "t", ["i"], roles.lexicon(spark), rules=rules)._jdf.queryExecution().debug().codegenToSeq().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"ByteCodeStats\((\d+),", code)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_large_files_are_dealt_into_more_parts(spark, tmp_path, small_splits):
+    path = str(tmp_path / "t")
+    spark.range(40_000).selectExpr("id", "uuid() AS t").coalesce(1).write.parquet(path)
+    df = tables.scan_parquet(spark, path, partitions=16)
+    assert df.rdd.getNumPartitions() > 100 and df.agg(F.count("*"), F.sum("id")).first()[:] == (40_000, 40_000 * 39_999 // 2)
+
+
 # -------------------------------------------------------------------- classifier
 def test_fits_read_parts_of_bounded_size(spark, monkeypatch):
     assert [parts_for(spark.range(n), 20) for n in (0, 20, 21, 100)] == [1, 1, 2, 5]
