@@ -62,6 +62,12 @@ def test_fits_read_parts_of_bounded_size(spark, monkeypatch):
     assert seen == [4]  # 200 documents
 
 
+# --------------------------------------------------------------------------- csv
+def test_csv_files_become_more_with_the_table(spark, small_splits):
+    made = __spark_entry__.queries()["scan_csv"](spark, ROOT)
+    assert len(made.inputFiles()) > 16 and made.count() == 200
+
+
 # ----------------------------------------------------------------------- overlap
 def test_pairs_of_communities_are_not_exchanged(spark):
     df = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y")], "subreddit string, author string")
