@@ -74,3 +74,22 @@ def test_pairs_of_communities_are_not_exchanged(spark):
     made = overlap.shared_by_index(df)
     assert "Exchange" not in _plan(made).split("Generate explode(_left")[0]
     assert {tuple(r) for r in made.collect()} == {("a", "a", 2), ("b", "b", 1), ("a", "b", 1), ("b", "a", 1)}
+
+
+# ---------------------------------------------------------------------- clusters
+def test_gaps_to_centres(spark):
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((60, 4))
+    df = spark.createDataFrame([(i, Vectors.dense(v) if i % 2 else Vectors.sparse(4, range(4), v)) for i, v in enumerate(x)], ["id", "features"])
+    model = models.fit_clusters(df, 3)
+    centres = np.array(model.clusterCenters())
+    made = models.centre_gaps(model, model.transform(df))
+    for r in made.collect():
+        want = ((x[r["id"]] - centres) ** 2).sum(axis=1)
+        assert np.allclose(np.array(r["gaps"]) + x[r["id"]] @ x[r["id"]], want) and int(np.argmin(r["gaps"])) == r["cluster"]
+    assert not re.search("Exchange|Join", _plan(made))
+
+
+def test_texts_are_counted_once_for_their_weights(spark):
+    _, vectors = models.cluster_features(roles.docs(spark, ROOT), "body")
+    assert "FileScan" not in _plan(vectors) and vectors.count() == 200
