@@ -93,3 +93,10 @@ def test_gaps_to_centres(spark):
 def test_texts_are_counted_once_for_their_weights(spark):
     _, vectors = models.cluster_features(roles.docs(spark, ROOT), "body")
     assert "FileScan" not in _plan(vectors) and vectors.count() == 200
+
+
+# ------------------------------------------------------------------------ topics
+def test_perplexity_is_one_pass(spark, monkeypatch):
+    calls, plain = [], LDAModel.logPerplexity
+    monkeypatch.setattr(LDAModel, "logPerplexity", lambda self, df: calls.append(1) or plain(self, df))
+    assert __spark_entry__.queries()["lda_fit"](spark, ROOT).first()["is_finite"] and calls == [1]
