@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,3 +51,32 @@ def coherence(docs: DataFrame, key: str, words: str, listed: DataFrame, by: Sequ
     value = F.when(F.col("n_both") == 0, -1.0).when(F.col("n_both") == n, 1.0).otherwise(
         F.log(together / ((F.col("n_a") / n) * (F.col("n_b") / n))) / -F.log(together))
     return pairs.groupBy(*by).agg(F.count("*").alias("pairs"), F.avg(value).alias("npmi"))
+
+
+def document_counts(docs: DataFrame, words: str, listed: Sequence[str]) -> tuple[np.ndarray, int]:
+    """Documents that hold both of every two listed words (on the diagonal: that hold the word), and all documents.
+
+    One scan. A document leaves its row as the listed words it holds; every task adds up its own square of counts
+    and sends what is filled, so what is sent depends on the list, never on the number of documents. ``listed`` has no
+    word twice.
+    """
+    known, size = pa.array(listed, pa.string()), len(listed)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, rows = np.zeros((size, size)), 0
+        for batch in batches:
+            column = batch.column(0)
+            lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy()
+            held = np.zeros((len(column), size))
+            held[np.repeat(np.arange(len(column)), lengths), pc.index_in(column.flatten(), known).to_numpy()] = 1
+            total += held.T @ held
+            rows += len(column)
+        a, b = np.nonzero(total)
+        places = [pa.array(np.append(x, size), pa.int64()) for x in (a, b)]  # the last one: all documents
+        yield pa.RecordBatch.from_arrays([*places, pa.array(np.append(total[a, b], rows).astype(np.int64))], ["a", "b", "n"])
+
+    held = docs.select(F.array_intersect(words, F.lit(list(listed)).cast("array<string>")).alias("held"))
+    table = held.mapInArrow(run, "a bigint, b bigint, n bigint").groupBy("a", "b").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros((size + 1, size + 1), np.int64)
+    out[table.column("a").to_numpy(), table.column("b").to_numpy()] = table.column("n").to_numpy()
+    return out[:size, :size], int(out[size, size])

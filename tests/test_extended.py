@@ -214,6 +214,19 @@ def test_coherence_by_hand(spark):
     assert got[0] == (3, pytest.approx((ab - 2) / 3)) and got[1] == (1, -1.0)
 
 
+def test_words_that_meet_are_counted_in_one_bounded_pass(spark, monkeypatch):
+    listed = [f"w{k}" for k in range(12)]
+    docs = [(i, [f"w{k}" for k in range(14) if i >> k & 1] * 2) for i in range(1 << 12)] + [(-1, []), (-2, None)]  # every set of words
+    df = spark.createDataFrame(docs, "id int, words array<string>").repartition(5)
+    sent, plain = [], type(df).toArrow
+    monkeypatch.setattr(type(df), "toArrow", lambda self: sent.append(plain(self)) or sent[-1])
+    seen, total = coherence.document_counts(df, "words", listed)
+    want = [[sum(1 for _, ws in docs if ws and a in ws and b in ws) for b in listed] for a in listed]
+    assert seen.tolist() == want and total == len(docs)
+    assert sum(t.num_rows for t in sent) == 12 * 12 + 1  # by the list, not by the documents
+    assert coherence.document_counts(spark.createDataFrame([], "words array<string>"), "words", ["a"])[1] == 0
+
+
 # ----------------------------------------------------------------------- overlap
 def test_overlap_without_a_list(spark, monkeypatch):
     monkeypatch.setattr(overlap, "GROUP", 3)

@@ -341,15 +341,11 @@ def _(spark, root):
     for topic, term in listed.collect():  # a bounded list
         rows.setdefault(topic, []).append(term)
     pairs = [(t, a, b) for t, ws in rows.items() for a, b in itertools.combinations(sorted(ws), 2)]
-    sets = split.select(F.array_distinct("words").alias("w"))
     used = sorted({w for ws in rows.values() for w in ws})
-    masks = sets.select(F.array(*[F.array_contains("w", w) for w in used]).alias("m")).groupBy("m").count().collect()
-    seen = np.array([r["m"] for r in masks], bool).reshape(-1, len(used))
-    n = np.array([r["count"] for r in masks], float)
-    at, total = {w: k for k, w in enumerate(used)}, n.sum()
-    values = {}
+    seen, total = coherence.document_counts(split, "words", used)
+    at, values = {w: k for k, w in enumerate(used)}, {}
     for t, a, b in pairs:
-        x, y, both = n @ seen[:, at[a]], n @ seen[:, at[b]], n @ (seen[:, at[a]] & seen[:, at[b]])
+        x, y, both = (float(seen[i, j]) for i, j in ((at[a], at[a]), (at[b], at[b]), (at[a], at[b])))
         values.setdefault(t, []).append(-1.0 if both == 0 else 1.0 if both == total else np.log(both * total / (x * y)) / -np.log(both / total))
     own = literal_table(spark, [(t, float(np.mean(v))) for t, v in values.items()], "topic int, own double")
     return made.join(own, "topic").select(
