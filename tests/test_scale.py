@@ -6,13 +6,15 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
 from pyspark.ml.clustering import LDAModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 import __spark_entry__
 from communitylens.functions import text
-from communitylens.operators import models, overlap
+from communitylens.operators import features, models, overlap, terms, wordcounts
 from communitylens.operators.sentiment import Rules, score_sentiment
 from communitylens.plans import quality
 from communitylens.session import parts_for
@@ -111,3 +113,32 @@ def test_perplexity_is_one_pass(spark, monkeypatch):
     calls, plain = [], LDAModel.logPerplexity
     monkeypatch.setattr(LDAModel, "logPerplexity", lambda self, df: calls.append(1) or plain(self, df))
     assert __spark_entry__.queries()["lda_fit"](spark, ROOT).first()["is_finite"] and calls == [1]
+
+
+def test_topic_texts_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(t):
+        read.add(1)
+        return t
+
+    df = spark.createDataFrame([(i, "cat dog bird"[: 3 + i % 9]) for i in range(40)], "id int, t string").withColumn("clean_text", seen("t"))
+    words, vectors = models.topic_vectors(df, ["id"], min_df=1)
+    assert vectors.count() == 40 and set(words) >= {"cat", "dog"} and read.value == 40
+
+
+def test_counted_texts_are_those_of_the_stages(spark):
+    """Split, counted and made vectors as by Tokenizer, StopWordsRemover and CountVectorizerModel."""
+    texts = ["the cat sat  on The mat cat", "", "   ", " lead\ttab\n\n x\x0by\r\fz  ", "\u0130stanbul \u212aELVIN \u00c9 cat", "the the", "cat\u00a0dog mat\u2003x", "mat ", " "]
+    df = spark.createDataFrame([*enumerate(texts), (len(texts), None)], "id int, t string").coalesce(2)
+    stages = Pipeline(stages=[features.tokenizer("t", "tokens"), features.stop_words_remover("tokens", "words", ["CAT"])])
+    words = stages.fit(df).transform(df.where("t IS NOT NULL"))
+    made = wordcounts.counted(df, "t", ["id"], [*features.K.ENGLISH_STOP_WORDS, "CAT"])
+    for min_df, size in ((1, None), (2, None), (1, 3)):
+        want = terms.vocabulary(words, "words", min_df, size)
+        assert sorted(wordcounts.leading(made, min_df, size).collect()) == sorted(want.collect())
+    listed = ["mat", "x", "", "tab", "z"]
+    want = CountVectorizerModel.from_vocabulary(listed, inputCol="words", outputCol="v").transform(words)
+    got = {r["id"]: r["v"] for r in wordcounts.with_vectors(made, listed, "v").collect()}
+    assert {r["id"]: r["v"] for r in want.collect()} | {len(texts): Vectors.sparse(5, [], [])} == got
