@@ -176,9 +176,10 @@ class Join:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                found = [prefix(s, percent, None) for _, _, data, offsets in arrays.chunks(batch.column("text")) for s in shingle_sets(data, offsets, words)]
-                tokens, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], ["token", "n"])
+                for _, _, data, offsets in arrays.chunks(batch.column("text")):
+                    found = [prefix(s, percent, None) for s in shingle_sets(data, offsets, words)]
+                    tokens, counts = np.unique(np.concatenate(found), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(counts)], ["token", "n"])
 
         counts = self.texts.mapInArrow(run, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
         return bitmap(counts.filter(F.col("n") >= FREQUENT), "token", FILTER_LOG2)

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,8 @@ SPACE = "▁"
 MEMORY = 400_000
 #: Units from this length on are not remembered.
 LONG = 64
-#: Texts that are encoded between two results.
-ROWS = 500
+#: Texts that are encoded between two results: their ids and decoded texts stand beside what is remembered.
+ROWS = 100
 
 
 class Vocabulary:
@@ -101,8 +102,9 @@ class Pieces:
         self.sizes = [len(p) for p in vocabulary.pieces]
         self.inside = {p[k:k + 2] for p in vocabulary.ids for k in range(len(p) - 1)}
         self.side_by_side: dict[int, bool] = {}
-        self.parts: dict[str, list[int]] = {}
-        self.known: dict[str, list[int]] = {}
+        # ids as bytes, which take less memory than lists; a unit stands there without its first space
+        self.parts: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
         self.text = [p.replace(SPACE, " ") for p in vocabulary.pieces]
         for i in vocabulary.control:
             self.text[i] = " ⁇ " if i == vocabulary.unknown else ""
@@ -157,47 +159,52 @@ class Pieces:
         for k, c in enumerate(unit):
             if before + c not in self.inside:
                 if start < k:
-                    out += self._part(unit[start:k])
+                    out += self._remembered(unit[start:k])
                 start = k
             before = c
-        return out + self._part(unit[start:])
+        if not start:  # a unit of one part is remembered as a unit
+            return self._part(unit)
+        out += self._remembered(unit[start:])
+        return out
 
-    def _part(self, part: str) -> list[int]:
-        ids = self.parts.get(part)
+    def _remembered(self, part: str) -> array:
+        # a unit's first part may be a unit itself
+        memory, name = (self.known, part[1:]) if part[0] == SPACE else (self.parts, part)
+        ids = memory.get(name)
         if ids is None:
-            if len(part) == 1 and part not in self.single:
-                ids = [self.v.bytes[b] for b in part.encode()]
-            elif part.startswith(SPACE * 2):
-                # pieces of spaces alone share one score, so their merges have no fixed order: merge them one by one
-                ids = self.v.merge([self.single[c] for c in part])[0]
-            else:
-                ids = self._table(part)
+            ids = array("i", self._part(part)).tobytes()
             if len(part) < LONG:
-                self.parts[part] = ids
-        return ids
+                memory[name] = ids
+        return array("i", ids)
+
+    def _part(self, part: str) -> list[int]:
+        if len(part) == 1 and part not in self.single:
+            return [self.v.bytes[b] for b in part.encode()]
+        if part.startswith(SPACE * 2):
+            # pieces of spaces alone share one score, so their merges have no fixed order: merge them one by one
+            return self.v.merge([self.single[c] for c in part])[0]
+        return self._table(part)
 
     def encode(self, text: str) -> list[int]:
         """All ids without begin or end."""
-        out: list[int] = []
         if not text:
-            return out
+            return []
         for memory in (self.known, self.parts, self.side_by_side):
             if len(memory) > MEMORY:
                 memory.clear()
         known = self.known
         rest = text.replace(" ", SPACE).split(SPACE)
         if "" in rest:  # several spaces in a row stay one unit with the word after them
-            units = re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + SPACE.join(rest))
-        else:
-            units = [SPACE + x for x in rest]
-        for unit in units:
+            rest = [unit[1:] for unit in re.findall(f"{SPACE}+[^{SPACE}]*", SPACE + SPACE.join(rest))]
+        found = []
+        for unit in rest:
             ids = known.get(unit)
             if ids is None:
-                ids = self._unit(unit)
+                ids = array("i", self._unit(SPACE + unit)).tobytes()
                 if len(unit) < LONG:
                     known[unit] = ids
-            out += ids
-        return out
+            found.append(ids)
+        return array("i", b"".join(found)).tolist()
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids; bytes that are no UTF-8 become U+FFFD each, the first piece's leading space goes."""

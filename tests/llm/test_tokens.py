@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import tracemalloc
 
 import public_tokenizers
 import pytest
@@ -55,6 +56,20 @@ def test_forgetting_changes_nothing(coder, monkeypatch):
         assert fresh.encode(text) == library.encode(text)
 
 
+def test_what_is_remembered_stays_small(coder):
+    """Workers outlive tasks, so what a task remembers stays in the executor's memory."""
+    pick = random.Random(3)
+    words = ["".join(pick.choice("abcdefghiklmnoprstuvw") for _ in range(8)) for _ in range(20_000)]
+    fresh = pieces.Pieces(coder.v)
+    tracemalloc.start()
+    for at in range(0, len(words), 100):
+        fresh.encode(" ".join(words[at:at + 100]))
+    fresh.side_by_side.clear()  # it depends on the pieces, not on how units are stored
+    used, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert len(fresh.known) >= len(words) and used < 300 * len(words), used / len(words)
+
+
 def test_encoding_tables(documents):
     rows = [(1, "one  two\nThree"), (1, "one  two\nThree"), (None, "x"), (2, None), (3, ""), (4, "word " * 60_000)]
     got = {(r.doc_id, r.decoded): r.ids for r in pieces.encode(documents(rows), "doc_id", MODEL).collect()}
