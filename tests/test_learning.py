@@ -2,12 +2,16 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from communitylens import constants as K
 from communitylens.operators import evaluation, features, models
 from communitylens.plans import clusters, quality, topics
@@ -181,6 +185,28 @@ def test_clusters(spark, forum):
     assert set(curve) == {2, 3, 4} and curve[3] < curve[2]
 
 
+def test_clusters_come_with_their_elbow_and_saved_model(spark, forum, tmp_path):
+    docs = clusters.documents(forum)
+    model, made = clusters.run(docs, k=3, size=128, ks=(2, 3, 5), folder=str(tmp_path / "model"))
+    curve = {r["k"]: r["wcss"] for r in made["elbow"].collect()}
+    assert set(curve) == {2, 3, 5} and curve[3] == model.summary.trainingCost and curve[5] < curve[2]
+    loaded = KMeansModel.load(str(tmp_path / "model"))
+    assert np.array_equal(loaded.clusterCenters(), model.clusterCenters()) and loaded.getK() == 3
+    _, vectors = models.cluster_features(docs, size=128)
+    for k in (2, 5):
+        assert curve[k] == pytest.approx(models.fit_clusters(vectors, k).summary.trainingCost)
+    axes = PCA(k=2, inputCol="features", outputCol="p").fit(vectors).pc.toArray()
+    place = {r["id"]: np.abs(r["features"].toArray() @ axes) for r in vectors.collect()}
+    assert all(np.allclose(np.abs([r["pc1"], r["pc2"]]), place[r["id"]], atol=1e-4) for r in made["points"].collect())
+    assert "elbow" not in clusters.run(docs, k=2, size=64, points=False)[1]
+
+
+def test_the_clusters_job_has_every_output(spark):
+    rows = __spark_entry__.queries()["job_text_clusters"](spark, "/root/testdata/sf0.001").collect()
+    assert {r["report"]: r["n"] for r in rows}["elbow"] == K.ELBOW_MAX_K - K.ELBOW_MIN_K + 1 and "model" in {r["report"] for r in rows}
+    assert len(rows) == 6 and all(r["in_range"] for r in rows)
+
+
 def test_blank_posts_are_not_clustered(posts):
     assert {r["id"] for r in clusters.documents(posts).collect()} == {"p1", "p2", "p3", "p4", "p5"}
     assert {r["id"] for r in clusters.documents(posts.withColumn("selftext", F.lit(None).cast("string"))).collect()} == {"p1", "p2", "p4"}
