@@ -17,9 +17,10 @@ from communitylens.functions import text
 from communitylens.operators import features, models, overlap, terms, wordcounts
 from communitylens.operators.sentiment import Rules, score_sentiment
 from communitylens.plans import quality
-from communitylens.session import parts_for
+from communitylens.session import parts_for, written
 from communitylens.sources import tables
 from workload import roles
+from workload import tables as queries
 
 ROOT = "/root/testdata/sf0.001"
 
@@ -108,6 +109,29 @@ def test_texts_are_counted_once_for_their_weights(spark):
     assert "FileScan" not in _plan(vectors) and vectors.count() == 200
 
 
+def test_models_are_saved_without_copies_of_the_texts(spark, monkeypatch):
+    """Every fit and answer exchanged the texts twice, and they were stored uncompressed next to all their words."""
+    texts, stored = [], []
+    monkeypatch.setattr(queries, "written", lambda df: stored.append(df) or written(df))
+    monkeypatch.setattr(models, "written", lambda df: texts.append(df) or written(df))
+    monkeypatch.setattr(models, "cut_lineage", lambda df: pytest.fail("an uncompressed copy"))
+    made = __spark_entry__.queries()["save_model"](spark, ROOT)
+    assert all(r["n"] == r["equal_rows"] == 200 for r in made.collect())
+    assert [df.columns for df in stored] == [["id", "body", "created_utc", "score"]] and [df.columns for df in texts] == [["id", "raw_features"]]
+    assert len(re.findall(r"Exchange .*text", _plan(stored[0]))) <= 1 and "body" not in str(re.findall(r"Exchange .*", _plan(made)))
+
+
+def test_unlabelled_documents_are_those_of_docs(spark, tmp_path):
+    documents = [(1, "a b", "en", "src1", 3), (2, "c", "de", "src2", 1), (2, "d", "de", "src2", 1), (None, "e", "en", "src1", 1), (4, None, "en", None, None)]
+    spark.createDataFrame(documents, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(1, 0), (2, 1), (2, 0), (2, None), (None, 1), (None, 0), (9, 1), (9, 1)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    want = roles.docs(spark, str(tmp_path)).drop("label")
+    made = roles.unlabelled(spark, str(tmp_path))
+    assert made.columns == want.columns and made.count() == 1 + 3 + 3 + 1 + 1
+    assert sorted(map(repr, made.collect())) == sorted(map(repr, want.collect()))
+
+
 # ------------------------------------------------------------------------ topics
 def test_perplexity_is_one_pass(spark, monkeypatch):
     calls, plain = [], LDAModel.logPerplexity
