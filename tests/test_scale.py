@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -80,6 +82,20 @@ def test_pairs_of_communities_are_not_exchanged(spark):
     assert {tuple(r) for r in made.collect()} == {("a", "a", 2), ("b", "b", 1), ("a", "b", 1), ("b", "a", 1)}
 
 
+def test_lists_of_communities_are_not_exchanged(spark, monkeypatch):
+    """The lists of an author were sent to the places of each two blocks, about nine times the index."""
+    pick = random.Random(5)
+    rows = {(f"c{pick.randrange(40)}", f"u{pick.randrange(60)}") for _ in range(900)} | {(f"c{k}", "bot") for k in range(40)}
+    df = spark.createDataFrame([*rows, *rows], "subreddit string, author string")
+    want = Counter((a, b) for a, u in rows for b, v in rows if u == v)
+    for group, place_rows, blocks in ((64, 48_000_000, 4), (1, 48_000_000, 4), (2, 150, 16)):  # (1, ...): most authors have parts
+        monkeypatch.setattr(overlap, "GROUP", group)
+        monkeypatch.setattr(overlap, "PLACE_ROWS", place_rows)
+        made = overlap.shared_by_index(df)
+        assert "Exchange" not in _plan(made) and made.rdd.getNumPartitions() == blocks * (blocks + 1) // 2
+        assert {(r["a"], r["b"]): r["shared"] for r in made.collect()} == want and made.count() == len(want)
+
+
 # ---------------------------------------------------------------------- clusters
 def test_letters_are_one_class_of_listed_characters(spark):
     """Java tests unions of ranges and ``\\s`` one after the other: over 173 MB of texts 15.8 s instead of 1 s."""
